@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -65,7 +66,7 @@ def beta_quantile_array(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarr
     return (low + high) / 2.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _quantile(p: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(beta_quantile_array(p.to_numpy(), a.to_numpy(), b.to_numpy()))
 

@@ -31,24 +31,29 @@ def unparseable(recovered: DataFrame, column: str = "text", width: int = 200) ->
     )
 
 
-def _field(obj: Column, name: str, kind: str) -> Column:
-    return F.try_variant_get(F.try_parse_json(obj), f"$.{name}", kind)
+def _field(parsed: Column, name: str, kind: str) -> Column:
+    return F.try_variant_get(parsed, f"$.{name}", kind)
 
 
 def _is_string(value: Column) -> Column:
     return F.schema_of_variant(value) == "STRING"
 
 
-def _steps(obj: Column) -> Column:
+def _steps(parsed: Column) -> Column:
     """The string elements of ``steps`` in order; anything else gives none."""
-    items = F.coalesce(_field(obj, "steps", "array<variant>"), F.array().cast("array<variant>"))
+    items = F.coalesce(_field(parsed, "steps", "array<variant>"), F.array().cast("array<variant>"))
     return F.transform(F.filter(items, _is_string), lambda v: v.cast("string"))
 
 
+def _parsed(recovered: DataFrame) -> DataFrame:
+    """The object as a variant, parsed once."""
+    return recovered.withColumn("_v", F.try_parse_json("obj"))
+
+
 def plan_rows(recovered: DataFrame) -> DataFrame:
     """One row per step with its position; the row's other columns stay."""
     rest = [c for c in recovered.columns if c != "obj"]
-    return recovered.select(*rest, F.posexplode(_steps(F.col("obj"))).alias("pos", "step"))
+    return _parsed(recovered).select(*rest, F.posexplode(_steps(F.col("_v"))).alias("pos", "step"))
 
 
 def decisions(recovered: DataFrame) -> DataFrame:
@@ -57,21 +62,33 @@ def decisions(recovered: DataFrame) -> DataFrame:
     An object without an action is a response; any action but 'response' is a
     plan.  An empty response is NULL, so that the caller can fall back.
     """
-    obj = F.col("obj")
-    action = _field(obj, "action", "variant")
+    action, response = F.col("_action"), F.col("_response")
     named = F.when(_is_string(action), action.cast("string"))
-    response = _field(obj, "response", "variant")
     as_text = F.when(_is_string(response), response.cast("string")).otherwise(F.to_json(response))
     # JSON texts that count as no answer.
     blank = as_text.isin("", "null", "false", "0", "[]", "{}")
-    return recovered.withColumn(
+    fields = _parsed(recovered).withColumns(
+        {
+            "_action": _field(F.col("_v"), "action", "variant"),
+            "_response": _field(F.col("_v"), "response", "variant"),
+        }
+    )
+    chosen = fields.withColumn(
         "action",
-        F.when(obj.isNull(), "unparseable")
+        F.when(F.col("obj").isNull(), "unparseable")
         .when(action.isNull() | (named == "response"), "response")
         .otherwise("plan"),
-    ).withColumns(
+    )
+    return chosen.withColumns(
         {
             "response": F.when((F.col("action") == "response") & ~blank, as_text),
-            "steps": F.when(F.col("action") == "plan", _steps(obj)),
+            "steps": F.when(F.col("action") == "plan", _steps(F.col("_v"))),
         }
+    ).drop("_v", "_action", "_response")
+
+
+def decided_steps(decided: DataFrame, key: str = "run_id") -> DataFrame:
+    """(run, pos, step) of the plans among the decisions."""
+    return decided.select(key, F.posexplode("steps").alias("pos", "step")).withColumn(
+        "pos", F.col("pos").cast("long")
     )

@@ -51,7 +51,9 @@ class LatentProjection:
 
     def to_bins(self, df: DataFrame, signals: str = "signals") -> DataFrame:
         """Adds ``bins``, one bin number per axis."""
-        axes = [bin_of(F.get("z", F.lit(i)), edges) for i, edges in enumerate(self.edges)]
+        axes = [
+            bin_of(F.get("z", F.lit(i)), [F.lit(e) for e in edges]) for i, edges in enumerate(self.edges)
+        ]
         return self.project(df, signals).withColumn("bins", F.array(*axes)).drop("z")
 
     def explained_variance(self) -> float | None:
@@ -79,6 +81,23 @@ def quantile_edges(df: DataFrame, values: str, n_axes: int, n_bins: int) -> Data
     return quantiles(axes, "z", [i / n_bins for i in range(1, n_bins)], by=["axis"])
 
 
+def with_bins(df: DataFrame, values: str, edges: DataFrame, n_axes: int, n_bins: int) -> DataFrame:
+    """Adds ``bins`` from an edge table, which stays inside the plan as one scalar."""
+    # n_axes arrays of n_bins - 1 numbers
+    row = edges.agg(
+        *[
+            F.sort_array(F.collect_list(F.when(F.col("axis") == a, F.col("value")))).alias(f"e{a}")
+            for a in range(n_axes)
+        ]
+    )
+    found = row.select(F.struct("*")).scalar()
+    axes = [
+        bin_of(F.get(values, F.lit(a)), [F.get(found[f"e{a}"], F.lit(i)) for i in range(n_bins - 1)])
+        for a in range(n_axes)
+    ]
+    return df.withColumn("bins", F.array(*axes))
+
+
 def fit_projection(
     train: DataFrame,
     n_components: int = 3,

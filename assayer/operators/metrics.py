@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions.ordinal import distribution_map, evidence_map
-from assayer.functions.times import duration_ms
+from assayer.functions.times import duration_ms, log_text
 from assayer.operators.quantiles import quantiles
 
 CONFLICT_EVENT = "bayes.conflict_resolved"  # fixed value
@@ -70,21 +70,28 @@ def latency_quantile(spans: DataFrame, by: list[str], fraction: float = 0.95) ->
     return quantiles(spans, "duration_ms", [fraction], by).withColumnRenamed("value", "latency_ms")
 
 
-def conflict_events(resolved: DataFrame) -> DataFrame:
-    """(value): one JSON line per conflict, ready for a text or message sink.
+def conflict_events(
+    resolved: DataFrame, flag: str = "is_conflict", logger: str = "resolver", level: str = "INFO"
+) -> DataFrame:
+    """(value): one JSON log line per flagged row, ready for a text or message sink.
 
-    Expects the columns of :func:`assayer.operators.posterior.resolve` with
-    ``trace_id`` and ``task_text``.
+    Expects the columns of :func:`assayer.operators.posterior.resolve` with ``ts``,
+    ``trace_id`` and ``task_text``.  Answers are flagged by ``is_conflict``, tool
+    outputs by ``gated``; the confidence is the most likely state's own.
     """
+    own = "map_confidence" if "map_confidence" in resolved.columns else "confidence"
     payload = F.struct(
+        log_text(F.col("ts")).alias("ts"),
+        F.lit(level).alias("level"),
+        F.lit(logger).alias("logger"),
         F.lit(CONFLICT_EVENT).alias("event"),
         F.col("trace_id"),
         F.col("task_text").alias("task"),
         evidence_map(F.col("task"), F.col("data"), F.col("tool")).alias("evidence"),
         F.col("state").alias("resolved_state"),
-        F.col("confidence"),
+        F.col(own).alias("confidence"),
         F.array("credible_low", "credible_high").alias("credible_interval"),
         F.col("effective_sample_size"),
         distribution_map(F.col("theta")).alias("distribution"),
     )
-    return resolved.where(F.col("is_conflict")).select(F.to_json(payload).alias("value"))
+    return resolved.where(F.col(flag)).select(F.to_json(payload).alias("value"))

@@ -1,24 +1,29 @@
 """Exact order statistics of a column too large to sort or collect.
 
-``percentile`` keeps every distinct value of a group in one task.  Here each
-pass counts values per bin, finds the bin that holds the wanted rank, and the
-next pass looks inside that bin only:
+``percentile`` keeps every distinct value of a group in one task.  Here each pass
+counts values per bin, finds the bin that holds the wanted rank, and the next
+pass looks inside that bin only:
 
 1. by power of two (at most 4,403 bins whatever the values),
-2. and 3. by 65,536 equal parts of what is left,
-4. by value: no more than 2^20 distinct doubles remain at that point.
-
-Every pass is a map-side combined count with a small result, so four narrow scans
-replace a global sort, and the answer is exact, ties included.
+2. by 65,536 equal parts of what is left, repeated while a bin holds more than
+   ``EXACT_ROWS`` rows and more than one value,
+3. by value, with few enough left.
+
+A double has 2^52 values per power of two, so step 2 ends after three rounds at
+most.  Every pass is a map-side combined count with a small result.  A global
+sort is never needed, and the answer is exact, ties included.  Passes run when
+the function is called, as in any iterative fit.
 """
 
 from __future__ import annotations
 
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PARTS = 65_536
-REFINEMENTS = 2
+EXACT_ROWS = 1_000_000
+MAX_TARGETS = 100_000
 
 
 def _octave(x: Column) -> Column:
@@ -34,20 +39,35 @@ def _part(x: Column, low: Column, high: Column) -> Column:
     return F.when(width > 0, F.least(F.floor((x - low) / width * PARTS), F.lit(PARTS - 1))).otherwise(0).cast("int")
 
 
-def _narrow(histogram: DataFrame, keys: list[str], bin_col: str, keep: list[str]) -> DataFrame:
-    """From counts per bin to the one bin per key that holds its rank."""
-    order = Window.partitionBy(*keys).orderBy(bin_col)
+def _narrow(histogram: DataFrame, bin_col: str, *keep: str) -> DataFrame:
+    """From counts per bin to the one bin per (group, slot) that holds its rank."""
+    order = Window.partitionBy("group", "slot").orderBy(bin_col)
     before = F.sum("n").over(order) - F.col("n")
     return (
         histogram.withColumn("before", before)
         .where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n")))
-        .select(*keys, (F.col("rank") - F.col("before")).alias("rank"), *keep)
+        .select("group", "slot", (F.col("rank") - F.col("before")).alias("rank"), "n", *keep)
     )
 
 
+def _settle(found: DataFrame) -> tuple[DataFrame, bool]:
+    """Run a pass: its result as a local table, and whether a bin is still too full.
+
+    The result is one bin per group and wanted rank, so it must be small.
+    """
+    rows = found.limit(MAX_TARGETS + 1).toArrow()
+    if rows.num_rows > MAX_TARGETS:
+        raise ValueError("too many groups for exact quantiles; use percentile_approx")
+    crowded = False
+    if "low" in rows.column_names:
+        full = pc.and_(pc.greater(rows["n"], EXACT_ROWS), pc.less(rows["low"], rows["high"]))
+        crowded = bool(pc.any(full).as_py())
+    return found.sparkSession.createDataFrame(rows, found.schema), crowded
+
+
 def _inside(values: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows in the bins still of interest: one small bin per group and wanted rank."""
-    bins = F.broadcast(found.withColumnRenamed("group", "_group"))
+    """Rows in the bins still of interest."""
+    bins = F.broadcast(found.drop("n").withColumnRenamed("group", "_group"))
     match = (
         F.col("group").eqNullSafe(F.col("_group"))
         & (F.col("x") >= F.col("low"))
@@ -60,15 +80,14 @@ def order_statistics(df: DataFrame, column: str, slots: Column, by: list[str]) -
     """(by, slot, v): the values at the wanted 0-based ranks, per group.
 
     ``slots`` is an array of structs with a ``rank``, written in terms of the
-    group size ``size``; groups and ranks must be few, as their bins are
-    broadcast.  NULL and NaN are left out.
+    group size ``size``.  Groups and ranks must be few (this is checked).  NULL and
+    NaN are left out.
     """
     group = F.struct(*by).alias("group") if by else F.lit(0).alias("group")
     values = df.select(group, F.col(column).alias("v"), F.col(column).cast("double").alias("x")).where(
         F.col("x").isNotNull() & ~F.isnan("x")
     )
     counted = [F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high")]
-    keys = ["group", "slot"]
 
     octaves = values.withColumn("part", _octave(F.col("x"))).groupBy("group", "part").agg(*counted)
     wanted = (
@@ -76,16 +95,21 @@ def order_statistics(df: DataFrame, column: str, slots: Column, by: list[str]) -
         .withColumn("slot", F.explode(slots))
         .withColumn("rank", F.col("slot.rank"))
     )
-    found = _narrow(wanted, keys, "part", ["low", "high"])
-    for _ in range(REFINEMENTS):
+    found, crowded = _settle(_narrow(wanted, "part", "low", "high"))
+    while crowded:
         part = _part(F.col("x"), F.col("low"), F.col("high"))
         parts = (
-            _inside(values, found).withColumn("part", part).groupBy(*keys, "rank", "part").agg(*counted)
+            _inside(values, found)
+            .withColumn("part", part)
+            .groupBy("group", "slot", "rank", "part")
+            .agg(*counted)
         )
-        found = _narrow(parts, keys, "part", ["low", "high"])
-    distinct = _inside(values, found).groupBy(*keys, "rank", "v").agg(F.count(F.lit(1)).alias("n"))
-    result = _narrow(distinct, keys, "v", ["v"])
-    return result.select(*([F.col(f"group.{c}") for c in by]), "slot", "v")
+        found, crowded = _settle(_narrow(parts, "part", "low", "high"))
+    distinct = (
+        _inside(values, found).groupBy("group", "slot", "rank", "v").agg(F.count(F.lit(1)).alias("n"))
+    )
+    result, _ = _settle(_narrow(distinct, "v", "v"))
+    return result.select(*[F.col(f"group.{c}") for c in by], "slot", "v")
 
 
 def quantiles(df: DataFrame, column: str, fractions: list[float], by: list[str] | None = None) -> DataFrame:
@@ -118,20 +142,18 @@ def quantiles(df: DataFrame, column: str, fractions: list[float], by: list[str]
 def split_ordered(df: DataFrame, order_key: str, fraction: float = 0.7) -> tuple[DataFrame, DataFrame]:
     """(first int(fraction x n) rows by a unique numeric key, the rest).
 
-    The cut is one value, so both parts stay plain filters on the scan.
+    The cut is one value, so both parts are plain filters that reach the scan.
     """
     rank = F.floor(F.lit(float(fraction)) * F.col("size"))
-    slots = F.array(F.struct(rank.alias("rank")))
-    cut = order_statistics(df, order_key, slots, []).select("v").scalar()
-    first = F.coalesce(F.col(order_key) < cut, F.lit(True))
-    return df.where(first), df.where(~first)
+    cut = order_statistics(df, order_key, F.array(F.struct(rank.alias("rank"))), []).first()
+    if cut is None:  # no rows, or a fraction of 1
+        return df, df.where(F.lit(False))
+    return df.where(F.col(order_key) < cut["v"]), df.where(F.col(order_key) >= cut["v"])
 
 
-def bin_of(value: Column, edges: list[float] | Column) -> Column:
+def bin_of(value: Column, edges: list[Column]) -> Column:
     """Number of edges at or below the value: ``edge[i-1] <= x < edge[i]``."""
-    if isinstance(edges, Column):
-        return F.size(F.filter(edges, lambda e: e <= value))
     total = F.lit(0)
     for edge in edges:
-        total = total + (value >= F.lit(float(edge))).cast("int")
+        total = total + (value >= edge).cast("int")
     return total

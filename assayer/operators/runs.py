@@ -85,15 +85,15 @@ def next_plan(
     key: str = "run_id",
     min_heavy_rows: int = MIN_HEAVY_ROWS,
 ) -> DataFrame:
-    """The steps in force after :func:`replan`, from whichever plan was chosen."""
-    going = routed.where(F.col("next") == "executor").select(key, "source")
-    steps = proposed.withColumn("_from", F.lit("decision")).unionByName(
-        current.withColumn("_from", F.lit("current_plan"))
-    )
-    return (
-        join_lookup(steps, going, [key], "inner", min_heavy_rows)
-        .where(F.col("_from") == F.col("source"))
-        .drop("_from")
+    """(run, pos, step, source): the steps in force after :func:`replan`.
+
+    A proposed step that is still pending always wins, so only the current
+    plans have to be matched with the runs that keep them.
+    """
+    kept = routed.where(F.col("source") == "current_plan").select(key)
+    staying = join_lookup(current, kept, [key], "left_semi", min_heavy_rows)
+    return proposed.withColumn("source", F.lit("decision")).unionByName(
+        staying.withColumn("source", F.lit("current_plan"))
     )
 
 

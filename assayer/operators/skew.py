@@ -17,15 +17,15 @@ MIN_HEAVY_ROWS = 100_000
 
 
 def heavy_keys(df: DataFrame, keys: list[str], min_rows: int = MIN_HEAVY_ROWS) -> DataFrame:
-    """The keys that would overload one task.  Reads the key columns only."""
+    """The keys that would overload one task.
+
+    One combined count over the key columns; the total is taken from the same
+    counts, so their exchange is shared.
+    """
     limit = 4 * shuffle_partitions(df.sparkSession)
-    total = df.agg(F.count(F.lit(1)).alias("total")).scalar()
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .where((F.col("rows") * limit > total) & (F.col("rows") >= min_rows))
-        .select(*keys)
-    )
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+    total = counts.agg(F.sum("rows").alias("total")).scalar()
+    return counts.where((F.col("rows") >= min_rows) & (F.col("rows") * limit > total)).select(*keys)
 
 
 def split_heavy(

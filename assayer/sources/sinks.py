@@ -26,6 +26,8 @@ def write_resolutions(resolved: DataFrame, path: str, keep: list[str], mode: str
     resolved.select(*keep, summary_record().alias("summary")).write.mode(mode).parquet(path)
 
 
-def write_conflict_events(resolved: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """JSON lines, one per conflict."""
-    conflict_events(resolved).write.mode(mode).text(path)
+def write_conflict_events(
+    resolved: DataFrame, path: str, flag: str = "is_conflict", mode: str = "errorifexists"
+) -> None:
+    """JSON lines, one per flagged row."""
+    conflict_events(resolved, flag).write.mode(mode).text(path)
