@@ -17,6 +17,14 @@ _PRIOR_ONLY = (q.PRIOR, q.ALPHA_OF_PRIOR, q.CUBE)
 _ARROW = "'^\\s+|\\s+$'"
 
 
+# every conversation is one step, so its number alone is the question's key
+_KEYS = ["run_id"]
+
+
+def _step_0():
+    return F.lit(0).cast("long").alias("step_idx")
+
+
 def _prior_resolutions(spark):
     return posterior.resolutions(posterior.prior_table(spark))
 
@@ -63,8 +71,8 @@ def pair_cosine(spark, sf_dir):
       task, data, tool FROM agreement"""
 )
 def step_agreement(spark, sf_dir):
-    return agreement.step_agreement(fx.answers(spark, sf_dir)).select(
-        "run_id", "step_idx", "n_samples", r6("consistency"), r6("answerability"), "n_distinct",
+    return agreement.step_agreement(fx.answers(spark, sf_dir), _KEYS).select(
+        "run_id", _step_0(), "n_samples", r6("consistency"), r6("answerability"), "n_distinct",
         r6("distinct_ratio"), "task", "data", "tool",
     )
 
@@ -74,8 +82,8 @@ def step_agreement(spark, sf_dir):
     + """SELECT run_id, step_idx, medoid_idx, answer, round(medoid_score, 6) AS medoid_score FROM agreement"""
 )
 def medoid_answer(spark, sf_dir):
-    return agreement.step_agreement(fx.answers(spark, sf_dir)).select(
-        "run_id", "step_idx", "medoid_idx", "answer", r6("medoid_score")
+    return agreement.step_agreement(fx.answers(spark, sf_dir), _KEYS).select(
+        "run_id", _step_0(), "medoid_idx", "answer", r6("medoid_score")
     )
 
 
@@ -88,8 +96,8 @@ FROM agreement x JOIN resolved r ON """ + q.SAME_EVIDENCE
 @query(q.with_parts(*_TALK, q.E, q.PRIOR, q.COUNTS, q.ALPHA, q.CUBE) + _STEP_SQL)
 def step_confidence(spark, sf_dir):
     table = posterior.resolutions(learnt(spark, sf_dir))
-    return score_steps(fx.answers(spark, sf_dir), table).select(
-        "run_id", "step_idx", "answer", "task", "data", "tool", "state", "is_conflict",
+    return score_steps(fx.answers(spark, sf_dir), table, _KEYS).select(
+        "run_id", _step_0(), "answer", "task", "data", "tool", "state", "is_conflict",
         r6("map_confidence"), r6("confidence"), r6("credible_low"), r6("credible_high"),
     )
 
@@ -102,7 +110,7 @@ def step_confidence(spark, sf_dir):
     FROM agreement x JOIN resolved r ON """ + q.SAME_EVIDENCE
 )
 def cohort_gap(spark, sf_dir):
-    scored = score_steps(fx.answers(spark, sf_dir), _prior_resolutions(spark))
+    scored = score_steps(fx.answers(spark, sf_dir), _prior_resolutions(spark), _KEYS)
     gap = runs.cohort_gap(scored.withColumn("cohort", F.col("run_id") % 2), "cohort", 0, 1)
     return gap.select(r6("confidence_a"), r6("confidence_b"), r6("gap"))
 
@@ -122,8 +130,11 @@ def cohort_gap(spark, sf_dir):
     FROM agg JOIN best USING (label)"""
 )
 def embedding_agreement(spark, sf_dir):
-    vectors = agreement.array_vectors(fx.table(spark, sf_dir, "embeddings"), "embedding")
-    return agreement.vector_agreement(vectors, ["label"], "vec_id").select(
+    rows = fx.table(spark, sf_dir, "embeddings")
+    found = agreement.vector_agreement(
+        rows, lambda df: agreement.array_vectors(df, "embedding"), ["label"], "vec_id"
+    )
+    return found.select(
         "label", "n_samples", "medoid_idx", r6("consistency")
     )
 

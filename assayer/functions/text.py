@@ -126,10 +126,10 @@ def bag_cosine(left: Column, right: Column) -> Column:
     )
 
 
-def is_refusal(text: Column) -> Column:
+def is_refusal(text: Column, n_tokens: Column | None = None) -> Column:
     """Fewer than two tokens, or any refusal phrase."""
     lowered = F.lower(text)
-    hit = F.size(tokens(text)) < 2
+    hit = (F.size(tokens(text)) if n_tokens is None else n_tokens) < 2
     for phrase in REFUSAL_PHRASES:
         hit = hit | lowered.contains(phrase)
     return hit

@@ -13,12 +13,13 @@ Heavy questions (see :mod:`assayer.operators.skew`): the tokens are spread over
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions import ordinal, text
-from assayer.operators.skew import MIN_HEAVY_ROWS, split_heavy
-from assayer.session import shuffle_partitions
+from assayer.operators.skew import MIN_HEAVY_ROWS, join_lookup, split_heavy
 
 STEP = ["run_id", "step_idx"]
 
@@ -26,20 +27,23 @@ STEP = ["run_id", "step_idx"]
 def bag_of_words(samples: DataFrame, column: str = "answer") -> DataFrame:
     """One row per (sample, token) with its count; the row's other columns stay."""
     rest = [c for c in samples.columns if c != column]
-    return samples.select(
-        *rest, F.inline(text.bag(text.tokens(F.col(column))))
-    )
+    words = samples.select(*rest, text.tokens(F.col(column)).alias("_words"))
+    return words.select(*rest, F.inline(text.bag(F.col("_words"))))
+
+
+def _bags(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Replace texts by bags; in two steps, so that each text is split once."""
+    rest = [c for c in df.columns if c not in columns]
+    words = df.select(*rest, *[text.tokens(F.col(c)).alias(name) for c, name in columns.items()])
+    return words.select(*rest, *[text.bag(F.col(name)).alias(name) for name in columns.values()])
 
 
 def sample_norms(samples: DataFrame, column: str = "answer") -> DataFrame:
     """Token count, distinct tokens and vector length per sample."""
     rest = [c for c in samples.columns if c != column]
-    words = text.tokens(F.col(column))
-    return samples.select(*rest, words.alias("_words")).select(
-        *rest, F.size("_words").alias("n_tokens"), text.bag(F.col("_words")).alias("_bag")
-    ).select(
+    return _bags(samples, {column: "_bag"}).select(
         *rest,
-        "n_tokens",
+        F.aggregate("_bag", F.lit(0), lambda acc, e: acc + e["tf"]).alias("n_tokens"),
         F.size("_bag").alias("n_distinct"),
         text.bag_norm(F.col("_bag")).alias("norm"),
     )
@@ -47,9 +51,8 @@ def sample_norms(samples: DataFrame, column: str = "answer") -> DataFrame:
 
 def pair_cosine(pairs: DataFrame, left: str, right: str) -> DataFrame:
     """Cosine and number of shared tokens of two texts in the same row."""
-    a, b = (text.bag(text.tokens(F.col(c))) for c in (left, right))
     rest = [c for c in pairs.columns if c not in (left, right)]
-    return pairs.select(*rest, a.alias("_a"), b.alias("_b")).select(
+    return _bags(pairs, {left: "_a", right: "_b"}).select(
         *rest,
         text.bag_cosine(F.col("_a"), F.col("_b")).alias("cosine"),
         F.size(text.shared_tokens(F.col("_a"), F.col("_b"))).alias("n_shared"),
@@ -58,13 +61,16 @@ def pair_cosine(pairs: DataFrame, left: str, right: str) -> DataFrame:
 
 def text_vectors(samples: DataFrame, answer: str = "answer") -> DataFrame:
     """Adds ``vector`` (unit bag of words) and the attributes the report needs."""
-    clean = text.strip(F.coalesce(F.col(answer), F.lit("")))
-    return (
-        samples.withColumn(answer, clean)
-        .withColumn("vector", text.unit_bag(text.bag(text.tokens(F.col(answer)))))
-        .withColumn("usable", (~text.is_refusal(F.col(answer))).cast("double"))
-        .withColumn("form", text.bounded_key(text.normalise(F.col(answer))))
-    )
+    clean = samples.withColumn(answer, text.strip(F.coalesce(F.col(answer), F.lit(""))))
+    words = clean.withColumn("_words", text.tokens(F.col(answer)))
+    bags = words.withColumn("_bag", text.bag(F.col("_words")))
+    return bags.withColumns(
+        {
+            "vector": text.unit_bag(F.col("_bag")),
+            "usable": (~text.is_refusal(F.col(answer), F.size("_words"))).cast("double"),
+            "form": text.bounded_key(text.normalise(F.col(answer))),
+        }
+    ).drop("_words", "_bag")
 
 
 def array_vectors(samples: DataFrame, values: str) -> DataFrame:
@@ -73,22 +79,29 @@ def array_vectors(samples: DataFrame, values: str) -> DataFrame:
     A zero vector counts as empty.  Every sample is usable and its own form.
     """
     numbers = F.transform(values, lambda x: x.cast("double"))
-    length = F.sqrt(F.aggregate(numbers, F.lit(0.0), lambda acc, x: acc + x * x))
+    squares = F.aggregate("_numbers", F.lit(0.0), lambda acc, x: acc + x * x)
+    sized = samples.withColumn("_numbers", numbers).withColumn("_length", F.sqrt(squares))
     entries = F.transform(
-        numbers, lambda x, i: F.struct(i.cast("string").alias("token"), (x / length).alias("w"))
+        "_numbers",
+        lambda x, i: F.struct(i.cast("string").alias("token"), (x / F.col("_length")).alias("w")),
     )
     empty = F.array().cast("array<struct<token:string,w:double>>")
-    return (
-        samples.withColumn("vector", F.when(length > 0, entries).otherwise(empty))
-        .withColumn("usable", F.lit(1.0))
-        .withColumn("form", F.sha2(F.to_json(F.struct(values)), 256))
-        .withColumn("answer", F.lit(None).cast("string"))
-        .drop(values)
-    )
+    return sized.withColumns(
+        {
+            "vector": F.when(F.col("_length") > 0, entries).otherwise(empty),
+            "usable": F.lit(1.0),
+            "form": F.sha2(F.to_json(F.struct(values)), 256),
+            "answer": F.lit(None).cast("string"),
+        }
+    ).drop(values, "_numbers", "_length")
 
 
 def _entries(vectors: DataFrame, keys: list[str], idx: str) -> DataFrame:
-    """One row per (sample, token); the first also carries the sample's attributes."""
+    """One row per (sample, token); the first also carries the sample's attributes.
+
+    An empty sample gets one entry of weight 0 under a token of its own, which
+    adds nothing and keeps empty samples apart from each other.
+    """
     attrs = F.struct("usable", "form", "answer", (F.size("vector") > 0).cast("int").alias("filled"))
     first = F.coalesce(F.col("pos"), F.lit(0)) == 0
     return (
@@ -96,8 +109,8 @@ def _entries(vectors: DataFrame, keys: list[str], idx: str) -> DataFrame:
         .select(
             *keys,
             idx,
-            F.col("col.token").alias("token"),
-            F.col("col.w").alias("w"),
+            F.coalesce("col.token", F.concat(F.lit("#"), F.col(idx))).alias("token"),
+            F.coalesce("col.w", F.lit(0.0)).alias("w"),
             F.when(first, F.col("attrs")).alias("attrs"),
         )
     )
@@ -107,7 +120,7 @@ def _per_sample(scored: DataFrame, keys: list[str], idx: str) -> DataFrame:
     return (
         scored.groupBy(*keys, idx)
         .agg(
-            F.coalesce(F.sum(F.col("w") * F.col("s")), F.lit(0.0)).alias("dot"),
+            F.sum(F.col("w") * F.col("s")).alias("dot"),
             F.first("attrs", ignorenulls=True).alias("attrs"),
         )
         .select(*keys, idx, "dot", "attrs.*")
@@ -130,39 +143,38 @@ def _per_question(samples: DataFrame, keys: list[str], idx: str) -> DataFrame:
 
 
 def _ordinary_scores(vectors: DataFrame, keys: list[str], idx: str) -> DataFrame:
-    rows = _entries(vectors.repartition(*keys), keys, idx)
+    """For rows already partitioned by ``keys``: nothing below shuffles again."""
     total = F.sum("w").over(Window.partitionBy(*keys, "token"))
-    return _per_sample(rows.withColumn("s", total), keys, idx)
+    return _per_sample(_entries(vectors, keys, idx).withColumn("s", total), keys, idx)
 
 
-def _heavy_scores(vectors: DataFrame, keys: list[str], idx: str) -> DataFrame:
-    fan = shuffle_partitions(vectors.sparkSession)
+def _heavy_scores(vectors: DataFrame, keys: list[str], idx: str, min_rows: int) -> DataFrame:
+    """Tokens summed with a combined aggregate, then joined back past frequent ones."""
     rows = _entries(vectors, keys, idx)
-    sums = (
-        rows.where(F.col("token").isNotNull())
-        .groupBy(*keys, "token")
-        .agg(F.sum("w").alias("s"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(fan - 1))))
-    )
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64(idx), F.lit(fan)).cast("int"))
-    return _per_sample(salted.join(sums, [*keys, "token", "salt"], "left"), keys, idx)
+    pair = [*keys, "token"]
+    sums = rows.groupBy(*pair).agg(F.sum("w").alias("s"), F.count(F.lit(1)).alias("rows"))
+    joined = join_lookup(rows, sums.drop("rows"), pair, "inner", [idx], min_rows, sums.drop("s"))
+    return _per_sample(joined, keys, idx)
 
 
 def vector_agreement(
-    vectors: DataFrame,
+    samples: DataFrame,
+    vectorise: Callable[[DataFrame], DataFrame],
     keys: list[str] = STEP,
     idx: str = "sample_idx",
     min_heavy_rows: int = MIN_HEAVY_ROWS,
 ) -> DataFrame:
     """One row per question: size, consistency, answerability, dispersion, medoid.
 
-    ``vectors`` has ``vector`` (array of (token, w), length one or empty),
-    ``usable``, ``form`` and ``answer``; ``idx`` is a number unique within the
-    question.  Any similarity that is a dot product of unit vectors fits.
+    ``vectorise`` adds ``vector`` (array of (token, w), length one or empty),
+    ``usable``, ``form`` and ``answer``; any similarity that is a dot product of unit
+    vectors fits.  It is applied after the shuffle, so that the raw rows travel
+    and not the larger vectors.  ``idx`` is a number unique within the question.
     """
-    ordinary, heavy = split_heavy(vectors, keys, min_heavy_rows)
-    found = _per_question(_ordinary_scores(ordinary, keys, idx), keys, idx).unionByName(
-        _per_question(_heavy_scores(heavy, keys, idx), keys, idx)
+    ordinary, heavy = split_heavy(samples, keys, min_heavy_rows)
+    together = vectorise(ordinary.repartition(*keys))
+    found = _per_question(_ordinary_scores(together, keys, idx), keys, idx).unionByName(
+        _per_question(_heavy_scores(vectorise(heavy), keys, idx, min_heavy_rows), keys, idx)
     )
     n = F.col("n_samples")
     pairs = n * (n - 1)
@@ -190,7 +202,7 @@ def step_agreement(
     min_heavy_rows: int = MIN_HEAVY_ROWS,
 ) -> DataFrame:
     """:func:`vector_agreement` of answer texts, plus the three evidence levels."""
-    return with_evidence(vector_agreement(text_vectors(samples), keys, idx, min_heavy_rows))
+    return with_evidence(vector_agreement(samples, text_vectors, keys, idx, min_heavy_rows))
 
 
 def with_evidence(agreement: DataFrame) -> DataFrame:

@@ -109,7 +109,7 @@ def orphan_updates(changes: DataFrame, min_heavy_rows: int = MIN_HEAVY_ROWS) ->
         changes.where(F.col("op") == "create").groupBy("job_id").agg(F.min("seq").alias("_born"))
     )
     updates = changes.where(F.col("op") == "update")
-    joined = join_lookup(updates, creates, ["job_id"], "left", min_heavy_rows)
+    joined = join_lookup(updates, creates, ["job_id"], "left", ["seq"], min_heavy_rows)
     return joined.where(F.col("_born").isNull() | (F.col("seq") < F.col("_born"))).drop("_born")
 
 

@@ -132,11 +132,15 @@ def quantiles(df: DataFrame, column: str, fractions: list[float], by: list[str]
 
     slots = F.array(*[s for f in fractions for s in neighbours(f)])
     ends = order_statistics(df, column, slots, by)
-    low = F.max(F.when(F.col("slot.side") == 0, F.col("v").cast("double")))
-    high = F.max(F.when(F.col("slot.side") == 1, F.col("v").cast("double")))
-    return ends.groupBy(*by, F.col("slot.fraction").alias("fraction"), F.col("slot.weight").alias("weight")).agg(
-        (low + (high - low) * F.col("weight")).alias("value")
-    ).select(*by, "fraction", "value")
+    def end(side: int) -> Column:
+        return F.max(F.when(F.col("slot.side") == side, F.col("v").cast("double")))
+
+    low, high, weight = F.col("low"), F.col("high"), F.col("weight")
+    keys = [F.col("slot.fraction").alias("fraction"), F.col("slot.weight").alias("weight")]
+    both = ends.groupBy(*by, *keys).agg(end(0).alias("low"), end(1).alias("high"))
+    # no arithmetic where none is needed: an infinite neighbour must not spoil an exact hit
+    value = F.when((weight == 0) | (low == high), low).otherwise(low + (high - low) * weight)
+    return both.select(*by, "fraction", value.alias("value"))
 
 
 def split_ordered(df: DataFrame, order_key: str, fraction: float = 0.7) -> tuple[DataFrame, DataFrame]:

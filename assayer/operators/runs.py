@@ -91,7 +91,7 @@ def next_plan(
     plans have to be matched with the runs that keep them.
     """
     kept = routed.where(F.col("source") == "current_plan").select(key)
-    staying = join_lookup(current, kept, [key], "left_semi", min_heavy_rows)
+    staying = join_lookup(current, kept, [key], "left_semi", ["pos"], min_heavy_rows)
     return proposed.withColumn("source", F.lit("decision")).unionByName(
         staying.withColumn("source", F.lit("current_plan"))
     )

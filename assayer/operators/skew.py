@@ -1,9 +1,9 @@
 """Heavy keys: finding them, and joining past them.
 
-A key is *heavy* when it holds more than one part in ``4 x shuffle partitions``
-of all rows.  By that definition there are never more than ``4 x shuffle
-partitions`` of them, whatever the data, so a list of heavy keys is always safe
-to broadcast; every other key fits comfortably into one task.
+With P shuffle partitions, a key is *heavy* when it holds more than one part in 4P
+of all rows.  By that definition there are fewer than 4P of them, whatever the
+data, so a list of heavy keys is always safe to broadcast; every other key fits
+comfortably into one task.
 """
 
 from __future__ import annotations
@@ -16,16 +16,23 @@ from assayer.session import shuffle_partitions
 MIN_HEAVY_ROWS = 100_000
 
 
-def heavy_keys(df: DataFrame, keys: list[str], min_rows: int = MIN_HEAVY_ROWS) -> DataFrame:
-    """The keys that would overload one task.
+def key_counts(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, rows): reads the key columns only and combines before the shuffle."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
 
-    One combined count over the key columns; the total is taken from the same
-    counts, so their exchange is shared.
+
+def heavy_keys(counts: DataFrame, keys: list[str], min_rows: int = MIN_HEAVY_ROWS) -> DataFrame:
+    """(keys, fan) of the keys that would overload one task.
+
+    ``fan`` is the number of tasks a key is worth.  Over all heavy keys the fans
+    add up to less than 8P.  The total is taken from the same counts, so their
+    exchange is shared.
     """
-    limit = 4 * shuffle_partitions(df.sparkSession)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
-    total = counts.agg(F.sum("rows").alias("total")).scalar()
-    return counts.where((F.col("rows") >= min_rows) & (F.col("rows") * limit > total)).select(*keys)
+    limit = 4 * shuffle_partitions(counts.sparkSession)
+    share = F.col("rows") * limit / counts.agg(F.sum("rows").alias("total")).scalar()
+    return counts.where(F.col("rows") >= min_rows).withColumn("share", share).where(
+        F.col("share") > 1
+    ).select(*keys, F.ceil("share").cast("int").alias("fan"))
 
 
 def split_heavy(
@@ -35,49 +42,32 @@ def split_heavy(
 
     Without heavy keys AQE sees the empty broadcast and drops the second part.
     """
-    heavy = heavy_keys(df, keys, min_rows)
-    return (
-        df.join(F.broadcast(heavy), keys, "left_anti"),
-        df.join(F.broadcast(heavy), keys, "left_semi"),
-    )
+    heavy = F.broadcast(heavy_keys(key_counts(df, keys), keys, min_rows).select(*keys))
+    return df.join(heavy, keys, "left_anti"), df.join(heavy, keys, "left_semi")
 
 
 def join_lookup(
     rows: DataFrame,
     lookup: DataFrame,
     keys: list[str],
-    how: str = "left",
+    how: str,
+    spread_by: list[str],
     min_rows: int = MIN_HEAVY_ROWS,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``rows`` with a ``lookup`` that holds each key at most once.
 
-    Rows of heavy keys are spread over as many tasks as there are shuffle
-    partitions, and only their few lookup rows are copied to match.  The spread
-    hashes the row itself, so a re-run task sends it to the same place.
+    Rows of a heavy key are spread over ``fan`` tasks by a hash of ``spread_by``
+    (columns that tell them apart), and its one lookup row is copied that often.
+    A hash, unlike a random number, sends a re-run row to the same place.
+    ``counts`` saves a pass where the rows per key are known already.
     """
-    spark = rows.sparkSession
-    fan = shuffle_partitions(spark)
-    heavy = heavy_keys(rows, keys, min_rows).withColumn("_heavy", F.lit(True))
-    spread = (
-        rows.join(F.broadcast(heavy), keys, "left")
-        .withColumn(
-            "_salt",
-            F.when(F.col("_heavy"), F.pmod(F.xxhash64(*_hashable(rows)), F.lit(fan)).cast("int")).otherwise(0),
-        )
-        .drop("_heavy")
+    heavy = F.broadcast(heavy_keys(key_counts(rows, keys) if counts is None else counts, keys, min_rows))
+    fan = F.coalesce("fan", F.lit(1))
+    spread = rows.join(heavy, keys, "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(*spread_by), fan).cast("int")
     )
-    salts = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(fan - 1))).otherwise(F.array(F.lit(0)))
-    copies = (
-        lookup.join(F.broadcast(heavy), keys, "left")
-        .withColumn("_salt", F.explode(salts))
-        .drop("_heavy")
+    copies = lookup.join(heavy, keys, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), fan - 1))
     )
-    return spread.join(copies, [*keys, "_salt"], how).drop("_salt")
-
-
-def _hashable(df: DataFrame) -> list[str]:
-    """Columns ``xxhash64`` accepts: everything but maps and variants."""
-    simple = [
-        f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")
-    ]
-    return simple or df.columns
+    return spread.drop("fan").join(copies.drop("fan"), [*keys, "_salt"], how).drop("_salt")

@@ -80,7 +80,9 @@ def result_summary(
     ends = past.groupBy(key).agg(
         F.min(F.when(solid, F.col("pos"))).alias("_first"), F.max(F.when(solid, F.col("pos"))).alias("_last")
     )
-    placed = join_lookup(past.select(key, "pos", "result"), ends, [key], "inner", min_heavy_rows)
+    placed = join_lookup(
+        past.select(key, "pos", "result"), ends, [key], "inner", ["pos"], min_heavy_rows
+    )
     lead, trail = F.col("pos") == F.col("_first"), F.col("pos") == F.col("_last")
     trimmed = (
         F.when(lead & trail, text.strip(F.col("result")))
