@@ -25,8 +25,6 @@ def replay(rows, ttl=None):
             ended.append((job, store.pop(job)))
             now = None
         if op == "create":
-            if now is None or ttl is None:
-                pass
             store[job] = {"status": "queued", "prompt": "", "result": None, "error": None, **changes,
                           "created": at, "updated": at}
         elif now is None:
@@ -74,6 +72,7 @@ def test_lives_equal_replay(spark, seed):
     rows = history(seed)
     store, ended, _ = replay(rows, ttl=DAY)
     lives = jobs.job_lives(frame(spark, rows)).collect()
+
     def key(pair):
         return (pair[0], pair[1]["created"])
 
@@ -88,7 +87,7 @@ def test_a_job_is_gone_at_exactly_its_ttl(spark):
         assert jobs.live_jobs(frame(spark, rows), as_of).count() == alive
 
 
-def test_reference_lifecycle(spark):
+def test_lifecycle(spark):
     rows = [
         ("j1", 0, "create", {"prompt": "hello"}, 0),
         ("j1", 1, "update", {"status": "running"}, 5),
