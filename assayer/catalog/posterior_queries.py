@@ -62,27 +62,31 @@ _RESOLVED_SQL = """SELECT x.l_orderkey, x.l_linenumber, x.task, x.data, x.tool,
 """
 
 
-def _resolved_columns(resolved: DataFrame) -> DataFrame:
-    named = distribution_map(F.col("theta"))
+def _report_table(table: DataFrame) -> DataFrame:
+    """The resolution table in report form: shaped once on its 216 rows, not per row."""
+    named = table.withColumn("named", distribution_map(F.col("theta")))
     by_name = [
-        F.round(F.element_at(named, name), 6).alias(f"p{i}")
+        F.round(F.element_at("named", name), 6).alias(f"p{i}")
         for i, name in enumerate(("CERTAIN", "HIGH", "MEDIUM", "LOW", "AMBIGUOUS"))
     ]
-    return resolved.select(
-        "l_orderkey", "l_linenumber", *LEVELS, "state", "state_index", r6("confidence"),
-        r6("good_probability"), "is_conflict", *by_name, r6("credible_low"), r6("credible_high"),
-        r6("effective_sample_size"),
+    return named.select(
+        *LEVELS, "state", "state_index", r6("confidence"), r6("good_probability"), "is_conflict", *by_name,
+        r6("credible_low"), r6("credible_high"), r6("effective_sample_size"),
     )
 
 
+def _resolved(spark, sf_dir, evidence: DataFrame, interval: str = "normal") -> DataFrame:
+    table = _report_table(posterior.resolutions(learnt(spark, sf_dir), interval))
+    return posterior.resolve(evidence.select("l_orderkey", "l_linenumber", *LEVELS), table)
+
+
 @query(
     q.with_parts(*_POSTERIOR, q.CUBE)
     + _RESOLVED_SQL
     + "FROM e x JOIN resolved r ON " + q.SAME_EVIDENCE
 )
 def resolve_full(spark, sf_dir):
-    evidence = fx.observations(spark, sf_dir).select("l_orderkey", "l_linenumber", *LEVELS)
-    return _resolved_columns(posterior.resolve(evidence, posterior.resolutions(learnt(spark, sf_dir))))
+    return _resolved(spark, sf_dir, fx.observations(spark, sf_dir))
 
 
 @query(
@@ -91,16 +95,13 @@ def resolve_full(spark, sf_dir):
     + "FROM pe x JOIN resolved r ON " + q.SAME_EVIDENCE
 )
 def resolve_partial(spark, sf_dir):
-    evidence = fx.partial_evidence(spark, sf_dir).select("l_orderkey", "l_linenumber", *LEVELS)
-    return _resolved_columns(posterior.resolve(evidence, posterior.resolutions(learnt(spark, sf_dir))))
+    return _resolved(spark, sf_dir, fx.partial_evidence(spark, sf_dir))
 
 
 @query()
 def resolve_exact_interval(spark, sf_dir):
     """Exact Beta quantiles have no SQL form here; tests hold known answers."""
-    evidence = fx.partial_evidence(spark, sf_dir).select("l_orderkey", "l_linenumber", *LEVELS)
-    table = posterior.resolutions(learnt(spark, sf_dir), interval="beta")
-    return _resolved_columns(posterior.resolve(evidence, table))
+    return _resolved(spark, sf_dir, fx.partial_evidence(spark, sf_dir), "beta")
 
 
 @query(

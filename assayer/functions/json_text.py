@@ -58,6 +58,10 @@ def _scan(texts: pd.Series) -> pd.Series:
     return texts.map(one, na_action="ignore").astype(object)
 
 
+# Its result is used several times; only a nondeterministic function is never copied.
+_scan_once = _scan.asNondeterministic()
+
+
 def braced_candidates(text: Column) -> Column:
     """The candidates that hold a ``{``, each cut to start at its first one."""
     return F.transform(
@@ -73,5 +77,5 @@ def native_object(options: Column) -> Column:
 
 def scanned_object(options: Column) -> Column:
     """The same by scanning every candidate, for rows the native attempt left NULL."""
-    found = _scan(options)
+    found = _scan_once(options)
     return F.coalesce(F.to_json(F.try_parse_json(found)), found)

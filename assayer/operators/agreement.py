@@ -28,7 +28,8 @@ def bag_of_words(samples: DataFrame, column: str = "answer") -> DataFrame:
     """One row per (sample, token) with its count; the row's other columns stay."""
     rest = [c for c in samples.columns if c != column]
     words = samples.select(*rest, text.tokens(F.col(column)).alias("_words"))
-    return words.select(*rest, F.inline(text.bag(F.col("_words"))))
+    counted = words.select(*rest, F.inline_outer(text.bag(F.col("_words"))))
+    return counted.where(F.col("token").isNotNull())
 
 
 def _bags(df: DataFrame, columns: dict[str, str]) -> DataFrame:

@@ -53,7 +53,15 @@ def _parsed(recovered: DataFrame) -> DataFrame:
 def plan_rows(recovered: DataFrame) -> DataFrame:
     """One row per step with its position; the row's other columns stay."""
     rest = [c for c in recovered.columns if c != "obj"]
-    return _parsed(recovered).select(*rest, F.posexplode(_steps(F.col("_v"))).alias("pos", "step"))
+    steps = _parsed(recovered).withColumn("_steps", _steps(F.col("_v")))
+    return _exploded(steps, rest, "_steps")
+
+
+def _exploded(df: DataFrame, rest: list[str], column: str) -> DataFrame:
+    """One row per element.  The plain form would first filter on the array's size,
+    and so evaluate the whole chain behind it a second time."""
+    rows = df.select(*rest, F.posexplode_outer(column).alias("pos", "step"))
+    return rows.where(F.col("pos").isNotNull())
 
 
 def decisions(recovered: DataFrame) -> DataFrame:
@@ -89,6 +97,4 @@ def decisions(recovered: DataFrame) -> DataFrame:
 
 def decided_steps(decided: DataFrame, key: str = "run_id") -> DataFrame:
     """(run, pos, step) of the plans among the decisions."""
-    return decided.select(key, F.posexplode("steps").alias("pos", "step")).withColumn(
-        "pos", F.col("pos").cast("long")
-    )
+    return _exploded(decided, [key], "steps").withColumn("pos", F.col("pos").cast("long"))

@@ -14,6 +14,8 @@ def build_session(app: str = "assayer", master: str | None = None, **conf: str)
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        # call sites of every column cost more than planning does
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master)
