@@ -18,14 +18,13 @@ def _split(spark, sf_dir):
     return split_ordered(fx.signal_rows(spark, sf_dir), "id")
 
 
-def _edges(spark, sf_dir):
-    train, _ = _split(spark, sf_dir)
+def _edges(train):
     return latent.quantile_edges(train, "signals", _AXES, _BINS)
 
 
-def _binned(spark, sf_dir, rows):
-    """Bins of the first three dimensions; the edges stay inside the plan."""
-    return latent.with_bins(rows, "signals", _edges(spark, sf_dir), _AXES, _BINS)
+def _binned(rows, edges):
+    """Bins of the first three dimensions."""
+    return latent.with_bins(rows, "signals", edges, _AXES, _BINS)
 
 
 @query(
@@ -33,12 +32,13 @@ def _binned(spark, sf_dir, rows):
     + "SELECT axis, CAST(fraction AS DOUBLE) AS fraction, round(value, 6) AS value FROM edges"
 )
 def quantile_edges(spark, sf_dir):
-    return _edges(spark, sf_dir).withColumn("value", r6("value"))
+    return _edges(_split(spark, sf_dir)[0]).withColumn("value", r6("value"))
 
 
 @query(q.with_parts(q.SIGNALS) + "SELECT id, b0, b1, b2, cell FROM cells")
 def quantile_bins(spark, sf_dir):
-    rows = _binned(spark, sf_dir, fx.signal_rows(spark, sf_dir))
+    train, _ = _split(spark, sf_dir)
+    rows = _binned(fx.signal_rows(spark, sf_dir), _edges(train))
     return rows.select(
         "id",
         *[F.get("bins", F.lit(a)).alias(f"b{a}") for a in range(_AXES)],
@@ -54,13 +54,14 @@ def ordered_split(spark, sf_dir):
 @query(q.with_parts(q.SIGNALS) + "SELECT * FROM grid")
 def grid_counts(spark, sf_dir):
     train, _ = _split(spark, sf_dir)
-    return grid.grid_counts(_binned(spark, sf_dir, train), _BINS)
+    return grid.grid_counts(_binned(train, _edges(train)), _BINS)
 
 
 def _predicted(spark, sf_dir):
     train, test = _split(spark, sf_dir)
-    table = grid.grid_predictive(grid.grid_counts(_binned(spark, sf_dir, train), _BINS))
-    return grid.grid_predict(_binned(spark, sf_dir, test), table, _AXES, _BINS)
+    edges = _edges(train)
+    table = grid.grid_predictive(grid.grid_counts(_binned(train, edges), _BINS))
+    return grid.grid_predict(_binned(test, edges), table, _AXES, _BINS)
 
 
 @query(q.with_parts(q.SIGNALS) + "SELECT id, cell, outcome, prediction FROM predicted")

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from assayer.catalog import fixtures as fx
 from assayer.catalog import sql as q
 from assayer.catalog.registry import query, r6, spread
-from assayer.functions.ordinal import context_index, distribution_map
+from assayer.functions.ordinal import context_index, distribution_map, state_name
 from assayer.operators import posterior
+from assayer.session import settled
 from assayer.schema import LEVELS
 
 _POSTERIOR = (q.E, q.PRIOR, q.COUNTS, q.ALPHA)
@@ -120,7 +121,7 @@ def resolve_exact_interval(spark, sf_dir):
     FROM joint WHERE data = 4 GROUP BY outcome"""
 )
 def network_query(spark, sf_dir):
-    alpha = learnt(spark, sf_dir)
+    alpha = settled(learnt(spark, sf_dir), "posterior")
 
     def ask(target: str, given: dict[str, int]) -> DataFrame:
         told = ",".join(f"{k}={v}" for k, v in given.items())
@@ -181,8 +182,6 @@ def lenient_counts(spark, sf_dir):
     FROM e GROUP BY 1, 3"""
 )
 def context_outcomes(spark, sf_dir):
-    from assayer.functions.ordinal import state_name
-
     rows = fx.observations(spark, sf_dir)
     ctx = context_index(F.col("task"), F.col("data"), F.col("tool")).alias("ctx")
     return rows.groupBy(ctx, state_name(F.col("outcome")).alias("outcome_name")).agg(

@@ -85,6 +85,21 @@ def next_plan(spark, sf_dir):
     return runs.next_plan(*_routed(spark, sf_dir))
 
 
+@query(
+    q.with_parts(*_PLAN) + _DECIDED
+    + """, summaries AS (
+      SELECT run_id, pos // 1000 AS chunk, string_agg(result, ' ' ORDER BY pos) AS text FROM past GROUP BY ALL
+      UNION ALL SELECT run_id, 0, 'No results were produced.' FROM d
+      WHERE run_id NOT IN (SELECT run_id FROM past))
+    SELECT run_id, CAST(0 AS BIGINT) AS chunk, response AS text FROM going WHERE next = 'END' AND source = 'decision'
+    UNION ALL SELECT s.run_id, s.chunk, s.text FROM summaries s JOIN going g USING (run_id)
+    WHERE g.next = 'END' AND g.source = 'summary'"""
+)
+def final_responses(spark, sf_dir):
+    summaries = steps.result_summary(fx.runs(spark, sf_dir), fx.past_steps(spark, sf_dir))
+    return runs.final_responses(_routed(spark, sf_dir)[0], summaries)
+
+
 def _scored_past(spark, sf_dir):
     return score_tool_outputs(
         fx.past_steps(spark, sf_dir).withColumnRenamed("task", "task_text"), _prior_resolutions(spark)
@@ -94,8 +109,7 @@ def _scored_past(spark, sf_dir):
 @query(
     q.with_parts(*_KEYWORDS, q.STEPS)
     + """SELECT d.run_id, CAST(count(p.pos) AS BIGINT) AS steps_executed,
-      round(coalesce(arg_max(CASE WHEN x.gated THEN r.confidence ELSE 1.0 END, p.pos), 1.0), 6) AS confidence,
-      arg_max(p.step, p.pos) AS last_task
+      round(coalesce(arg_max(CASE WHEN x.gated THEN r.confidence ELSE 1.0 END, p.pos), 1.0), 6) AS confidence
     FROM (SELECT DISTINCT user_id AS run_id FROM events) d
     LEFT JOIN past p USING (run_id)
     LEFT JOIN kw x ON x.event_id = p.pos

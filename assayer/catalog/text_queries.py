@@ -8,13 +8,12 @@ from assayer.catalog import fixtures as fx
 from assayer.catalog import sql as q
 from assayer.catalog.posterior_queries import learnt
 from assayer.catalog.registry import query, r6
-from assayer.functions.signals import is_gated, keyword_evidence
+from assayer.functions import signals
 from assayer.operators import agreement, json_objects, posterior, runs
 from assayer.plans.scoring import score_steps, score_tool_outputs
 
 _TALK = (q.ANSWERS, q.BAGS, q.AGREEMENT)
 _PRIOR_ONLY = (q.PRIOR, q.ALPHA_OF_PRIOR, q.CUBE)
-_ARROW = "'^\\s+|\\s+$'"
 
 
 # every conversation is one step, so its number alone is the question's key
@@ -143,8 +142,8 @@ def embedding_agreement(spark, sf_dir):
     q.with_parts(q.O, q.KEYWORDS)
     + "SELECT event_id AS obs_id, task, data, tool FROM kw"
 )
-def keyword_evidence_levels(spark, sf_dir):
-    found = fx.tool_observations(spark, sf_dir).withColumn("ev", keyword_evidence(F.col("result")))
+def keyword_evidence(spark, sf_dir):
+    found = fx.tool_observations(spark, sf_dir).withColumn("ev", signals.keyword_evidence(F.col("result")))
     return found.select("obs_id", "ev.task", "ev.data", "ev.tool")
 
 
@@ -153,7 +152,7 @@ def keyword_evidence_levels(spark, sf_dir):
     + "SELECT event_id AS obs_id, result FROM kw WHERE gated"
 )
 def conflict_gate(spark, sf_dir):
-    return fx.tool_observations(spark, sf_dir).where(is_gated(F.col("result"))).select("obs_id", "result")
+    return fx.tool_observations(spark, sf_dir).where(signals.is_gated(F.col("result"))).select("obs_id", "result")
 
 
 @query(

@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assayer.functions import ordinal
@@ -103,8 +103,12 @@ def posterior_from(
 
 def cpt(alpha: DataFrame) -> DataFrame:
     """(ctx, task, data, tool, theta): predictive distribution per context."""
+    return alpha.select("ctx", *LEVELS, _theta().alias("theta"))
+
+
+def _theta() -> Column:
     total = F.aggregate("alpha", F.lit(0.0), lambda acc, a: acc + a)
-    return alpha.select("ctx", *LEVELS, F.transform("alpha", lambda a: a / total).alias("theta"))
+    return F.transform("alpha", lambda a: a / total)
 
 
 def cpt_long(alpha: DataFrame) -> DataFrame:
@@ -118,12 +122,8 @@ def cpt_check(alpha: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     """Per context: does the column sum to one, is every concentration positive?"""
     total = F.aggregate("theta", F.lit(0.0), lambda acc, p: acc + p)
     return (
-        alpha.join(cpt(alpha).select("ctx", "theta"), "ctx")
-        .select(
-            "ctx",
-            total.alias("p_sum"),
-            F.array_min("alpha").alias("alpha_min"),
-        )
+        alpha.withColumn("theta", _theta())
+        .select("ctx", total.alias("p_sum"), F.array_min("alpha").alias("alpha_min"))
         .withColumn("valid", (F.abs(F.col("p_sum") - 1.0) <= tolerance) & (F.col("alpha_min") > 0))
     )
 
@@ -227,11 +227,10 @@ def network_query(
     for name, level in (evidence or {}).items():
         if name in known:
             joint = joint.where(F.col(name) == level)
-    mass = joint.groupBy(target).agg(F.sum("p").alias("p"))
-    return mass.select(
-        F.col(target).cast("int").alias("level"),
-        (F.col("p") / joint.agg(F.sum("p").alias("total")).scalar()).alias("p"),
-    )
+    mass = joint.groupBy(F.col(target).cast("int").alias("level")).agg(F.sum("p").alias("p"))
+    # at most five rows
+    whole = F.sum("p").over(Window.partitionBy(F.lit(0)))
+    return mass.select("level", (F.col("p") / whole).alias("p"))
 
 
 def evidence_histogram(evidence: DataFrame) -> DataFrame:

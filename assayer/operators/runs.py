@@ -16,25 +16,18 @@ def default_answer(answer: Column, task: Column) -> Column:
 
 
 def run_summary(runs: DataFrame, past: DataFrame, key: str = "run_id") -> DataFrame:
-    """(run, steps_executed, confidence, last_task): the last step's confidence counts.
+    """(run, steps_executed, confidence): the last step's confidence counts.
 
-    A run without steps has confidence 1.  One aggregate over both tables.
+    A run without steps has confidence 1.  One hash aggregate over both tables.
     """
-    kind = past.schema["confidence"].dataType
-    steps = past.select(key, F.struct("pos", "confidence", "task").alias("step"))
-    known = runs.select(key).withColumn(
-        "step",
-        F.lit(None).cast(steps.schema["step"].dataType),
-    )
+    steps = past.select(key, "pos", "confidence")
+    known = runs.select(key)
     return (
-        steps.unionByName(known)
+        steps.unionByName(known, allowMissingColumns=True)
         .groupBy(key)
-        .agg(F.count("step").alias("steps_executed"), F.max("step").alias("last"))
-        .select(
-            key,
-            "steps_executed",
-            F.coalesce("last.confidence", F.lit(1.0).cast(kind)).alias("confidence"),
-            F.col("last.task").alias("last_task"),
+        .agg(
+            F.count("pos").alias("steps_executed"),
+            F.coalesce(F.max_by("confidence", "pos"), F.lit(1.0)).alias("confidence"),
         )
     )
 
@@ -97,6 +90,21 @@ def next_plan(
     )
 
 
+def final_responses(
+    routed: DataFrame, summaries: DataFrame, key: str = "run_id", min_heavy_rows: int = MIN_HEAVY_ROWS
+) -> DataFrame:
+    """(run, chunk, text) of the runs that ended: the decision's response, or the
+    chunks of :func:`assayer.operators.steps.result_summary`."""
+    ended = routed.where(F.col("next") == "END")
+    told = ended.where(F.col("source") == "decision").select(
+        key, F.lit(0).cast("long").alias("chunk"), F.col("response").alias("text")
+    )
+    untold = ended.where(F.col("source") == "summary").select(key)
+    return told.unionByName(
+        join_lookup(summaries, untold, [key], "left_semi", ["chunk"], min_heavy_rows).select(key, "chunk", "text")
+    )
+
+
 def cohort_gap(scored: DataFrame, cohort: str, a, b, confidence: str = "confidence") -> DataFrame:
     """Mean confidence of two cohorts and the difference, in one pass."""
     def mean(value) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "assayer", master: str | None = None, **conf: str) -> SparkSession:
@@ -44,5 +44,16 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """Write a result to the shared folder and read it back.
+
+    For a small table that several later steps need, such as a posterior: its
+    lineage ends here, and losing an executor does not recompute it.
+    """
+    path = fresh_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -54,8 +54,8 @@ def test_summary_and_transcript_do_not_depend_on_chunks(spark, chunk, min_heavy)
 def test_run_summary(spark):
     df = past(spark, (1, 0, "a", "r", 0.9), (1, 2, "c", "r", 0.2), (1, 1, "b", "r", 0.5))
     rows = {r.run_id: r for r in runs.run_summary(run_ids(spark, 2), df).collect()}
-    assert (rows[1].steps_executed, rows[1].confidence, rows[1].last_task) == (3, 0.2, "c")
-    assert (rows[0].steps_executed, rows[0].confidence, rows[0].last_task) == (0, 1.0, None)
+    assert (rows[1].steps_executed, rows[1].confidence) == (3, 0.2)
+    assert (rows[0].steps_executed, rows[0].confidence) == (0, 1.0)
 
 
 def test_routes(spark):
@@ -93,6 +93,8 @@ def test_replanning(spark, min_heavy):
         6: ("summary", None, "END"),
         7: ("summary", None, "END"),
     }
+    told = runs.final_responses(routed, steps.result_summary(run_ids(spark, 8), done), min_heavy_rows=min_heavy)
+    assert texts(told, " ") == {4: "bye", 5: "executed: step 1", 6: "executed: step 1", 7: "executed: step 1"}
     left = runs.next_plan(routed, proposed, pending, min_heavy_rows=min_heavy).collect()
     assert sorted((r.run_id, r.step, r.source) for r in left) == [
         (1, "step 2", "current_plan"), (2, "Step 9", "decision"), (3, "step 2", "current_plan"),
