@@ -82,18 +82,8 @@ def bag(words: Column) -> Column:
 
 def bag_norm(counts: Column) -> Column:
     """Euclidean length of a bag."""
-    return F.sqrt(F.aggregate(counts, F.lit(0.0), lambda acc, e: acc + e["tf"] * e["tf"]))
-
-
-def unit_bag(counts: Column) -> Column:
-    """The bag scaled to length one, as ``array<struct<token, w>>``."""
-    return _let(
-        bag_norm(counts),
-        lambda length: F.transform(
-            counts,
-            lambda e: F.struct(bounded_key(e["token"]).alias("token"), (e["tf"] / length).alias("w")),
-        ),
-    )
+    square = F.aggregate(counts, F.lit(0.0), lambda acc, e: acc + e["tf"].cast("double") * e["tf"])
+    return F.sqrt(square)
 
 
 def shared_tokens(left: Column, right: Column) -> Column:

@@ -61,40 +61,38 @@ def pair_cosine(pairs: DataFrame, left: str, right: str) -> DataFrame:
 
 
 def text_vectors(samples: DataFrame, answer: str = "answer") -> DataFrame:
-    """Adds ``vector`` (unit bag of words) and the attributes the report needs."""
+    """Adds ``vector`` (bag of words), its ``length``, and what the report needs."""
     clean = samples.withColumn(answer, text.strip(F.coalesce(F.col(answer), F.lit(""))))
-    words = clean.withColumn("_words", text.tokens(F.col(answer)))
-    bags = words.withColumn("_bag", text.bag(F.col("_words")))
-    return bags.withColumns(
+    read = clean.withColumns(
+        {"_words": text.tokens(F.col(answer)), "_normal": text.normalise(F.col(answer))}
+    )
+    bags = read.withColumns(
         {
-            "vector": text.unit_bag(F.col("_bag")),
+            "vector": text.bag(F.col("_words")),
             "usable": (~text.is_refusal(F.col(answer), F.size("_words"))).cast("double"),
-            "form": text.bounded_key(text.normalise(F.col(answer))),
+            "form": text.bounded_key(F.col("_normal")),
         }
-    ).drop("_words", "_bag")
+    )
+    return bags.withColumn("length", text.bag_norm(F.col("vector"))).drop("_words", "_normal")
 
 
 def array_vectors(samples: DataFrame, values: str) -> DataFrame:
-    """Adds ``vector`` for numeric arrays (embeddings): one entry per dimension.
+    """Adds ``vector`` and ``length`` for numeric arrays (embeddings), an entry per dimension.
 
     A zero vector counts as empty.  Every sample is usable and its own form.
     """
-    numbers = F.transform(values, lambda x: x.cast("double"))
-    squares = F.aggregate("_numbers", F.lit(0.0), lambda acc, x: acc + x * x)
-    sized = samples.withColumn("_numbers", numbers).withColumn("_length", F.sqrt(squares))
     entries = F.transform(
-        "_numbers",
-        lambda x, i: F.struct(i.cast("string").alias("token"), (x / F.col("_length")).alias("w")),
+        values, lambda x, i: F.struct(i.cast("string").alias("token"), x.cast("double").alias("tf"))
     )
-    empty = F.array().cast("array<struct<token:string,w:double>>")
+    sized = samples.withColumn("vector", entries).withColumn("length", text.bag_norm(F.col("vector")))
     return sized.withColumns(
         {
-            "vector": F.when(F.col("_length") > 0, entries).otherwise(empty),
+            "vector": F.when(F.col("length") > 0, F.col("vector")).otherwise(F.slice("vector", 1, 0)),
             "usable": F.lit(1.0),
             "form": F.sha2(F.to_json(F.struct(values)), 256),
             "answer": F.lit(None).cast("string"),
         }
-    ).drop(values, "_numbers", "_length")
+    ).drop(values)
 
 
 def _entries(vectors: DataFrame, keys: list[str], idx: str) -> DataFrame:
@@ -106,12 +104,14 @@ def _entries(vectors: DataFrame, keys: list[str], idx: str) -> DataFrame:
     attrs = F.struct("usable", "form", "answer", (F.size("vector") > 0).cast("int").alias("filled"))
     first = F.coalesce(F.col("pos"), F.lit(0)) == 0
     return (
-        vectors.select(*keys, idx, attrs.alias("attrs"), F.posexplode_outer("vector"))
+        vectors.select(*keys, idx, "length", attrs.alias("attrs"), F.posexplode_outer("vector"))
         .select(
             *keys,
             idx,
-            F.coalesce("col.token", F.concat(F.lit("#"), F.col(idx))).alias("token"),
-            F.coalesce("col.w", F.lit(0.0)).alias("w"),
+            F.coalesce(
+                text.bounded_key(F.col("col.token")), F.concat(F.lit("#"), F.col(idx))
+            ).alias("token"),
+            F.coalesce(F.col("col.tf") / F.col("length"), F.lit(0.0)).alias("w"),
             F.when(first, F.col("attrs")).alias("attrs"),
         )
     )
@@ -167,10 +167,10 @@ def vector_agreement(
 ) -> DataFrame:
     """One row per question: size, consistency, answerability, dispersion, medoid.
 
-    ``vectorise`` adds ``vector`` (array of (token, w), length one or empty),
-    ``usable``, ``form`` and ``answer``; any similarity that is a dot product of unit
-    vectors fits.  It is applied after the shuffle, so that the raw rows travel
-    and not the larger vectors.  ``idx`` is a number unique within the question.
+    ``vectorise`` adds ``vector`` (array of (token, tf), maybe empty), its Euclidean
+    ``length``, ``usable``, ``form`` and ``answer``; any similarity that is the cosine
+    of sparse vectors fits.  It is applied after the shuffle, so that the raw rows
+    travel and not the larger vectors.  ``idx`` is a number unique within the question.
     """
     ordinary, heavy = split_heavy(samples, keys, min_heavy_rows)
     together = vectorise(ordinary.repartition(*keys))
