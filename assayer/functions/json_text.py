@@ -29,7 +29,8 @@ def fence_bodies(text: Column) -> Column:
 
 def candidates(text: Column) -> Column:
     """Where to look, in order: fenced bodies, then the whole text."""
-    return F.concat(fence_bodies(text), F.array(text))
+    whole = F.array(text)
+    return F.when(text.contains("```"), F.concat(fence_bodies(text), whole)).otherwise(whole)
 
 
 def first_decodable(text: str) -> dict | None:
@@ -46,14 +47,13 @@ def first_decodable(text: str) -> dict | None:
 
 @F.pandas_udf(T.StringType())
 def _scan(texts: pd.Series) -> pd.Series:
-    def one(options):
-        for option in options:
-            found = first_decodable(option)
-            if found is not None:
-                plain = json.dumps(found, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
-                # a lone surrogate cannot leave Python as UTF-8
-                return plain.encode("utf-8", "replace").decode("utf-8")
-        return None
+    def one(text):
+        found = first_decodable(text)
+        if found is None:
+            return None
+        plain = json.dumps(found, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+        # a lone surrogate cannot leave Python as UTF-8
+        return plain.encode("utf-8", "replace").decode("utf-8")
 
     return texts.map(one, na_action="ignore").astype(object)
 
@@ -76,6 +76,14 @@ def native_object(options: Column) -> Column:
 
 
 def scanned_object(options: Column) -> Column:
-    """The same by scanning every candidate, for rows the native attempt left NULL."""
-    found = _scan_once(options)
+    """The same by scanning every candidate, for rows the native attempt left NULL.
+
+    The candidates travel as one text: U+0000 is allowed nowhere in JSON, so no
+    object can reach from one into the next.
+    """
+    return _scan_once(F.array_join(options, "\0"))
+
+
+def canonical(found: Column) -> Column:
+    """Scanned text in the form the native attempt gives, where JSON allows."""
     return F.coalesce(F.to_json(F.try_parse_json(found)), found)

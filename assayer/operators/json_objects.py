@@ -19,9 +19,10 @@ def recover_json(outputs: DataFrame, column: str = "text") -> DataFrame:
         "_native", json_text.native_object(F.col("_options"))
     )
     rest = F.when(F.col("_native").isNull(), F.col("_options"))
-    return tried.withColumn(
-        "obj", F.coalesce("_native", json_text.scanned_object(rest))
-    ).drop("_options", "_native")
+    scanned = tried.withColumn("_scanned", json_text.scanned_object(rest))
+    return scanned.withColumn(
+        "obj", F.coalesce("_native", json_text.canonical(F.col("_scanned")))
+    ).drop("_options", "_native", "_scanned")
 
 
 def unparseable(recovered: DataFrame, column: str = "text", width: int = 200) -> DataFrame:
