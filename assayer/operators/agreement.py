@@ -154,6 +154,9 @@ def _heavy_scores(vectors: DataFrame, keys: list[str], idx: str, min_rows: int)
     rows = _entries(vectors, keys, idx)
     pair = [*keys, "token"]
     sums = rows.groupBy(*pair).agg(F.sum("w").alias("s"), F.count(F.lit(1)).alias("rows"))
+    # true for every group; naming both results keeps the aggregate whole wherever
+    # it is used, so that its uses share one exchange
+    sums = sums.where(F.col("s").isNotNull() & (F.col("rows") > 0))
     joined = join_lookup(rows, sums.drop("rows"), pair, "inner", [idx], min_rows, sums.drop("s"))
     return _per_sample(joined, keys, idx)
 
