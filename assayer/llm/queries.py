@@ -31,3 +31,17 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     placed = packed_documents(table(spark, sf_dir, "documents"), with_ids=False)
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@_register
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assayer.llm import secret_scan as scan
+
+    found = scan.findings(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["rank"] < len(scan.BASE))
+    return found.select(
+        F.col("path").alias("doc_id"),
+        *(scan.of_kind(F.col("spans"), rule.kind).alias(f"n_{rule.kind}") for rule in scan.BASE),
+        F.sha2(scan.listed(base), 256).alias("base_sha256"),
+        scan.listed(F.col("spans")).alias("spans"),
+    )
