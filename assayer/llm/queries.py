@@ -45,3 +45,17 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(scan.listed(base), 256).alias("base_sha256"),
         scan.listed(F.col("spans")).alias("spans"),
     )
+
+
+@_register
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assayer.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_register
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assayer.llm.quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
