@@ -59,3 +59,17 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assayer.llm.quality import quality_scores
 
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_register
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assayer.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), size=2)
+
+
+@_register
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assayer.llm.decontam import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
