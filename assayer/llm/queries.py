@@ -73,3 +73,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assayer.llm.decontam import leaks
 
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_register
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assayer.llm.language import languages
+
+    return languages(table(spark, sf_dir, "documents"))
