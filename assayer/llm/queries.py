@@ -80,3 +80,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assayer.llm.language import languages
 
     return languages(table(spark, sf_dir, "documents"))
+
+
+@_register
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assayer.llm.main_text import main_texts
+
+    return main_texts(table(spark, sf_dir, "pages"))
