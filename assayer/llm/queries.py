@@ -87,3 +87,10 @@ def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assayer.llm.main_text import main_texts
 
     return main_texts(table(spark, sf_dir, "pages"))
+
+
+@_register
+def op7_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assayer.llm.vector_graph import linked_vectors
+
+    return linked_vectors(table(spark, sf_dir, "embeddings"))
