@@ -142,10 +142,14 @@ def planned_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def executed_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R: every step with its tool result."""
+    return with_result(planned_steps(spark, sf_dir)).select("run_id", "pos", F.col("step").alias("task"), "result")
+
+
 def past_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R: the steps of the first ten days, with their tool results."""
-    early = planned_steps(spark, sf_dir).where(F.col("ts") < F.lit("2024-01-11").cast("timestamp_ntz"))
-    return with_result(early).select("run_id", "pos", F.col("step").alias("task"), "result")
+    """R: the completed steps, by a rule on the step's number."""
+    return executed_steps(spark, sf_dir).where(F.col("pos") % 5 == 0)
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,11 +88,11 @@ def next_plan(spark, sf_dir):
 @query(
     q.with_parts(*_PLAN) + _DECIDED
     + """, summaries AS (
-      SELECT run_id, pos // 1000 AS chunk, string_agg(result, ' ' ORDER BY pos) AS text FROM past GROUP BY ALL
-      UNION ALL SELECT run_id, 0, 'No results were produced.' FROM d
+      SELECT run_id, string_agg(result, ' ' ORDER BY pos) AS text FROM past GROUP BY run_id
+      UNION ALL SELECT run_id, 'No results were produced.' FROM d
       WHERE run_id NOT IN (SELECT run_id FROM past))
-    SELECT run_id, CAST(0 AS BIGINT) AS chunk, response AS text FROM going WHERE next = 'END' AND source = 'decision'
-    UNION ALL SELECT s.run_id, s.chunk, s.text FROM summaries s JOIN going g USING (run_id)
+    SELECT run_id, response AS text FROM going WHERE next = 'END' AND source = 'decision'
+    UNION ALL SELECT s.run_id, s.text FROM summaries s JOIN going g USING (run_id)
     WHERE g.next = 'END' AND g.source = 'summary'"""
 )
 def final_responses(spark, sf_dir):
@@ -102,7 +102,7 @@ def final_responses(spark, sf_dir):
 
 def _scored_past(spark, sf_dir):
     return score_tool_outputs(
-        fx.past_steps(spark, sf_dir).withColumnRenamed("task", "task_text"), _prior_resolutions(spark)
+        fx.executed_steps(spark, sf_dir).withColumnRenamed("task", "task_text"), _prior_resolutions(spark)
     ).drop("task").withColumnRenamed("task_text", "task")
 
 
@@ -111,7 +111,7 @@ def _scored_past(spark, sf_dir):
     + """SELECT d.run_id, CAST(count(p.pos) AS BIGINT) AS steps_executed,
       round(coalesce(arg_max(CASE WHEN x.gated THEN r.confidence ELSE 1.0 END, p.pos), 1.0), 6) AS confidence
     FROM (SELECT DISTINCT user_id AS run_id FROM events) d
-    LEFT JOIN past p USING (run_id)
+    LEFT JOIN steps p USING (run_id)
     LEFT JOIN kw x ON x.event_id = p.pos
     LEFT JOIN resolved r ON """ + q.SAME_EVIDENCE + " GROUP BY d.run_id"
 )
@@ -122,21 +122,19 @@ def run_summary(spark, sf_dir):
 
 @query(
     q.with_parts(*_PLAN)
-    + """SELECT run_id, pos // 1000 AS chunk, string_agg('- ' || step || ': ' || result, chr(10) ORDER BY pos) AS text
-    FROM past GROUP BY ALL"""
+    + """SELECT run_id, string_agg('- ' || step || ': ' || result, chr(10) ORDER BY pos) AS text
+    FROM steps GROUP BY run_id"""
 )
 def transcript(spark, sf_dir):
-    return steps.transcript(fx.past_steps(spark, sf_dir))
+    return steps.transcript(fx.executed_steps(spark, sf_dir))
 
 
 @query(
     q.with_parts(*_PLAN)
-    + """SELECT run_id, pos // 1000 AS chunk, string_agg(result, ' ' ORDER BY pos) AS text FROM past GROUP BY ALL
-    UNION ALL SELECT DISTINCT user_id, 0, 'No results were produced.' FROM events
-    WHERE user_id NOT IN (SELECT run_id FROM past)"""
+    + "SELECT run_id, string_agg(result, ' ' ORDER BY pos) AS text FROM steps GROUP BY run_id"
 )
 def result_summary(spark, sf_dir):
-    return steps.result_summary(fx.runs(spark, sf_dir), fx.past_steps(spark, sf_dir))
+    return steps.result_summary(fx.runs(spark, sf_dir), fx.executed_steps(spark, sf_dir))
 
 
 @query(

@@ -9,6 +9,7 @@ fails, but another ``{`` exists, reach the Arrow function.
 from __future__ import annotations
 
 import json
+import re
 import sys
 
 import pandas as pd
@@ -34,17 +35,43 @@ def candidates(text: Column) -> Column:
 
 
 def first_decodable(text: str) -> dict | None:
-    """Try every opening brace in turn until one starts a valid object."""
+    """Try opening braces in turn until one starts a valid object.
+
+    What a failed attempt had left open fails at the same place and is not tried again.
+    A text nested too deep for the parser gives nothing, never an inner piece.
+    """
     decode = json.JSONDecoder().raw_decode
-    at = text.find("{")
-    while at >= 0:
-        try:
-            return decode(text, at)[0]
-        except (ValueError, RecursionError):
-            at = text.find("{", at + 1)
+    hopeless: set[int] = set()
+    for opening in _OPENING.finditer(text):
+        at = opening.start()
+        if at not in hopeless:
+            try:
+                return decode(text, at)[0]
+            except RecursionError:
+                return None
+            except json.JSONDecodeError as failed:
+                hopeless.update(_left_open(text, at, failed.pos))
+            except ValueError:  # a number with too many digits
+                pass
     return None
 
 
+# an object can only begin with a name or end at once
+_OPENING = re.compile(r'\{(?=[ \t\n\r]*+["}])')
+_STRING_OR_BRACE = re.compile(r'"(?:[^"\\]|\\.)*+"|[{}]', re.S)
+
+
+def _left_open(text: str, start: int, stop: int) -> list[int]:
+    """Braces between two places that are open at the second; up to it the text is valid."""
+    depth: list[int] = []
+    for token in _STRING_OR_BRACE.finditer(text, start, stop):
+        if token[0] == "{":
+            depth.append(token.start())
+        elif token[0] == "}":
+            depth.pop()
+    return depth
+
+
 @F.pandas_udf(T.StringType())
 def _scan(texts: pd.Series) -> pd.Series:
     def one(text):

@@ -80,9 +80,13 @@ def vagueness_penalty(text: Column) -> Column:
     return F.when(text.rlike(r"\p{Nd}"), F.lit(0)).otherwise(F.lit(1))
 
 
+def _read(result: Column) -> Column:
+    return F.lower(F.coalesce(result, F.lit("None")))
+
+
 def keyword_evidence(result: Column) -> Column:
     """``struct<task, data, tool>`` levels; a missing result reads as ``none``."""
-    lowered = F.lower(F.coalesce(result, F.lit("None")))
+    lowered = _read(result)
     conflict = conflict_score(lowered)
     return F.struct(
         clip_level(F.greatest(positive_score(lowered), conflict - 1)).alias("task"),
@@ -92,10 +96,10 @@ def keyword_evidence(result: Column) -> Column:
 
 
 def is_gated(result: Column) -> Column:
-    """Does the text deserve an update at all?"""
-    return _contains_any(F.lower(result), GATE_TERMS)
+    """Does the text deserve an update at all? A missing result reads as ``none``, too."""
+    return _contains_any(_read(result), GATE_TERMS)
 
 
 def is_unavailable(error_class: Column, message: Column) -> Column:
     """Does an error mean that the model service was unreachable?"""
-    return _contains_any(F.lower(F.concat(error_class, F.lit(": "), message)), UNAVAILABLE_PHRASES)
+    return _contains_any(F.lower(F.concat_ws(": ", error_class, message)), UNAVAILABLE_PHRASES)

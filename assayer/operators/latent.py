@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -148,14 +149,19 @@ def predict(
 def evaluation_report(
     projection: LatentProjection, predicted: DataFrame, raw_dim: int, outcome: str = "outcome"
 ) -> DataFrame:
-    """One row with sizes, variance kept, accuracy and majority baseline."""
+    """One row with sizes, variance kept, accuracy and majority baseline.
+
+    The number of raw states is a decimal text, as it outgrows every number type; the
+    ratio of compression is given as its logarithm.
+    """
     naive, reduced = grid.state_reduction(raw_dim, projection.n_components, projection.n_bins)
     variance = projection.explained_variance()
     return grid.accuracy(predicted, outcome).select(
         F.lit(raw_dim).alias("raw_dim"),
-        F.lit(float(naive)).alias("naive_raw_states"),
+        F.lit(str(naive)).alias("naive_raw_states"),
+        F.lit(math.log10(naive)).alias("log10_naive_raw_states"),
         F.lit(reduced).cast("long").alias("latent_states"),
-        F.lit(naive / reduced).alias("compression_ratio"),
+        F.lit(math.log10(naive) - math.log10(reduced)).alias("log10_compression_ratio"),
         F.lit(None if variance is None else round(variance, 3)).cast("double").alias("explained_variance"),
         F.round("accuracy", 3).alias("test_accuracy"),
         F.round("majority_baseline", 3).alias("majority_baseline"),

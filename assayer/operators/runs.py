@@ -90,19 +90,13 @@ def next_plan(
     )
 
 
-def final_responses(
-    routed: DataFrame, summaries: DataFrame, key: str = "run_id", min_heavy_rows: int = MIN_HEAVY_ROWS
-) -> DataFrame:
-    """(run, chunk, text) of the runs that ended: the decision's response, or the
-    chunks of :func:`assayer.operators.steps.result_summary`."""
+def final_responses(routed: DataFrame, summaries: DataFrame, key: str = "run_id") -> DataFrame:
+    """(run, text) of the runs that ended: the decision's response, or the
+    text of :func:`assayer.operators.steps.result_summary`."""
     ended = routed.where(F.col("next") == "END")
-    told = ended.where(F.col("source") == "decision").select(
-        key, F.lit(0).cast("long").alias("chunk"), F.col("response").alias("text")
-    )
+    told = ended.where(F.col("source") == "decision").select(key, F.col("response").alias("text"))
     untold = ended.where(F.col("source") == "summary").select(key)
-    return told.unionByName(
-        join_lookup(summaries, untold, [key], "left_semi", ["chunk"], min_heavy_rows).select(key, "chunk", "text")
-    )
+    return told.unionByName(summaries.join(untold, key, "left_semi").select(key, "text"))
 
 
 def cohort_gap(scored: DataFrame, cohort: str, a, b, confidence: str = "confidence") -> DataFrame:

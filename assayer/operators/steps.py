@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions import text
-from assayer.operators.skew import MIN_HEAVY_ROWS, join_lookup
 
 NO_RESULTS = "No results were produced."  # fixed value
 
+#: Step numbers whose lines are sorted and joined together.
+PART_STEPS = 1000
+
 
 def pending_steps(
     steps: DataFrame, completed: DataFrame, key: str = "run_id", step: str = "step", done: str = "task"
@@ -52,61 +54,33 @@ def next_step(pending: DataFrame, key: str = "run_id") -> DataFrame:
     )
 
 
-def transcript(past: DataFrame, key: str = "run_id", chunk_steps: int = 1000) -> DataFrame:
-    """(run, chunk, text): lines ``- task: result`` in step order.
-
-    A run may be too long for one row, so its text comes in chunks of
-    ``chunk_steps`` step numbers; joining the chunks of a run with a newline gives
-    the whole.  (run, pos) is unique, which bounds every chunk.
-    """
+def transcript(past: DataFrame, key: str = "run_id", part_steps: int = PART_STEPS) -> DataFrame:
+    """(run, text): lines ``- task: result`` in step order, one text per run."""
     line = F.concat(F.lit("- "), F.col("task"), F.lit(": "), F.col("result"))
-    return _chunked(past.withColumn("_text", line), key, chunk_steps, "\n")
+    return _joined(past.withColumn("_text", line), key, part_steps, "\n")
 
 
-def result_summary(
-    runs: DataFrame,
-    past: DataFrame,
-    key: str = "run_id",
-    chunk_steps: int = 1000,
-    min_heavy_rows: int = MIN_HEAVY_ROWS,
-) -> DataFrame:
-    """(run, chunk, text): the results joined by blanks and stripped, per run.
+def result_summary(runs: DataFrame, past: DataFrame, key: str = "run_id", part_steps: int = PART_STEPS) -> DataFrame:
+    """(run, text): the results joined by blanks and stripped, one text per run.
 
-    Chunks as in :func:`transcript`, to be joined by a blank.  Only what stands
-    at the two ends of a run is stripped, so the whole is exact.  A run without
-    steps gets the fixed sentence.
+    A run without steps gets the fixed sentence.
     """
-    solid = F.length(text.strip(F.col("result"))) > 0
-    ends = past.groupBy(key).agg(
-        F.min(F.when(solid, F.col("pos"))).alias("_first"), F.max(F.when(solid, F.col("pos"))).alias("_last")
-    )
-    placed = join_lookup(
-        past.select(key, "pos", "result"), ends, [key], "inner", ["pos"], min_heavy_rows
-    )
-    lead, trail = F.col("pos") == F.col("_first"), F.col("pos") == F.col("_last")
-    trimmed = (
-        F.when(lead & trail, text.strip(F.col("result")))
-        .when(lead, F.ltrim("result", F.lit(text.SPACES)))
-        .when(trail, F.rtrim("result", F.lit(text.SPACES)))
-        .otherwise(F.col("result"))
-    )
-    kept = placed.where(F.col("pos").between(F.col("_first"), F.col("_last")))
-    chunks = _chunked(kept.withColumn("_text", trimmed), key, chunk_steps, " ")
-    blank = ends.where(F.col("_first").isNull()).select(
-        key, F.lit(0).cast("long").alias("chunk"), F.lit("").alias("text")
-    )
-    none = (
-        runs.select(key)
-        .distinct()
-        .join(ends.select(key), key, "left_anti")
-        .select(key, F.lit(0).cast("long").alias("chunk"), F.lit(NO_RESULTS).alias("text"))
-    )
-    return chunks.unionByName(blank).unionByName(none)
+    whole = _joined(past.withColumn("_text", F.col("result")), key, part_steps, " ")
+    found = whole.select(key, text.strip(F.col("text")).alias("text"))
+    none = runs.select(key).distinct().join(whole.select(key), key, "left_anti")
+    return found.unionByName(none.select(key, F.lit(NO_RESULTS).alias("text")))
 
 
-def _chunked(lines: DataFrame, key: str, chunk_steps: int, glue: str) -> DataFrame:
-    chunk = F.floor(F.col("pos") / chunk_steps).alias("chunk")
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "_text")))
-    return lines.groupBy(key, chunk).agg(
-        F.array_join(F.transform(ordered, lambda e: e["_text"]), glue).alias("text")
+def _joined(lines: DataFrame, key: str, part_steps: int, glue: str) -> DataFrame:
+    """(run, text): the lines of a run in step order.
+
+    Parts of ``part_steps`` step numbers are sorted and joined in parallel; only their texts
+    meet in one row, which is the result itself. Equal positions follow their text.
+    """
+    part = F.floor(F.col("pos") / part_steps).alias("_part")
+    sorted_lines = F.sort_array(F.collect_list(F.struct("pos", F.coalesce("_text", F.lit("")).alias("_text"))))
+    parts = lines.groupBy(key, part).agg(
+        F.array_join(F.transform(sorted_lines, lambda e: e["_text"]), glue).alias("_joined")
     )
+    sorted_parts = F.sort_array(F.collect_list(F.struct("_part", "_joined")))
+    return parts.groupBy(key).agg(F.array_join(F.transform(sorted_parts, lambda e: e["_joined"]), glue).alias("text"))

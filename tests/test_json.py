@@ -1,10 +1,11 @@
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from assayer.functions.json_text import braced_candidates, native_object
+from assayer.functions.json_text import braced_candidates, first_decodable, native_object
 from assayer.operators import json_objects as K
 
 KNOWN = {
@@ -103,3 +104,13 @@ def test_decisions(spark, text, want):
     df = spark.createDataFrame([(1, text)], "run_id int, text string")
     r = K.decisions(K.recover_json(df)).first()
     assert (r.action, r.response, r.steps) == want
+
+
+def test_too_deep_or_never_closed_texts_give_nothing_fast():
+    began = time.perf_counter()
+    assert first_decodable('{"a":' * 200_000) is None
+    assert first_decodable('{"a":' * 20_000 + "1" + "}" * 20_000) is None
+    assert first_decodable('{"a": ' * 900 + "oops") is None
+    assert first_decodable('{"a": {"b": 1}, oops {"c": 2}') == {"b": 1}
+    assert first_decodable("{x " * 300_000) is None
+    assert time.perf_counter() - began < 5

@@ -1,10 +1,12 @@
 import pytest
 
 import __spark_entry__ as driver
+from assayer.catalog.registry import REGISTRY
 from tests.oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = driver.queries(), driver.oracle_sql()
+QUERIES = {name: q.run for name, q in REGISTRY.items()}
+SQL = {name: q.sql for name, q in REGISTRY.items() if q.sql}
 # no SQL: exact Beta quantiles, PCA, sketches; covered by known answers elsewhere
 ROWS_ONLY = {"resolve_exact_interval", "latent_fit", "latent_predict", "latent_report", "stream_latency"}
 

@@ -53,3 +53,10 @@ def test_signals_stay_in_generated_code(spark):
     plan = df.select(S.keyword_evidence(F.col("r")).alias("e"), S.is_gated(F.col("r")).alias("g"))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in text
+
+
+def test_missing_texts_are_ungated_and_available(spark):
+    df = spark.createDataFrame([(None, None), ("Timeout", None), (None, "fine")], "kind string, message string")
+    rows = df.select(S.is_gated(F.col("message")), S.is_unavailable(F.col("kind"), F.col("message"))).collect()
+    assert all(v is not None for r in rows for v in r)
+    assert [r[0] for r in rows] == [False, False, False]
