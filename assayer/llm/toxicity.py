@@ -84,7 +84,7 @@ def fit(
         return Linear(np.zeros(2 * BUCKETS), bias)
     rows = positive + unlabelled
     n, p = len(rows), len(positive)
-    flat = np.concatenate([at for at, _ in rows])
+    flat = np.concatenate([at for at, _ in rows]).astype(np.int64)  # of an empty list the type is lost
     value = np.concatenate([v for _, v in rows]).astype(float)
     row = np.repeat(np.arange(n), [len(at) for at, _ in rows])
     in_p = row < p
