@@ -155,14 +155,18 @@ def of_kind(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
-def redacted(text: Column, rules: tuple[Rule, ...] = RULES, mark: str = "[REDACTED]") -> Column:
-    """The text with every finding replaced, rule after rule."""
+def redacted(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, mark: str = "[REDACTED]") -> DataFrame:
+    """The documents with every finding in their text replaced, rule after rule.
+
+    Each rule's result is a column of its own before the next, so that no rule is
+    worked out more than once.
+    """
     for rule in rules:
-        pattern = F.lit(rule.pattern)
+        own, pattern = F.col(text), F.lit(rule.pattern)
         rows = F.arrays_zip(
-            F.split(text, rule.pattern, -1).alias("gap"),
-            F.regexp_extract_all(text, pattern, F.lit(0)).alias("whole"),
-            F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("deciding"),
+            F.split(own, rule.pattern, -1).alias("gap"),
+            F.regexp_extract_all(own, pattern, F.lit(0)).alias("whole"),
+            F.regexp_extract_all(own, pattern, F.lit(rule.group)).alias("deciding"),
         )
         parts = F.transform(
             rows,
@@ -171,5 +175,5 @@ def redacted(text: Column, rules: tuple[Rule, ...] = RULES, mark: str = "[REDACT
                 F.when(F.length(r["deciding"]) >= least, F.lit(mark)).otherwise(F.coalesce(r["whole"], F.lit(""))),
             ),
         )
-        text = F.when(text.rlike(rule.pattern), F.array_join(parts, "")).otherwise(text)
-    return text
+        docs = docs.withColumn(text, F.when(own.rlike(rule.pattern), F.array_join(parts, "")).otherwise(own))
+    return docs

@@ -106,7 +106,7 @@ def test_secrets(spark, tmp_path):
     base = F.filter("spans", lambda s: s["rank"] < 3)
     found = {r.path: r.base for r in secret_scan.findings(docs).select("path", secret_scan.listed(base).alias("base")).collect()}
     assert found == {i: base_spans(t or "") for i, t in enumerate([*texts, texts[-1]])}
-    clean = docs.select(secret_scan.redacted(F.col("text")).alias("t")).collect()
+    clean = secret_scan.redacted(docs).select(F.col("text").alias("t")).collect()
     assert all(base_spans(r.t or "") == "" or "[REDACTED]" in r.t for r in clean)
     ledger = str(tmp_path / "ledger")
     first = secret_scan.update_ledger(docs, ledger).count()
