@@ -42,11 +42,13 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Findings are replaced by a mark; ``n_chars`` follows the text. Every document stays."""
     found = secret_scan.findings(docs).where(F.size("spans") > 0)
     holders = settled(found.select(F.col("path").alias("doc_id")).distinct(), "holders")
-    marked = docs.join(holders.withColumn("found", F.lit(True)).hint("shuffle_hash"), "doc_id", "left")
-    text = F.when(F.col("found"), secret_scan.redacted(F.col("text"))).otherwise(F.col("text"))
-    changed = marked.withColumn("text", text)
+    marked = docs.join(holders.withColumn("_found", F.lit(True)).hint("shuffle_hash"), "doc_id", "left")
+    # the others' texts don't pass the rules
+    marked = marked.withColumn("_secret", F.when(F.col("_found"), F.col("text")))
+    changed = secret_scan.redacted(marked, "_secret").withColumn("text", F.coalesce("_secret", "text"))
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("found"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        length = F.length("_secret").cast("long")
+        changed = changed.withColumn("n_chars", F.coalesce(length, "n_chars"))
     return changed.select(docs.columns)
 
 
