@@ -3,7 +3,9 @@
 1. Every text becomes a set of hashed word shingles; equal sets share a digest and are
    represented by their smallest id, so copies never meet in pairs.
 2. Minima of universal hashes are cut into bands. In each bucket of equal bands every
-   document is paired with the bucket's smallest only, and the pairs are verified.
+   document is paired only with the bucket's most central one, which meets most others over all
+   its buckets, and the pairs are verified: the original of many edited copies
+   links with all of them, while two copies need not be similar.
 3. Components of the verified links leave few buckets with more than one component.
    There the rest is compared, in blocks of bounded size and by signatures first.
 4. Components of all links are the classes. No bucket or group is capped.
@@ -157,21 +159,26 @@ def near_duplicates(
 
     nodes = linked.where("doc_id = node").select("node", "bands", "signature").dropDuplicates(["node"])
     banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    buckets = banded.groupBy("band", "key").agg(F.min("node").alias("m"), F.count("*").alias("n"))
-    buckets = settled(buckets.where("n > 1"), "buckets")
+    buckets = settled(banded.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     members = settled(banded.join(buckets, ["band", "key"]), "members")
-    stars = members.where("node <> m").select(F.col("node").alias("a"), F.col("m").alias("b"))
+    meets = settled(members.groupBy("node").agg(F.sum("n").alias("meets")), "meets")
+    central = members.join(meets, "node").groupBy("band", "key").agg(
+        F.max(F.struct("meets", (-F.col("node")).alias("before"))).alias("best")
+    )
+    central = settled(central.select("band", "key", (-F.col("best.before")).alias("m")), "central")
+    paired = members.join(central, ["band", "key"]).where("node <> m")
+    stars = settled(paired.select(F.greatest("node", "m").alias("a"), F.least("node", "m").alias("b")).distinct(), "stars")
     links = verified(stars, rows, size, percent)
     groups = settled(components(links), "groups")
 
     grouped = members.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    grouped = settled(grouped.drop("m"), "grouped")
+    grouped = settled(grouped, "grouped")
     mixed = grouped.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     mixed = settled(mixed.where("lo < hi").select("band", "key"), "mixed")
     # a bucket of two was verified whole
     rest = grouped.where("n > 2").join(mixed, ["band", "key"]).join(nodes.select("node", "signature"), "node")
     more = _rest_of_buckets(rest, percent).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    more = more.distinct().join(stars.distinct(), ["a", "b"], "left_anti")
+    more = more.distinct().join(stars, ["a", "b"], "left_anti")
     links = verified(more, rows, size, percent)
 
     of_ids = linked.select("doc_id", "node").distinct().groupBy("doc_id")
