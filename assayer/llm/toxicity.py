@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm.common import in_fold, whole_text
+from assayer.session import settled
 
 BUCKETS = 1 << 18
 #: Bounds of the samples that the model is fitted on.
@@ -87,15 +88,7 @@ def fit(
     flat = np.concatenate([at for at, _ in rows]).astype(np.int64)  # of an empty list the type is lost
     value = np.concatenate([v for _, v in rows]).astype(float)
     row = np.repeat(np.arange(n), [len(at) for at, _ in rows])
-    in_p = row < p
-    mean_p = np.bincount(flat[in_p], weights=value[in_p], minlength=2 * BUCKETS) / p
-    mean_u = np.bincount(flat[~in_p], weights=value[~in_p], minlength=2 * BUCKETS) / (n - p)
-    gain = mean_p * np.log((mean_p + 0.5 / p) / (mean_u + 0.5 / (n - p)))
-    gain[np.bincount(flat[in_p], minlength=2 * BUCKETS) < LEAST_TEXTS] = 0
-    chosen = np.argsort(-gain, kind="stable")[:WEIGHTED]
-    kept = np.isin(flat, chosen[gain[chosen] > 0])
-    columns, at = np.unique(flat[kept], return_inverse=True)
-    row, value = row[kept], value[kept]
+    columns, at = np.unique(flat, return_inverse=True)
     share = np.r_[np.full(p, 1 / p), np.full(n - p, 1 / (n - p))]
     is_p = np.arange(n) < p
 
@@ -126,6 +119,23 @@ def _measured(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.pandas_udf(measure, "at array<int>, value array<float>")("text").alias("x"))
 
 
+def telling(sample: DataFrame) -> list[int]:
+    """The buckets that get a weight, from rows ``p, at, value``, summed by Spark."""
+    sizes = {r["p"]: r["count"] for r in sample.groupBy("p").count().collect()}
+    if len(sizes) < 2:
+        return []
+    each = sample.select("p", F.explode(F.arrays_zip("at", "value")).alias("e")).select("p", "e.*")
+    value = F.col("value").cast("double")
+    sums = each.groupBy("at").agg(
+        (F.sum(F.when(F.col("p"), value).otherwise(0.0)) / sizes[True]).alias("mean_p"),
+        (F.sum(F.when(F.col("p"), 0.0).otherwise(value)) / sizes[False]).alias("mean_u"),
+        F.sum(F.col("p").cast("long")).alias("holders"),
+    )
+    ratio = (F.col("mean_p") + 0.5 / sizes[True]) / (F.col("mean_u") + 0.5 / sizes[False])
+    gain = sums.where(F.col("holders") >= LEAST_TEXTS).select("at", (F.col("mean_p") * F.ln(ratio)).alias("gain"))
+    return [r["at"] for r in gain.where("gain > 0").orderBy(F.desc("gain"), "at").limit(WEIGHTED).collect()]
+
+
 def _sample(ids: DataFrame, rows: int, salt: str) -> DataFrame:
     """At most ``rows`` ids, those of the smallest hashes."""
     return ids.orderBy(F.xxhash64("doc_id", F.lit(salt)), "doc_id").limit(rows)
@@ -159,9 +169,13 @@ def toxicity_scores(
     ids = learning.select("doc_id").distinct()
     positive = _sample(ids.join(truth.where("label = 1"), "doc_id", "left_semi"), POSITIVE_ROWS, "p").withColumn("p", F.lit(True))
     unlabelled = _sample(ids, UNLABELLED_ROWS, "u").withColumn("p", F.lit(False))
-    chosen = positive.unionByName(unlabelled)
+    chosen = settled(positive.unionByName(unlabelled), "sample")
     texts = learning.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sample = _measured(texts).join(F.broadcast(chosen), "doc_id").select("p", "x.at", "x.value").toPandas()
+    sample = settled(_measured(texts), "features").join(F.broadcast(chosen), "doc_id").select("p", "x.at", "x.value")
+    # only what gets a weight goes to the driver
+    buckets = telling(sample)
+    weighed = F.filter(F.arrays_zip("at", "value"), lambda e: e["at"].isin(buckets))
+    sample = sample.select("p", weighed.alias("e")).select("p", "e.at", "e.value").toPandas()
     sets = {p: list(zip(g["at"], g["value"], strict=True)) for p, g in sample.groupby("p")}
     model = fit(sets.get(True, []), sets.get(False, []), prior)
     return rows.select(
