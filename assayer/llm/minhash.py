@@ -7,7 +7,8 @@
    its buckets, and the pairs are verified: the original of many edited copies
    links with all of them, while two copies need not be similar.
 3. Components of the verified links leave few buckets with more than one component.
-   There the rest is compared, in blocks of bounded size and by signatures first.
+   There the rest is compared, in blocks of bounded size, by signatures and then on full
+   sets within the task.
 4. Components of all links are the classes. No bucket or group is capped.
 """
 
@@ -27,8 +28,9 @@ from assayer.session import settled
 
 BANDS = 28
 ROWS = 5
-#: Documents of a block in which all signatures of a bucket's rest are compared.
-BLOCK = 256
+#: Documents, and shingles, of a block in which a bucket's rest is compared.
+BLOCK = 1024
+BLOCK_SHINGLES = 1 << 20
 #: Estimates this far below the threshold (six standard deviations) are not verified.
 MARGIN = 0.2
 
@@ -73,7 +75,7 @@ def minima(x: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, n_shingles, lo, hi, bands, signature`` of every row ``doc_id, text``."""
+    """``doc_id, n_shingles, lo, hi, bands`` of every row ``doc_id, text``."""
 
     def sign(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in series:
@@ -81,16 +83,16 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
             for text in texts:
                 x = shingles(text, size)
                 if not len(x):
-                    rows.append((0, 0, 0, None, None))
+                    rows.append((0, 0, 0, None))
                     continue
                 least = minima(x)
                 bands = _mixed((_mixed(least).reshape(BANDS, ROWS) * _PLACES[:ROWS]).sum(axis=1, dtype=np.uint64))
                 lo, hi = _mixed(x).sum(dtype=np.uint64), np.bitwise_xor.reduce(_mixed(x + _M(1)))
-                rows.append((len(x), lo.view(np.int64), hi.view(np.int64), bands.view(np.int64), (least >> _M(40)).astype(np.uint8).tobytes()))
-            yield pd.DataFrame(rows, columns=["n_shingles", "lo", "hi", "bands", "signature"])
+                rows.append((len(x), lo.view(np.int64), hi.view(np.int64), bands.view(np.int64)))
+            yield pd.DataFrame(rows, columns=["n_shingles", "lo", "hi", "bands"])
 
     sign.__annotations__ = {"series": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    kind = "n_shingles long, lo long, hi long, bands array<long>, signature binary"
+    kind = "n_shingles long, lo long, hi long, bands array<long>"
     return docs.select("doc_id", F.pandas_udf(sign, kind)("text").alias("s")).select("doc_id", "s.*")
 
 
@@ -116,27 +118,59 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     return settled(both.where(similar).select("a", "b"), "links")
 
 
-def _rest_of_buckets(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` of different components in the same bucket that signatures don't rule out."""
+def _rest_of_buckets(rows: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links ``a, b`` between components that meet in a bucket, from its members ``band, key, node, component``.
+
+    Every pair of a bucket's blocks meets in one task, which holds the full sets: signatures
+    rule pairs out, the sets verify the others. Two components are linked once in a task, so
+    neither candidates nor all links of a group leave it. Blocks are bounded in documents
+    and in shingles.
+    """
     least = percent / 100 - MARGIN
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        signature = np.frombuffer(b"".join(frame["signature"]), np.uint8).reshape(len(frame), -1)
         node, group, block = (frame[c].to_numpy() for c in ("node", "component", "block"))
+        group = group.copy()
         first, second = frame["first"].iloc[0], frame["second"].iloc[0]
+        sets = list(frame["x"])
+        signature = np.stack([minima(x.view(np.uint64)) >> _M(40) for x in sets]).astype(np.uint8)
+        length = np.array([len(x) for x in sets])
+        ends = np.cumsum(length)
+        distinct, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        ids = np.split(ids.astype(np.int32), ends[:-1])
+        held = np.zeros(len(distinct), bool)
         a, b = np.flatnonzero(block == first), np.flatnonzero(block == second)
         found = []
         for i in a:
-            others = b[(group[b] != group[i]) & ((node[b] > node[i]) if first == second else True)]
-            alike = (signature[others] == signature[i]).mean(axis=1)
-            found += [(node[i], node[j]) for j in others[alike >= least]]
+            others = b[group[b] != group[i]]
+            if first == second:
+                others = others[others > i]
+            low, high = np.minimum(length[others], length[i]), np.maximum(length[others], length[i])
+            others = others[100 * low >= percent * high]
+            others = others[(signature[others] == signature[i]).mean(axis=1) >= least]
+            if not len(others):
+                continue
+            held[ids[i]] = True
+            starts = np.r_[0, np.cumsum(length[others])[:-1]]
+            shared = np.add.reduceat(held[np.concatenate([ids[j] for j in others])].astype(np.int64), starts)
+            held[ids[i]] = False
+            for j in others[100 * shared >= percent * (length[i] + length[others] - shared)]:
+                if group[j] != group[i]:
+                    found.append((node[i], node[j]))
+                    group[group == group[j]] = group[i]
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("node", "band"), blocks).cast("int")).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), blocks - 1))
-    )
+    involved = settled(rows.select(F.col("node").alias("doc_id")).distinct(), "involved")
+    texts = docs.join(involved.hint("shuffle_hash"), "doc_id", "left_semi")
+    sets = texts.select(F.col("doc_id").alias("node"), shingle_array(F.col("text"), size).alias("x"))
+    sets = settled(sets.where(F.size("x") > 0).distinct(), "sets")
+    sizes = rows.join(sets.select("node", F.size("x").alias("s")), "node").groupBy("band", "key")
+    needed = F.greatest(F.count("*") / BLOCK, F.sum("s") / BLOCK_SHINGLES)
+    blocks = settled(sizes.agg(F.ceil(needed).cast("int").alias("blocks")), "blocks")
+    dealt = rows.join(blocks, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("node", "band"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other"))
+    dealt = dealt.select("band", "key", "first", "second", "block", "node", "component").join(sets, "node")
     return dealt.groupBy("band", "key", "first", "second").applyInPandas(compare, "a long, b long")
 
 
@@ -157,7 +191,7 @@ def near_duplicates(
     copies = settled(named.groupBy(equal).agg(F.min("doc_id").alias("node")), "copies")
     linked = settled(named.join(copies, equal), "represented")
 
-    nodes = linked.where("doc_id = node").select("node", "bands", "signature").dropDuplicates(["node"])
+    nodes = linked.where("doc_id = node").dropDuplicates(["node", *equal]).select("node", "bands")
     banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     buckets = settled(banded.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     members = settled(banded.join(buckets, ["band", "key"]), "members")
@@ -176,10 +210,8 @@ def near_duplicates(
     mixed = grouped.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     mixed = settled(mixed.where("lo < hi").select("band", "key"), "mixed")
     # a bucket of two was verified whole
-    rest = grouped.where("n > 2").join(mixed, ["band", "key"]).join(nodes.select("node", "signature"), "node")
-    more = _rest_of_buckets(rest, percent).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    more = more.distinct().join(stars, ["a", "b"], "left_anti")
-    links = verified(more, rows, size, percent)
+    rest = grouped.where("n > 2").join(mixed, ["band", "key"]).select("band", "key", "node", "component")
+    links = settled(_rest_of_buckets(settled(rest, "rest"), rows, size, percent).distinct(), "more")
 
     of_ids = linked.select("doc_id", "node").distinct().groupBy("doc_id")
     shared = of_ids.agg(F.min("node").alias("b"), F.max("node").alias("hi")).where("b < hi").drop("hi")
