@@ -163,7 +163,8 @@ def _rest_of_buckets(rows: DataFrame, docs: DataFrame, size: int, percent: int)
     involved = settled(rows.select(F.col("node").alias("doc_id")).distinct(), "involved")
     texts = docs.join(involved.hint("shuffle_hash"), "doc_id", "left_semi")
     sets = texts.select(F.col("doc_id").alias("node"), shingle_array(F.col("text"), size).alias("x"))
-    sets = settled(sets.where(F.size("x") > 0).distinct(), "sets")
+    # filtered after it is written: the filter would move below the join, and every text be measured
+    sets = settled(sets.distinct(), "sets").where(F.size("x") > 0)
     sizes = rows.join(sets.select("node", F.size("x").alias("s")), "node").groupBy("band", "key")
     needed = F.greatest(F.count("*") / BLOCK, F.sum("s") / BLOCK_SHINGLES)
     blocks = settled(sizes.agg(F.ceil(needed).cast("int").alias("blocks")), "blocks")
