@@ -72,11 +72,11 @@ def with_result(events: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     return events.withColumn(
         "result",
-        F.when(kind == "click", F.concat(F.lit("search_result: Found "), k, F.lit(" relevant documents")))
-        .when(kind == "view", F.concat(F.lit("query_result: Retrieved "), k, F.lit(" records with conflicting timestamps")))
-        .when(kind == "purchase", F.concat(F.lit("validate_result: Data validation uncertain - "), k, F.lit(" sources disagree")))
-        .when(kind == "error", F.lit("tool error: request failed after retry"))
-        .otherwise(F.lit("partial copy, sources contradict")),
+        F.when(kind == "click", F.concat(F.lit("catalogue lookup: found "), k, F.lit(" matching entries")))
+        .when(kind == "view", F.concat(k, F.lit(" rows retrieved, their dates in conflict")))
+        .when(kind == "purchase", F.concat(F.lit("outcome uncertain, since "), k, F.lit(" registers disagree")))
+        .when(kind == "error", F.lit("second retry failed with an error"))
+        .otherwise(F.lit("a partial log and accounts that contradict it")),
     )
 
 
@@ -115,13 +115,13 @@ def model_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     variant = F.col("o_orderkey") % 8
     text = (
         F.when(variant == 0, plain)
-        .when(variant == 1, F.concat(F.lit("Sure, here you go:\n```json\n"), plain, F.lit("\n```")))
-        .when(variant == 2, F.concat(F.lit("The plan is below.\n"), plain, F.lit("\nLet me know if that works!")))
-        .when(variant == 3, F.concat(F.lit('{"meta": {"n": 1}, '), _plan_text(), F.lit("}")))
-        .when(variant == 4, F.concat(F.lit('{"note": "use {curly} braces", '), _plan_text(), F.lit("}")))
-        .when(variant == 5, F.concat(plain, F.lit(' then {"junk": 1}')))
-        .when(variant == 6, F.concat(F.lit("{broken json} and later "), plain))
-        .otherwise(F.lit("no json here at all"))
+        .when(variant == 1, F.concat(F.lit("Steps as agreed:\n```json\n"), plain, F.lit("\n```")))
+        .when(variant == 2, F.concat(F.lit("Written out:\n"), plain, F.lit("\nThat is all of them.")))
+        .when(variant == 3, F.concat(F.lit('{"from": {"page": 4}, '), _plan_text(), F.lit("}")))
+        .when(variant == 4, F.concat(F.lit('{"hint": "see {table} 3", '), _plan_text(), F.lit("}")))
+        .when(variant == 5, F.concat(plain, F.lit(' or else {"later": 2}')))
+        .when(variant == 6, F.concat(F.lit("{torn page} followed by "), plain))
+        .otherwise(F.lit("nothing was written down"))
     )
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), text.alias("text"))
 

@@ -18,27 +18,45 @@ def _split(spark, sf_dir):
     return split_ordered(fx.signal_rows(spark, sf_dir), "id")
 
 
+def _factors(rows):
+    """Three fixed linear factors of all dimensions: the sums over every third one."""
+    def every_third(first):
+        taken = F.filter("signals", lambda _, i: i % _AXES == first)
+        return F.round(F.aggregate(taken, F.lit(0.0), lambda total, x: total + x), 9)
+
+    return rows.withColumn("signals", F.array(*[every_third(a) for a in range(_AXES)]))
+
+
+def _factor_split(spark, sf_dir):
+    return [_factors(part) for part in _split(spark, sf_dir)]
+
+
 def _edges(train):
     return latent.quantile_edges(train, "signals", _AXES, _BINS)
 
 
 def _binned(rows, edges):
-    """Bins of the first three dimensions."""
     return latent.with_bins(rows, "signals", edges, _AXES, _BINS)
 
 
 @query(
     q.with_parts(q.SIGNALS)
-    + "SELECT axis, CAST(fraction AS DOUBLE) AS fraction, round(value, 6) AS value FROM edges"
+    + """SELECT axis, unnest([0.2, 0.4, 0.6, 0.8])::DOUBLE AS fraction, round(unnest(q), 6) AS value FROM (
+      SELECT axis, quantile_cont(v, [0.2, 0.4, 0.6, 0.8]) AS q FROM (
+        SELECT CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS axis, CAST(unnest(embedding) AS DOUBLE) AS v
+        FROM split WHERE is_train) GROUP BY axis)"""
 )
 def quantile_edges(spark, sf_dir):
-    return _edges(_split(spark, sf_dir)[0]).withColumn("value", r6("value"))
+    """Edges of every dimension."""
+    train, _ = _split(spark, sf_dir)
+    dims = train.agg(F.max(F.size("signals")).alias("d")).head()["d"] or 0
+    return latent.quantile_edges(train, "signals", dims, _BINS).withColumn("value", r6("value"))
 
 
 @query(q.with_parts(q.SIGNALS) + "SELECT id, b0, b1, b2, cell FROM cells")
 def quantile_bins(spark, sf_dir):
-    train, _ = _split(spark, sf_dir)
-    rows = _binned(fx.signal_rows(spark, sf_dir), _edges(train))
+    train, _ = _factor_split(spark, sf_dir)
+    rows = _binned(_factors(fx.signal_rows(spark, sf_dir)), _edges(train))
     return rows.select(
         "id",
         *[F.get("bins", F.lit(a)).alias(f"b{a}") for a in range(_AXES)],
@@ -53,12 +71,12 @@ def ordered_split(spark, sf_dir):
 
 @query(q.with_parts(q.SIGNALS) + "SELECT * FROM grid")
 def grid_counts(spark, sf_dir):
-    train, _ = _split(spark, sf_dir)
+    train, _ = _factor_split(spark, sf_dir)
     return grid.grid_counts(_binned(train, _edges(train)), _BINS)
 
 
 def _predicted(spark, sf_dir):
-    train, test = _split(spark, sf_dir)
+    train, test = _factor_split(spark, sf_dir)
     edges = _edges(train)
     table = grid.grid_predictive(grid.grid_counts(_binned(train, edges), _BINS))
     return grid.grid_predict(_binned(test, edges), table, _AXES, _BINS)

@@ -169,8 +169,8 @@ def gated_confidence(spark, sf_dir):
 @query(
     q.with_parts(q.MODEL)
     + """SELECT id, CASE variant WHEN 7 THEN NULL
-      WHEN 3 THEN '{"meta":{"n":1},' || tail
-      WHEN 4 THEN '{"note":"use {curly} braces",' || tail
+      WHEN 3 THEN '{"from":{"page":4},' || tail
+      WHEN 4 THEN '{"hint":"see {table} 3",' || tail
       ELSE '{' || tail END AS obj FROM m"""
 )
 def json_recovery(spark, sf_dir):
@@ -187,7 +187,7 @@ def plan_rows(spark, sf_dir):
     return json_objects.plan_rows(recovered).select("id", "pos", "step")
 
 
-@query(q.with_parts(q.MODEL) + "SELECT id, 'no json here at all' AS excerpt FROM m WHERE variant = 7")
+@query(q.with_parts(q.MODEL) + "SELECT id, 'nothing was written down' AS excerpt FROM m WHERE variant = 7")
 def unparseable(spark, sf_dir):
     recovered = json_objects.recover_json(fx.model_outputs(spark, sf_dir))
     return json_objects.unparseable(recovered).select("id", "excerpt")

@@ -22,6 +22,7 @@ CONFLICT_WEIGHTS = {
     "error": 3,
     "failed": 4,
 }
+# Reassuring words and their weight.
 POSITIVE_WEIGHTS = {
     "found": 0,
     "retrieved": 1,
@@ -30,7 +31,9 @@ POSITIVE_WEIGHTS = {
     "confirmed": 0,
     "executed": 1,
 }
+# Words that count against the tool.
 RELIABILITY_TERMS = ("error", "failed", "timeout", "retry")
+# Words that call for an update.
 GATE_TERMS = (
     "conflict",
     "uncertain",
@@ -41,6 +44,7 @@ GATE_TERMS = (
     "failed",
     "timeout",
 )
+# Phrases of an unreachable service.
 UNAVAILABLE_PHRASES = (
     "connection error",
     "connection refused",

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from assayer.session import fresh_dir
 
-TIMEOUT_SECONDS = 3600
-
-
 def append_to_table(stream: DataFrame, label: str) -> DataFrame:
     """Append-mode run of all available input; returns the written rows."""
     spark = stream.sparkSession
@@ -22,7 +19,7 @@ def append_to_table(stream: DataFrame, label: str) -> DataFrame:
         .trigger(availableNow=True)
         .start()
     )
-    _finish(query)
+    query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -45,16 +42,10 @@ def snapshot_to_table(stream: DataFrame, label: str, mode: str = "complete", key
         .trigger(availableNow=True)
         .start()
     )
-    _finish(query)
+    query.awaitTermination()
     written = spark.read.schema(stream.schema.add("batch", "long")).parquet(out)
     if mode == "update":
         newest = F.max_by(F.struct(*stream.columns), "batch").alias("row")
         return written.groupBy(*keys).agg(newest).select("row.*")
     last = written.agg(F.max("batch").alias("batch")).scalar()
     return written.where(F.col("batch") == last).drop("batch")
-
-
-def _finish(query) -> None:
-    if not query.awaitTermination(TIMEOUT_SECONDS):
-        query.stop()
-        raise TimeoutError("stream did not finish in time")

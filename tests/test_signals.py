@@ -6,15 +6,15 @@ from assayer.operators.posterior import prior_table, resolutions
 from assayer.plans.scoring import score_tool_outputs
 
 KNOWN = {
-    "search_result: Found 5 relevant documents": ((0, 0, 0), False, 1.0),
-    "query_result: Retrieved 3 records with conflicting timestamps": ((3, 4, 0), True, 0.312327),
-    "validate_result: Data validation uncertain - 2 sources disagree": ((4, 4, 0), True, 0.315919),
-    "tool error: request failed after retry": ((4, 4, 4), True, 0.427907),
-    "partial copy, sources contradict": ((4, 4, 1), False, 1.0),
+    "catalogue lookup: found 5 matching entries": ((0, 0, 0), False, 1.0),
+    "3 rows retrieved, their dates in conflict": ((3, 4, 0), True, 0.312327),
+    "outcome uncertain, since 2 registers disagree": ((4, 4, 0), True, 0.315919),
+    "second retry failed with an error": ((4, 4, 4), True, 0.427907),
+    "a partial log and accounts that contradict it": ((4, 4, 1), False, 1.0),
     "plain text": ((4, 0, 1), False, 1.0),
     "not found": ((0, 0, 1), False, 1.0),
     "stale partial missing conflicting data error timeout": ((4, 4, 4), True, 0.427907),
-    "search_error: failed to retrieve current web results": ((4, 4, 4), True, 0.427907),
+    "mast_error: the lookout failed to answer": ((4, 4, 4), True, 0.427907),
     "VALIDATE ٣": ((4, 0, 0), False, 1.0),
 }
 

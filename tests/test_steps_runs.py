@@ -17,12 +17,12 @@ def run_ids(spark, n):
 
 
 def test_completed_and_repeated_steps_are_dropped(spark):
-    planned = plan(spark, *[(1, i, s) for i, s in enumerate([" Step 1 ", "step 3", "step 3", "step 2", "step 4", " ", None])])
-    done = past(spark, (1, 0, "step 1", "r", 1.0), (1, 1, "STEP   2", "r", 1.0), (2, 0, "step 3", "r", 1.0))
+    planned = plan(spark, *[(1, i, s) for i, s in enumerate([" Trim sails ", "sound depth", "sound depth", "drop anchor", "stow ropes", " ", None])])
+    done = past(spark, (1, 0, "trim sails", "r", 1.0), (1, 1, "DROP   ANCHOR", "r", 1.0), (2, 0, "sound depth", "r", 1.0))
     rows = steps.pending_steps(planned, done).orderBy("pos").collect()
-    assert [r.step for r in rows] == ["step 3", "step 4"]
+    assert [r.step for r in rows] == ["sound depth", "stow ropes"]
     head = steps.next_step(steps.pending_steps(planned, done)).first()
-    assert (head.pos, head.step, head.n_after) == (1, "step 3", 1)
+    assert (head.pos, head.step, head.n_after) == (1, "sound depth", 1)
 
 
 def test_the_original_spelling_is_kept(spark):
@@ -65,16 +65,16 @@ def test_routes(spark):
 @pytest.mark.parametrize("min_heavy", [1, 10**9])
 def test_replanning(spark, min_heavy):
     said = {
-        1: '{"action": "plan", "steps": ["step 1"]}',
-        2: '{"action": "plan", "steps": ["Step 9", "step 9"]}',
+        1: '{"action": "plan", "steps": ["trim sails"]}',
+        2: '{"action": "plan", "steps": ["Hoist flag", "hoist flag"]}',
         3: "no idea",
         4: '{"action": "response", "response": "bye"}',
         5: '{"action": "response"}',
         6: "no idea",
         7: '{"action": "plan", "steps": []}',
     }
-    done = past(spark, *[(k, 0, "step 1", "went well", 1.0) for k in said])
-    current = plan(spark, *[(k, 0, "step 2") for k in (1, 2, 3, 4, 5)])
+    done = past(spark, *[(k, 0, "trim sails", "went well", 1.0) for k in said])
+    current = plan(spark, *[(k, 0, "drop anchor") for k in (1, 2, 3, 4, 5)])
     decided = json_objects.decisions(
         json_objects.recover_json(spark.createDataFrame(list(said.items()), "run_id long, text string"))
     )
@@ -95,7 +95,7 @@ def test_replanning(spark, min_heavy):
     assert texts(told) == {4: "bye", 5: "went well", 6: "went well", 7: "went well"}
     left = runs.next_plan(routed, proposed, pending, min_heavy_rows=min_heavy).collect()
     assert sorted((r.run_id, r.step, r.source) for r in left) == [
-        (1, "step 2", "current_plan"), (2, "Step 9", "decision"), (3, "step 2", "current_plan"),
+        (1, "drop anchor", "current_plan"), (2, "Hoist flag", "decision"), (3, "drop anchor", "current_plan"),
     ]
 
 
