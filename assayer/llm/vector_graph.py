@@ -1,13 +1,11 @@
-"""Near-duplicate vectors by a robust-pruned flat graph.
+"""Near-duplicate vectors by blocked products on overlapping shards.
 
 1. Equal vectors are represented by their smallest id.
 2. Vectors go to the shards of their nearest few pivots, so shards overlap; a shard
    larger than a block is split, and every pair of its blocks meets once.
-3. Each block builds a graph: near candidates, pruned so that a kept neighbour stands for
-   those behind it. A vector's adjacency lists from all its shards are united.
-4. Every vector is sought from the block's medoids and its own node: greedily with a beam,
-   then outwards through all nodes within range. Links are verified in double precision.
-5. A pair that meets in several shards counts in the first it shares; a block returns
+3. Where two blocks meet, or a block meets itself, every pair is compared in double
+   precision, a slab of the product at a time: all links of vectors that share a shard are found.
+4. A pair that meets in several shards counts in the first it shares; a block returns
    counts and a spanning forest of its links, never the pairs.
 
 :func:`audit` measures recall against brute force.
@@ -31,11 +29,8 @@ PER_PIVOT = 1000
 MOST_PIVOTS = 4096
 OVERLAP = 3
 BLOCK = 2000
-DEGREE = 16
-CANDIDATES = 48
-ALPHA = 1.2
-BEAM = 16
-MEDOIDS = 8
+#: Cosines that a task holds at a time.
+PRODUCT = 1 << 18
 
 
 def usable(x: Column) -> Column:
@@ -50,107 +45,6 @@ def _units(vectors: list) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def pruned_graph(x: np.ndarray) -> list[np.ndarray]:
-    """Out-neighbours of each row, and those that chose it."""
-    n = len(x)
-    if n < 2:
-        return [np.empty(0, int) for _ in range(n)]
-    near = x @ x.T
-    np.fill_diagonal(near, -np.inf)
-    c = min(CANDIDATES, n - 1)
-    candidates = np.argpartition(-near, c - 1, axis=1)[:, :c]
-    order = np.argsort(-np.take_along_axis(near, candidates, 1), axis=1, kind="stable")
-    candidates = np.take_along_axis(candidates, order, 1)
-    away = np.sqrt(np.maximum(0, 2 - 2 * np.take_along_axis(near, candidates, 1)))
-    open_ = np.ones_like(candidates, bool)
-    rows, edges = np.arange(n), []
-    for _ in range(min(DEGREE, c)):
-        pick = open_.argmax(axis=1)
-        live = open_[rows, pick]
-        chosen = candidates[rows, pick]
-        edges.append(np.stack([rows[live], chosen[live]]))
-        between = np.sqrt(np.maximum(0, 2 - 2 * near[chosen[:, None], candidates]))
-        open_ &= ALPHA * between > away
-        open_[rows, pick] = False
-    a, b = np.concatenate(edges, axis=1)
-    pairs = np.unique(np.concatenate([np.stack([a, b]), np.stack([b, a])], axis=1), axis=1)
-    return np.split(pairs[1], np.searchsorted(pairs[0], np.arange(1, n)))
-
-
-def medoids(x: np.ndarray) -> np.ndarray:
-    """The row nearest the mean, then rows far from those taken."""
-    taken = [int((x @ x.mean(axis=0)).argmax())]
-    closest = x @ x[taken[0]]
-    while len(taken) < min(MEDOIDS, len(x)):
-        taken.append(int(closest.argmin()))
-        closest = np.maximum(closest, x @ x[taken[-1]])
-    return np.array(taken)
-
-
-def range_search(queries: np.ndarray, own: np.ndarray, x: np.ndarray, lists: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, row) with a cosine of at least ``least``, other than a query's own row (or -1)."""
-    n, q = len(x), len(queries)
-    width = max(1, max(map(len, lists)))
-    table = np.full((n, width), -1)
-    for i, near in enumerate(lists):
-        table[i, : len(near)] = near
-    seen = np.zeros((q, n), bool)
-    rows = np.arange(q)
-
-    def look(who: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Nodes not seen yet, with their cosines."""
-        fresh = (nodes >= 0) & ~seen[who, nodes]
-        who, nodes = who[fresh], nodes[fresh]
-        who, nodes = np.divmod(np.unique(who * n + nodes), n)
-        seen[who, nodes] = True
-        return who, nodes, np.einsum("ij,ij->i", queries[who], x[nodes])
-
-    starts = medoids(x)
-    beam = np.full((q, BEAM), -1)
-    score = np.full((q, BEAM), -np.inf)
-    expanded = np.ones((q, BEAM), bool)
-    hits: list[np.ndarray] = []
-
-    def push(who: np.ndarray, nodes: np.ndarray, cosines: np.ndarray) -> None:
-        nonlocal beam, score, expanded
-        near = cosines >= least
-        hits.append(np.stack([who[near], nodes[near]]))
-        if not len(who):
-            return
-        counts = np.bincount(who, minlength=q)
-        at = np.arange(len(who)) - np.repeat(np.cumsum(counts) - counts, counts)
-        more, gain = np.full((q, counts.max()), -1), np.full((q, counts.max()), -np.inf)
-        more[who, at], gain[who, at] = nodes, cosines
-        all_nodes, all_gain = np.concatenate([beam, more], 1), np.concatenate([score, gain], 1)
-        done = np.concatenate([expanded, more < 0], 1)
-        best = np.argsort(-all_gain, axis=1, kind="stable")[:, :BEAM]
-        beam, score, expanded = (np.take_along_axis(v, best, 1) for v in (all_nodes, all_gain, done))
-
-    first = np.concatenate([np.repeat(rows, len(starts)), rows[own >= 0]])
-    push(*look(first, np.concatenate([np.tile(starts, q), own[own >= 0]])))
-    while True:
-        pick = (~expanded).argmax(axis=1)
-        live = ~expanded[rows, pick]
-        if not live.any():
-            break
-        expanded[rows[live], pick[live]] = True
-        push(*look(np.repeat(rows[live], width), table[beam[rows, pick][live]].ravel()))
-
-    frontier = np.concatenate(hits, axis=1)
-    found = [frontier]
-    while frontier.shape[1]:  # outwards from all that is in range
-        step = []
-        for at in range(0, frontier.shape[1], 20_000):
-            who, nodes = frontier[:, at : at + 20_000]
-            who, nodes, cosines = look(np.repeat(who, width), table[nodes].ravel())
-            step.append(np.stack([who, nodes])[:, cosines >= least])
-        frontier = np.concatenate(step, axis=1)
-        found.append(frontier)
-    who, nodes = np.concatenate(found, axis=1)
-    other = own[who] != nodes
-    return who[other], nodes[other]
-
-
 def _search_block(frame: pd.DataFrame, least: float) -> pd.DataFrame:
     """``node, links, root`` of the nodes that have links here."""
     shard, first, second = (frame[c].iloc[0] for c in ("shard", "first", "second"))
@@ -159,28 +53,29 @@ def _search_block(frame: pd.DataFrame, least: float) -> pd.DataFrame:
     shards = np.full((len(frame), OVERLAP), -1)
     for i, own in enumerate(frame["shards"]):
         shards[i, : len(own)] = own
-    is_graph, is_query = (frame["block"] == second).to_numpy(), (frame["block"] == first).to_numpy()
-    graph, query = np.flatnonzero(is_graph), np.flatnonzero(is_query)
-    place = pd.Series(np.arange(len(graph)), index=node[graph])
-    lists = [place.reindex(own).dropna().to_numpy(dtype=int) if own is not None else np.empty(0, int) for own in frame["near"][is_graph]]
-    own = np.arange(len(graph)) if first == second else np.full(len(query), -1)
-    a, b = range_search(x[query], own, x[graph], lists, least)
-    a, b = query[a], graph[b]
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-    a, b = pairs[:, pairs[0] != pairs[1]]
-    common = np.where((shards[a][:, :, None] == shards[b][:, None, :]) & (shards[a][:, :, None] >= 0), shards[a][:, :, None], np.iinfo(int).max)
-    counted = common.min(axis=(1, 2)) == shard
-    links = np.bincount(a[counted], copies[b[counted]], len(node)) + np.bincount(b[counted], copies[a[counted]], len(node))
-    root = np.arange(len(node))
-    while len(a):  # smallest label of both ends, until nothing moves
-        before = root.copy()
-        low = np.minimum(root[a], root[b])
-        np.minimum.at(root, root[a], low)
-        np.minimum.at(root, root[b], low)
-        root = root[root]
-        if (root == before).all():
-            break
-    touched = np.unique(np.concatenate([a, b]))
+    block = frame["block"].to_numpy()
+    query, rows = np.flatnonzero(block == first), np.flatnonzero(block == second)
+    others, links, root = x[rows], np.zeros(len(node)), np.arange(len(node))
+    step = max(1, PRODUCT // max(1, len(rows)))
+    for at in range(0, len(query), step):
+        part = query[at : at + step]
+        a, b = np.nonzero(x[part] @ others.T >= least)
+        a, b = part[a], rows[b]
+        if first == second:  # each pair once, none with itself
+            a, b = a[a < b], b[a < b]
+        common = np.where((shards[a][:, :, None] == shards[b][:, None, :]) & (shards[a][:, :, None] >= 0), shards[a][:, :, None], np.iinfo(int).max)
+        counted = common.min(axis=(1, 2)) == shard
+        links += np.bincount(a[counted], copies[b[counted]], len(node)) + np.bincount(b[counted], copies[a[counted]], len(node))
+        while len(a):  # smallest label of both ends, until nothing moves
+            before = root.copy()
+            low = np.minimum(root[a], root[b])
+            np.minimum.at(root, root[a], low)
+            np.minimum.at(root, root[b], low)
+            root = root[root]
+            if (root == before).all():
+                break
+    # a pair that counts in another shard leaves its edge here all the same
+    touched = np.union1d(np.flatnonzero(links), np.flatnonzero(root != np.arange(len(node))))
     return pd.DataFrame({"node": node[touched], "links": links[touched].astype(np.int64), "root": node[root[touched]]})
 
 
@@ -202,15 +97,7 @@ def linked_vectors(
     placed = dealt.join(sizes, "shard").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     placed = settled(placed, "placed")
 
-    def build(frame: pd.DataFrame) -> pd.DataFrame:
-        node = frame["node"].to_numpy()
-        return pd.DataFrame({"node": node, "near": [node[i] for i in pruned_graph(_units(frame["x"]))]})
-
-    lists = placed.select("shard", "block", "node", "x").groupBy("shard", "block").applyInPandas(build, "node long, near array<long>")
-    # a node is in at most OVERLAP shards
-    united = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    met = placed.join(settled(united, "graph"), "node", "left")
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other"))
     found = met.drop("other", "blocks").groupBy("shard", "first", "second").applyInPandas(
         lambda frame: _search_block(frame, least), "node long, links long, root long"

@@ -310,3 +310,24 @@ def test_vectors(spark):
     recall = vector_graph.audit(vectors.where("vec_id < 355"), found, every=7).agg(F.sum("n_links"), F.sum("n_true")).first()
     assert recall[0] >= 0.9 * recall[1] > 0
     assert vector_graph.linked_vectors(vectors.limit(0)).count() == 0
+
+
+def test_vectors_of_many_groups_over_several_blocks(spark):
+    rng = np.random.default_rng(12)
+    base = np.repeat(rng.normal(size=(20, 32)), 150, axis=0)
+    x = base + rng.normal(size=base.shape) * np.where(np.arange(len(base)) % 2, 0.05, 0.1)[:, None]
+    data = [(i, v) for i, v in enumerate(x.tolist())]
+    got = {r.vec_id: r for r in vector_graph.linked_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()}
+    units = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = units @ units.T >= 0.95
+    assert [got[i].n_links for i in range(len(x))] == (near.sum(axis=1) - 1).tolist()
+    assert [got[i].component_id for i in range(len(x))] == similar_components(near)
+
+
+def similar_components(near):
+    label = np.arange(len(near))
+    while True:
+        least = np.where(near, label, len(near)).min(axis=1)
+        if (least == label).all():
+            return label.tolist()
+        label = least
