@@ -24,13 +24,17 @@ from assayer.llm.common import whole_text
 from assayer.llm.language import forward_backward
 
 # never shown as text of the page
-_HIDDEN = "script|style|template|noscript|textarea|title|svg|iframe|select|object|math"
+_HIDDEN = "script|style|template|noscript|textarea|title|svg|iframe|select"
+_ATTRIBUTES = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
 _INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br".split())
+# a formula is part of its sentence
+_INLINE |= frozenset("math mfrac mi mn mo mover mpadded mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<hidden>{_HIDDEN})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=hidden)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    rf"|<(?:svg|math)(?=[\s/>]){_ATTRIBUTES}(?<=/)>"  # closes itself, so it is empty
+    rf"|<(?P<hidden>{_HIDDEN})(?=[\s/>]){_ATTRIBUTES}>.*?(?:</(?P=hidden)\s*>|\Z)"
+    rf"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*+)(?P<rest>{_ATTRIBUTES})>"
     r"|<[!?/][^>]*>",
     re.S | re.I,
 )

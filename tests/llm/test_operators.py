@@ -331,3 +331,20 @@ def similar_components(near):
         if (least == label).all():
             return label.tolist()
         label = least
+
+
+@pytest.mark.parametrize(
+    "inside",
+    [
+        "<svg class='i'/>", "<svg viewBox='0 0 1 1' />", "<math/>", "<svg-icon name=x></svg-icon>", "<object-view>", "<title-bar>",
+        "<select-box></select-box>", "<svg><text>gone</text></svg>", "<select><option>gone</select>", "<script>gone()</script>", "<style>gone{}</style>",
+    ],
+)
+def test_only_hidden_elements_hide_text(inside):
+    page = f"<article><p>Text before.</p>{inside}<p>The rest of it.</p></article>"
+    assert [b.text for b in main_text.blocks_of(page)] == ["Text before.", "The rest of it."]
+
+
+def test_formulas_and_fallbacks_stay():
+    page = "<article><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p><object data='a'><p>Shown instead of it.</p></object><p>The end of it.</p></article>"
+    assert main_text.main_text(page, main_text.trained()) == "So x=1 holds.\n\nShown instead of it.\n\nThe end of it."
