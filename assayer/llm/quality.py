@@ -65,8 +65,8 @@ def statistics(text: str) -> list[float]:
     ]
 
 
-def with_statistics(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``doc_id, x``: the statistics of every row, NULL texts as empty ones."""
+def with_statistics(docs: DataFrame, doc_id: str, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, x`` and the columns to carry: the statistics of every row, NULL texts as empty ones."""
 
     def measure(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in series:
@@ -74,7 +74,7 @@ def with_statistics(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     measure.__annotations__ = {"series": Iterator[pd.Series], "return": Iterator[pd.Series]}
     x = F.pandas_udf(measure, "array<double>")(whole_text(text))
-    return docs.select(F.col(doc_id).alias("doc_id"), x.alias("x"))
+    return docs.select(F.col(doc_id).alias("doc_id"), *carry, x.alias("x"))
 
 
 @dataclass(frozen=True)
@@ -143,17 +143,18 @@ def quality_scores(
     folds: int = 4,
     fold: int = 2,
     threshold: float = 0.7,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for every row.
+    """``doc_id, held_out, score, predicted`` for every row, behind ``doc_id`` the columns to carry.
 
     Learns from all labelled rows outside the held-out fold. Of several labels of
     one document the greatest counts; NULL labels do not. Repeated rows are scored each.
     Without rows of both classes every score is the prior.
     """
-    rows = settled(with_statistics(docs, doc_id, text), "statistics")
+    rows = settled(with_statistics(docs, doc_id, text, carry), "statistics")
     truth = labels.where(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(label).alias("label"))
     learning = rows.where(~in_fold("doc_id", folds, fold)).join(truth, "doc_id")
     model = fit(learning)
     return rows.select(
-        "doc_id", in_fold("doc_id", folds, fold).alias("held_out"), scored(model, F.col("x")).alias("score")
+        "doc_id", *carry, in_fold("doc_id", folds, fold).alias("held_out"), scored(model, F.col("x")).alias("score")
     ).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

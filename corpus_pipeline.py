@@ -13,36 +13,62 @@ from assayer.llm import decontam, minhash, packing, quality, secret_scan
 from assayer.llm.common import table
 from assayer.session import settled
 
+#: A row's number within a stage.
+ROW = "_row"
 
-def _kept(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    return docs.join(ids.hint("shuffle_hash"), "doc_id", how).select(docs.columns)
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number each, written once: decisions are joined on it, whatever the ids are."""
+    return settled(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def _without(numbered: DataFrame, rows: DataFrame) -> DataFrame:
+    return numbered.join(rows.hint("shuffle_hash"), ROW, "left_anti").drop(ROW)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go. NULL ids stay only if their row is not rejected."""
-    model_rows = quality.quality_scores(docs, table(spark, sf_dir, "labels"))
-    rejected = settled(model_rows.where("predicted = 0 and doc_id is not null").select("doc_id").distinct(), "rejected")
-    return _kept(docs, rejected, "left_anti")
+    """Rows that the classifier rejects go, each by its own text."""
+    numbered = _numbered(docs)
+    scores = quality.quality_scores(numbered, table(spark, sf_dir, "labels"), carry=(ROW,))
+    return _without(numbered, settled(scores.where("predicted = 0").select(ROW), "rejected"))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates (five words, 0.8) the document of the smallest id stays."""
-    classes = minhash.near_duplicates(docs)
-    dropped = settled(classes.where("not kept").select("doc_id").distinct(), "duplicates")
-    return _kept(docs, dropped, "left_anti")
+    """Of each class of near-duplicates (five words, 0.8) the row of the smallest id stays.
+
+    NULL ids come last. Rows without words are in no class; of those that repeat an id one stays.
+    """
+    numbered = _numbered(docs)
+    classes = minhash.near_duplicates(numbered, doc_id=ROW).withColumnRenamed("doc_id", ROW)
+    named = classes.join(numbered.select(ROW, "doc_id"), ROW)
+    alone = F.col("n_shingles") == 0
+    named = named.select(
+        ROW,
+        F.when(~alone | F.col("doc_id").isNull(), F.col("component_id")).alias("component"),
+        F.when(alone, F.col("doc_id")).alias("wordless"),
+        F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW).alias("place"),
+    )
+    named = settled(named, "classes")
+    several = named.groupBy("component", "wordless").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
+    several = several.select(F.col("component").alias("_c"), F.col("wordless").alias("_w"), F.col(f"first.{ROW}").alias("stays"))
+    same = F.col("component").eqNullSafe(F.col("_c")) & F.col("wordless").eqNullSafe(F.col("_w"))
+    dropped = named.join(several, same).where(F.col(ROW) != F.col("stays")).select(ROW)
+    return _without(numbered, settled(dropped, "duplicates"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    leaked = decontam.leaks(docs, table(spark, sf_dir, "benchmark"))
-    return _kept(docs, settled(leaked.select("doc_id").distinct(), "leaked"), "left_anti")
+    """Rows that hold a benchmark item go."""
+    numbered = _numbered(docs)
+    leaked = decontam.leaks(numbered, table(spark, sf_dir, "benchmark"), doc_id=ROW)
+    return _without(numbered, settled(leaked.select(F.col("doc_id").alias(ROW)).distinct(), "leaked"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Findings are replaced by a mark; ``n_chars`` follows the text. Every document stays."""
-    found = secret_scan.findings(docs).where(F.size("spans") > 0)
-    holders = settled(found.select(F.col("path").alias("doc_id")).distinct(), "holders")
-    marked = docs.join(holders.withColumn("_found", F.lit(True)).hint("shuffle_hash"), "doc_id", "left")
+    numbered = _numbered(docs)
+    found = secret_scan.findings(numbered, path=ROW).where(F.size("spans") > 0)
+    holders = settled(found.select(F.col("path").alias(ROW)), "holders")
+    marked = numbered.join(holders.withColumn("_found", F.lit(True)).hint("shuffle_hash"), ROW, "left")
     # the others' texts don't pass the rules
     marked = marked.withColumn("_secret", F.when(F.col("_found"), F.col("text")))
     changed = secret_scan.redacted(marked, "_secret").withColumn("text", F.coalesce("_secret", "text"))
