@@ -77,10 +77,8 @@ def stream_evidence(spark, sf_dir):
 
 @query(q.with_parts(q.SPANS) + "SELECT trace_id, name, duration_ms FROM spans")
 def stream_spans(spark, sf_dir):
-    def arriving():
-        return fx.span_events_of(fx.table_stream(spark, sf_dir, "events"))
-
-    paired = append_to_table(streams.span_pairs(arriving(), arriving()), "spans")
+    arriving = fx.span_events_of(fx.table_stream(spark, sf_dir, "events"))
+    paired = snapshot_to_table(streams.running_spans(arriving), "spans", "update", ["trace_id", "name"])
     return paired.select("trace_id", "name", "duration_ms")
 
 

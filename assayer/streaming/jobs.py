@@ -71,7 +71,8 @@ def span_pairs(
 ) -> DataFrame:
     """Join start and end events; both sides' state is dropped after ``max_duration``.
 
-    The end event may carry any time up to ``max_duration`` after its start.
+    The end event may carry any time up to ``max_duration`` after its start. Longer spans are
+    left out; :func:`running_spans` has no longest duration.
     """
     a = starts.where(F.col("event").endswith(".start")).select(
         "trace_id", span_name().alias("name"), F.col("ts").alias("started")
@@ -91,6 +92,14 @@ def span_pairs(
     )
 
 
+def running_spans(events: DataFrame) -> DataFrame:
+    """Paired spans of any length as in the batch job; update or complete mode.
+
+    One small state per span, open ones included: a start waits for its end however long.
+    """
+    return metrics.span_durations(events)
+
+
 def running_job_state(changes: DataFrame) -> DataFrame:
     """Current job rows; update or complete mode, one small state per job."""
     return jobs.finish(changes.groupBy("job_id").agg(*jobs.fold_parts()))

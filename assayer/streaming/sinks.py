@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from assayer.session import fresh_dir
 
@@ -43,7 +44,7 @@ def snapshot_to_table(stream: DataFrame, label: str, mode: str = "complete", key
         .start()
     )
     query.awaitTermination()
-    written = spark.read.schema(stream.schema.add("batch", "long")).parquet(out)
+    written = spark.read.schema(StructType([*stream.schema, StructField("batch", LongType())])).parquet(out)
     if mode == "update":
         newest = F.max_by(F.struct(*stream.columns), "batch").alias("row")
         return written.groupBy(*keys).agg(newest).select("row.*")

@@ -1,10 +1,12 @@
 from datetime import datetime, timedelta
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from assayer.catalog import stream_queries
 from assayer.functions.ordinal import is_level
-from assayer.operators import jobs, posterior
+from assayer.operators import jobs, metrics, posterior
 from assayer.schema import JOB_CHANGE, OBSERVATION
 from assayer.sources.readers import stream_table
 from assayer.streaming import jobs as streams
@@ -87,3 +89,34 @@ def test_a_stream_resumes_from_its_checkpoint(spark, tmp_path):
         spark.createDataFrame([(i, 0, None, 0)], fields).write.mode("append").parquet(source)
         run()
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == [0, 1]
+
+
+def test_spans_of_any_length_equal_batch(spark, tmp_path):
+    def at(minutes):
+        return T0 + timedelta(minutes=minutes)
+
+    rows = [
+        ("a", "x.start", at(0)), ("a", "x.end", at(59)),
+        ("b", "x.start", at(0)), ("b", "x.end", at(61)),
+        ("c", "x.start", at(0)), ("c", "y.end", at(1)),
+        ("d", "x.start", at(0)), ("d", "x.end", at(60 * 24 * 40)),
+    ]
+    events = spark.createDataFrame(rows, "trace_id string, event string, ts timestamp")
+    stream = arriving(spark, tmp_path, events, events.schema)
+    found = snapshot_to_table(streams.running_spans(stream), "t", "update", ["trace_id", "name"])
+    assert sorted((r.trace_id, r["name"], r.duration_ms) for r in found.collect()) == [
+        (k, "x", minutes * 60_000.0) for k, minutes in (("a", 59), ("b", 61), ("d", 60 * 24 * 40))
+    ]
+    assert sorted(map(str, found.collect())) == sorted(map(str, metrics.span_durations(events).collect()))
+
+
+def test_long_spans_are_reported(spark, tmp_path):
+    day = 24 * 60
+    rows = [(i, T0 + timedelta(minutes=m), "click", v) for i, (m, v) in enumerate([(0, 5.0), (day, 4_000_000.0), (3 * day, 7.0), (3 * day + 30, 9.0)])]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp, event_type string, value double")
+    shape = spark.read.parquet("/root/testdata/sf0.001/events.parquet").schema
+    known = set(events.columns)
+    full = events.select(*(F.col(f.name).cast(f.dataType) if f.name in known else F.lit(None).cast(f.dataType).alias(f.name) for f in shape))
+    pq.write_table(full.toArrow(), str(tmp_path / "events.parquet"))
+    spans = stream_queries.stream_spans(spark, str(tmp_path)).collect()
+    assert sorted((r.trace_id, r.duration_ms) for r in spans) == [("0", 5.0), ("1", 4_000_000.0), ("2", 7.0), ("3", 9.0)]
