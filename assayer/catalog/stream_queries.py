@@ -88,7 +88,7 @@ def stream_latency(spark, sf_dir):
     values = fx.table_stream(spark, sf_dir, "events").select(
         utc_instant(F.col("ts")).alias("ended"), F.col("value").alias("duration_ms")
     )
-    return append_to_table(streams.windowed_latency(values), "latency")
+    return snapshot_to_table(streams.windowed_latency(values), "latency", "update", ["window_start"])
 
 
 _JOB_COLUMNS = """job_id, status, prompt, nullif(result0, '') AS result, error,

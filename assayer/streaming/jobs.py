@@ -44,7 +44,10 @@ def windowed_conflict_rate(
 def windowed_latency(
     spans: DataFrame, width: str = "1 day", lateness: str = "1 hour", fraction: float = 0.95
 ) -> DataFrame:
-    """Approximate latency quantile per window: a stream keeps sketches, not values."""
+    """Approximate latency quantile per window: a stream keeps sketches, not values.
+
+    Update mode reports open windows too, append mode only those that are closed.
+    """
     return (
         spans.withWatermark("ended", lateness)
         .groupBy(F.window("ended", width))

@@ -110,7 +110,7 @@ def test_spans_of_any_length_equal_batch(spark, tmp_path):
     assert sorted(map(str, found.collect())) == sorted(map(str, metrics.span_durations(events).collect()))
 
 
-def test_long_spans_are_reported(spark, tmp_path):
+def test_long_spans_and_the_open_window_are_reported(spark, tmp_path):
     day = 24 * 60
     rows = [(i, T0 + timedelta(minutes=m), "click", v) for i, (m, v) in enumerate([(0, 5.0), (day, 4_000_000.0), (3 * day, 7.0), (3 * day + 30, 9.0)])]
     events = spark.createDataFrame(rows, "event_id long, ts timestamp, event_type string, value double")
@@ -120,3 +120,5 @@ def test_long_spans_are_reported(spark, tmp_path):
     pq.write_table(full.toArrow(), str(tmp_path / "events.parquet"))
     spans = stream_queries.stream_spans(spark, str(tmp_path)).collect()
     assert sorted((r.trace_id, r.duration_ms) for r in spans) == [("0", 5.0), ("1", 4_000_000.0), ("2", 7.0), ("3", 9.0)]
+    windows = stream_queries.stream_latency(spark, str(tmp_path)).orderBy("window_start").collect()
+    assert [(r.window_start, r.n) for r in windows] == [(T0, 1), (T0 + timedelta(days=1), 1), (T0 + timedelta(days=3), 2)]
