@@ -93,8 +93,10 @@ def leaks(
     Texts and items without words match nothing, NULL ids are ignored. Rows that repeat an id
     are windows of one document or item; other columns are ignored.
     """
-    inside = with_shingles(items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")))
-    inside = inside.where("item_id is not null").dropDuplicates(["item_id"])
+    named = items.select(F.col(item_id).alias("id"), F.col(item_text).alias("text")).where("id is not null")
+    # each text of an item is sought by itself
+    inside = with_shingles(named.select(F.struct("id", F.xxhash64("text").alias("version")).alias("item_id"), "text"))
+    inside = inside.dropDuplicates(["item_id"])
     inside = settled(inside.select("item_id", F.size("x").alias("size"), F.posexplode_outer("x").alias("offset", "h")), "item-shingles")
     inside = inside.where("h is not null")
     bounded = inside.count() <= BROADCAST_SHINGLES
@@ -127,7 +129,7 @@ def leaks(
     common = common.groupBy(*keys).agg(F.sum(F.least("times", "in_item")).alias("common"), F.first("size").alias("size"))
     similarity = F.col("common") / (F.col("n") + F.col("size") - F.col("common"))
     verified = near.join(common, keys).withColumn("similarity", similarity).where(F.col("similarity") >= SIMILARITY)
-    best = verified.groupBy("doc_id", "item_id").agg(
+    best = verified.groupBy("doc_id", F.col("item_id.id").alias("item_id")).agg(
         F.max(F.struct("similarity", (-F.col("first")).alias("before"), "distance")).alias("best")
     )
     return best.select(

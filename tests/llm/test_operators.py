@@ -348,3 +348,12 @@ def test_only_hidden_elements_hide_text(inside):
 def test_formulas_and_fallbacks_stay():
     page = "<article><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p><object data='a'><p>Shown instead of it.</p></object><p>The end of it.</p></article>"
     assert main_text.main_text(page, main_text.trained()) == "So x=1 holds.\n\nShown instead of it.\n\nThe end of it."
+
+
+def test_every_text_of_a_repeated_item_is_sought(spark):
+    rng = random.Random(13)
+    one, two, rest = (prose(rng, 30, [w + v for w in LETTERS for v in ("a", "e", "o", "u")]) for _ in range(3))
+    bench = spark.createDataFrame([(1, one), (1, two), (1, two), (2, None), (2, rest)], "item_id long, text string")
+    texts = [f"before {one} after", f"{two}", f"{rest} {one}", "nothing of it"]
+    got = {(r.doc_id, r.item_id): (r.similarity, r.first_word) for r in decontam.leaks(rows(spark, texts), bench).collect()}
+    assert got == {(0, 1): (1.0, 1), (1, 1): (1.0, 0), (2, 1): (1.0, got[2, 1][1]), (2, 2): (1.0, 0)}
