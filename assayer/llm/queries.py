@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayer.llm import sql
 from assayer.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +95,22 @@ def op7_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assayer.llm.vector_graph import linked_vectors
 
     return linked_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@_register
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assayer.llm.vector_codes import code_digest
+
+    return code_digest(table(spark, sf_dir, "embeddings"))
+
+
+@_register
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assayer.llm.distance_tree import hard_negatives
+
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", shifted))
+
+
+SQL["op11_vector_codes"] = sql.vector_codes()
+SQL["op13_hard_negatives"] = sql.HARD_NEGATIVES
