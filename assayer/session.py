@@ -52,7 +52,24 @@ def settled(df: DataFrame, label: str) -> DataFrame:
     """
     path = fresh_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made.settled_at = path
+    return made
+
+
+def release(*frames: DataFrame) -> None:
+    """Remove the folders of :func:`settled` results that nothing reads any more.
+
+    Call it when whatever is made from them has been written. Only the folder that
+    ``settled`` made is removed, through the file system that holds it.
+    """
+    for df in frames:
+        path = getattr(df, "settled_at", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+            df.settled_at = None
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
