@@ -104,6 +104,13 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_digest(table(spark, sf_dir, "embeddings"))
 
 
+@_register
+def op12_repeated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assayer.llm.repeats import without_repeats
+
+    return without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 @_register
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assayer.llm.distance_tree import hard_negatives
