@@ -67,14 +67,16 @@ def statistics(text: str) -> list[float]:
 
 def with_statistics(docs: DataFrame, doc_id: str, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, x`` and the columns to carry: the statistics of every row, NULL texts as empty ones."""
+    return docs.select(F.col(doc_id).alias("doc_id"), *carry, statistics_of(text).alias("x"))
 
+
+def statistics_of(text: str) -> Column:
     def measure(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in series:
             yield pd.Series([statistics(t) for t in texts])
 
     measure.__annotations__ = {"series": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    x = F.pandas_udf(measure, "array<double>")(whole_text(text))
-    return docs.select(F.col(doc_id).alias("doc_id"), *carry, x.alias("x"))
+    return F.pandas_udf(measure, "array<double>")(whole_text(text))
 
 
 @dataclass(frozen=True)
@@ -134,6 +136,31 @@ def scored(model: Discriminant, x: Column) -> Column:
     return F.pandas_udf(score, "double")(x)
 
 
+def learnt(rows: DataFrame, labels: DataFrame, label: str, doc_id: str, folds: int, fold: int) -> Discriminant:
+    """The model of the labelled rows ``doc_id, x`` outside the held-out fold."""
+    truth = labels.where(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(label).alias("label"))
+    return fit(rows.where(~in_fold("doc_id", folds, fold)).join(truth, "doc_id"))
+
+
+def accepted(
+    docs: DataFrame,
+    labels: DataFrame,
+    label: str = "quality",
+    doc_id: str = "doc_id",
+    text: str = "text",
+    folds: int = 4,
+    fold: int = 2,
+    threshold: float = 0.7,
+) -> DataFrame:
+    """The rows of ``docs``, all their columns, that :func:`quality_scores` predicts to be good.
+
+    Statistics are taken twice, to learn and to decide, so that no text is moved or written. Each row
+    is judged by its own text, whatever its id; clashing column names do no harm.
+    """
+    model = learnt(with_statistics(docs, doc_id, text), labels, label, doc_id, folds, fold)
+    return docs.where(scored(model, statistics_of(text)) >= threshold)
+
+
 def quality_scores(
     docs: DataFrame,
     labels: DataFrame,
@@ -152,9 +179,7 @@ def quality_scores(
     Without rows of both classes every score is the prior.
     """
     rows = settled(with_statistics(docs, doc_id, text, carry), "statistics")
-    truth = labels.where(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(label).alias("label"))
-    learning = rows.where(~in_fold("doc_id", folds, fold)).join(truth, "doc_id")
-    model = fit(learning)
+    model = learnt(rows, labels, label, doc_id, folds, fold)
     return rows.select(
         "doc_id", *carry, in_fold("doc_id", folds, fold).alias("held_out"), scored(model, F.col("x")).alias("score")
     ).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
