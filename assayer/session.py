@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,9 +56,41 @@ def settled(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     made = df.sparkSession.read.schema(df.schema).parquet(path)
     made.settled_at = path
+    if _scopes:
+        _scopes[-1].append(made)
     return made
 
 
+#: Results settled within each open :func:`scoped` block, the innermost last.
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scoped() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Release at the end what was settled within, but for what is passed to the function given.
+
+    ::
+
+        with scoped() as keep:
+            answer = keep(settled(many_steps(df), "answer"))
+    """
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    _scopes.append(made)
+    try:
+        yield keep
+    finally:
+        _scopes.pop()
+        release(*(df for df in made if not any(df is k for k in kept)))
+        if _scopes:
+            _scopes[-1].extend(kept)
+
+
 def release(*frames: DataFrame) -> None:
     """Remove the folders of :func:`settled` results that nothing reads any more.
 
