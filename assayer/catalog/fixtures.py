@@ -232,6 +232,25 @@ def span_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_events_of(table(spark, sf_dir, "events"))
 
 
+def broken_span_events_of(events: DataFrame) -> DataFrame:
+    """V with names that recur in a trace of four events, starts without end and ends without start."""
+    marks = span_events_of(events)
+    number = F.col("trace_id").cast("long")
+    kept = F.when(F.col("event").endswith(".start"), number % 11 != 0).otherwise(number % 7 != 0)
+    return marks.where(kept).withColumn("trace_id", F.floor(number / 4).cast("string"))
+
+
+def poisoned_evidence_of(events: DataFrame) -> DataFrame:
+    """Observations per event, some with a level out of range or none."""
+    return event_evidence_of(events).withColumns(
+        {
+            "task": F.when(F.col("event_id") % 11 == 0, F.col("task") + 5).otherwise(F.col("task")),
+            "tool": F.when(F.col("event_id") % 13 != 0, F.col("tool")),
+            "outcome": F.when(F.col("event_id") % 17 == 0, F.lit(-1)).otherwise(F.col("outcome")),
+        }
+    )
+
+
 def event_evidence_of(events: DataFrame) -> DataFrame:
     """An observation per event, all levels from its numbers; batch or stream."""
     k = _k()
@@ -245,6 +264,28 @@ def event_evidence_of(events: DataFrame) -> DataFrame:
     )
 
 
+def executed_well(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R: the steps whose event isn't an error."""
+    rows = with_result(planned_steps(spark, sf_dir)).where(F.col("event_type") != "error")
+    return rows.select("run_id", "pos", F.col("step").alias("task"), "result")
+
+
+def run_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The error events as errors of their run, at the event's place."""
+    found = errors(spark, sf_dir).withColumnRenamed("event_id", "pos")
+    place = table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), F.col("user_id").alias("run_id"))
+    return found.join(place, "pos")
+
+
+def empty_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers to tasks, some empty and some missing."""
+    key = F.col("o_orderkey")
+    answer = F.when(key % 5 == 0, F.lit("")).when(key % 5 != 1, F.concat(F.lit("order of "), F.col("o_orderpriority")))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.concat(F.lit("Price order "), key.cast("string")).alias("task"), answer.alias("answer")
+    )
+
+
 def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error rows with class and message."""
     way = _k() % 4

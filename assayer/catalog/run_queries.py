@@ -120,6 +120,49 @@ def run_summary(spark, sf_dir):
     return folded.withColumn("confidence", r6("confidence"))
 
 
+@query(
+    q.with_parts(*_KEYWORDS, q.STEPS)
+    + """, log AS (
+      SELECT user_id AS run_id, event_id AS pos, event_type = 'error' AS failed, k % 4 AS way FROM o),
+    good AS (
+      SELECT l.run_id, l.pos, s.result, CASE WHEN x.gated THEN r.confidence ELSE 1.0 END AS confidence
+      FROM log l JOIN steps s ON s.run_id = l.run_id AND s.pos = l.pos
+      JOIN kw x ON x.event_id = l.pos JOIN resolved r ON """ + q.SAME_EVIDENCE + """
+      WHERE NOT l.failed),
+    fine AS (
+      SELECT run_id, CAST(count(*) AS BIGINT) AS n, arg_max(confidence, pos) AS confidence,
+        string_agg(result, ' ' ORDER BY pos) AS text FROM good GROUP BY run_id),
+    last AS (SELECT run_id, arg_max(failed, pos) AS failed, arg_max(way, pos) AS way FROM log GROUP BY run_id),
+    told AS (
+      SELECT *, CASE WHEN NOT failed THEN 'ok' WHEN way = 2 THEN 'raised' ELSE 'unavailable' END AS outcome FROM last)
+    SELECT t.run_id, outcome,
+      CASE outcome WHEN 'ok' THEN f.text WHEN 'unavailable' THEN '' END AS response,
+      CASE outcome WHEN 'ok' THEN f.n WHEN 'unavailable' THEN 0 END AS steps_executed,
+      CASE outcome WHEN 'ok' THEN round(f.confidence, 6) WHEN 'unavailable' THEN 0.0 END AS confidence,
+      CASE outcome WHEN 'unavailable' THEN '""" + runs.UNAVAILABLE_ERROR + """'
+        WHEN 'raised' THEN 'ValueError: value out of range' END AS error
+    FROM told t LEFT JOIN fine f USING (run_id)"""
+)
+def run_results(spark, sf_dir):
+    """Steps and errors of each run, the last of which decides."""
+    done = fx.executed_well(spark, sf_dir)
+    scored = score_tool_outputs(done.withColumnRenamed("task", "task_text"), _prior_resolutions(spark)).drop("task")
+    started = fx.runs(spark, sf_dir)
+    results = runs.run_results(
+        started, scored, fx.run_errors(spark, sf_dir), steps.result_summary(started, done)
+    )
+    return results.withColumn("confidence", r6("confidence"))
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 5 < 2 THEN '(no result produced for: Price order ' || o_orderkey || ')'
+      ELSE 'order of ' || o_orderpriority END AS answer FROM orders"""
+)
+def default_answers(spark, sf_dir):
+    rows = fx.empty_answers(spark, sf_dir)
+    return rows.select("o_orderkey", runs.default_answer(F.col("answer"), F.col("task")).alias("answer"))
+
+
 @query(
     q.with_parts(*_PLAN)
     + """SELECT run_id, string_agg('- ' || step || ': ' || result, chr(10) ORDER BY pos) AS text
@@ -233,6 +276,13 @@ def askable_prompts(spark, sf_dir):
     return runs.split_prompts(fx.prompts(spark, sf_dir))[0]
 
 
+@query("SELECT o_orderkey, length(prompt) AS n FROM (SELECT o_orderkey, CASE o_orderkey % 9 WHEN 0 THEN '   ' WHEN 1 THEN ' ' || chr(9) || chr(10) WHEN 2 THEN '' ELSE '  Explain order ' || o_orderkey || chr(10) END AS prompt FROM orders) WHERE o_orderkey % 9 <> 2")
+def prompts_as_given(spark, sf_dir):
+    """Without stripping only the empty prompt is blank."""
+    asked, _ = runs.split_prompts(fx.prompts(spark, sf_dir), strip=False)
+    return asked.select("o_orderkey", F.length("prompt").cast("long").alias("n"))
+
+
 @query(q.with_parts(q.SPANS) + "SELECT trace_id, name, duration_ms FROM spans")
 def span_durations(spark, sf_dir):
     return metrics.span_durations(fx.span_events(spark, sf_dir)).select("trace_id", "name", "duration_ms")
@@ -299,3 +349,46 @@ def conflict_events(spark, sf_dir):
         r6(field("distribution.AMBIGUOUS").cast("double"), "p_ambiguous"),
         r6(F.get(F.from_json(field("credible_interval"), "array<double>"), F.lit(0)), "credible_low"),
     )
+
+
+def _scored_tools(spark, sf_dir):
+    observed = fx.tool_observations(spark, sf_dir).select(
+        utc_instant(F.col("ts")).alias("ts"),
+        F.col("obs_id").cast("string").alias("trace_id"),
+        "result",
+        F.col("result").alias("task_text"),
+    )
+    return score_tool_outputs(observed, _prior_resolutions(spark))
+
+
+@query(
+    q.with_parts(*_KEYWORDS)
+    + """SELECT 'executor.step' AS event, CAST(event_id AS VARCHAR) AS trace_id, result AS task, result,
+      1.0::DOUBLE AS confidence, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS logged_at FROM kw WHERE NOT gated"""
+)
+def step_events(spark, sf_dir):
+    """Lines of the steps without a conflict, read back field by field."""
+    events, _ = parse_log(metrics.step_events(_scored_tools(spark, sf_dir), flag="gated"))
+    return events.select(
+        "event",
+        *[F.try_element_at("fields", F.lit(name)).alias(name) for name in ("trace_id", "task", "result")],
+        F.try_element_at("fields", F.lit("confidence")).cast("double").alias("confidence"),
+        log_text(F.col("ts")).alias("logged_at"),
+    )
+
+
+@query(
+    q.with_parts(*_KEYWORDS)
+    + """SELECT CAST(epoch(date_trunc('day', x.ts)) AS BIGINT) AS window_s, CAST(count(*) AS BIGINT) AS n_steps,
+      CAST(count(*) FILTER (x.gated) AS BIGINT) AS n_conflicts, round(avg(CAST(x.gated AS DOUBLE)), 6) AS conflict_rate,
+      round(avg(CASE WHEN x.gated AND r.confidence < 0.5 THEN 1.0 ELSE 0.0 END), 6) AS low_confidence_rate
+    FROM kw x JOIN resolved r ON """ + q.SAME_EVIDENCE + " GROUP BY 1"
+)
+def log_rates(spark, sf_dir):
+    """Rates over all steps from the log alone: conflict lines and step lines, written and parsed."""
+    scored = _scored_tools(spark, sf_dir)
+    lines = metrics.conflict_events(scored, flag="gated").unionByName(metrics.step_events(scored, flag="gated"))
+    events, _ = parse_log(lines)
+    return metrics.log_rates(events).select(
+        F.unix_seconds("window_start").alias("window_s"), "n_steps", "n_conflicts", r6("conflict_rate"), r6("low_confidence_rate")
+    )

@@ -73,26 +73,60 @@ def job_state(changes: DataFrame) -> DataFrame:
     return finish(changes.groupBy("job_id").agg(*fold_parts()))
 
 
-def job_lives(changes: DataFrame, ttl_seconds: int = JOB_TTL_SECONDS) -> DataFrame:
-    """One row per life of a job: it ends when no change arrives within the TTL.
+def slot_parts(changes: DataFrame, ttl_seconds: int = JOB_TTL_SECONDS) -> DataFrame:
+    """(job_id, slot, parts..., from_us, to_us): changes folded within TTL-long slots of time.
 
-    Changes in one TTL-long slot can never be a TTL apart, so they are folded by
-    (job, slot) first; gaps are then looked for between slots only, and a job
-    brings at most one row per slot of history to the window.
+    Changes in one slot can never be a TTL apart, so a life is a row of slots. Parts of one slot may
+    be merged in any order, which is what a stream keeps.
     """
     micros = F.unix_micros("at")
-    ttl = F.lit(ttl_seconds * 1_000_000)
-    slots = changes.groupBy("job_id", F.floor(micros / ttl).alias("slot")).agg(
-        *fold_parts(), F.min(micros).alias("from_us"), F.max(micros).alias("to_us")
-    )
+    slot = F.floor(micros / F.lit(ttl_seconds * 1_000_000)).alias("slot")
+    return changes.groupBy("job_id", slot).agg(*fold_parts(), F.min(micros).alias("from_us"), F.max(micros).alias("to_us"))
+
+
+def merged_slots(parts: DataFrame) -> DataFrame:
+    """One row per job and slot."""
+    return parts.groupBy("job_id", "slot").agg(*merge_parts(), F.min("from_us").alias("from_us"), F.max("to_us").alias("to_us"))
+
+
+def state_of_slots(slots: DataFrame) -> DataFrame:
+    """Current row of every job, whatever time lies between its changes."""
+    return finish(slots.groupBy("job_id").agg(*merge_parts()))
+
+
+def with_lives(slots: DataFrame, ttl_seconds: int = JOB_TTL_SECONDS) -> DataFrame:
+    """Adds ``life``: gaps are looked for between slots only, and a job brings at most one row per
+    slot of its history to the window."""
     by_slot = Window.partitionBy("job_id").orderBy("slot")
     gap = F.col("from_us") - F.lag("to_us").over(by_slot)
-    lives = slots.withColumn("starts", (F.coalesce(gap, F.lit(0)) >= ttl).cast("int"))
-    lives = lives.withColumn("life", F.sum("starts").over(by_slot))
-    folded = lives.groupBy("job_id", "life").agg(*merge_parts())
+    starts = (F.coalesce(gap, F.lit(0)) >= ttl_seconds * 1_000_000).cast("int")
+    return slots.withColumn("starts", starts).withColumn("life", F.sum("starts").over(by_slot)).drop("starts")
+
+
+def lives_of_slots(slots: DataFrame, ttl_seconds: int = JOB_TTL_SECONDS) -> DataFrame:
+    """One row per life; expects one row per job and slot."""
+    folded = with_lives(slots, ttl_seconds).groupBy("job_id", "life").agg(*merge_parts())
     return finish(folded, "life").withColumn("expires_at", _plus_seconds("updated_at", ttl_seconds))
 
 
+def split_ended(slots: DataFrame, as_of: Column, ttl_seconds: int = JOB_TTL_SECONDS) -> tuple[DataFrame, DataFrame]:
+    """(slots of lives that still run at ``as_of``, rows of the lives that have ended).
+
+    ``as_of`` is a time in microseconds up to which all changes have been seen. A life that has ended can't
+    be continued: a later change begins a new one.
+    """
+    ttl = ttl_seconds * 1_000_000
+    of_life = Window.partitionBy("job_id", "life")
+    marked = with_lives(slots, ttl_seconds).withColumn("over", F.max("to_us").over(of_life) + ttl <= as_of)
+    ended = marked.where("over").groupBy("job_id", "life").agg(*merge_parts())
+    return marked.where("not over").drop("over", "life"), finish(ended)
+
+
+def job_lives(changes: DataFrame, ttl_seconds: int = JOB_TTL_SECONDS) -> DataFrame:
+    """One row per life of a job: it ends when no change arrives within the TTL."""
+    return lives_of_slots(slot_parts(changes, ttl_seconds), ttl_seconds)
+
+
 def live_jobs(changes: DataFrame, as_of: Column, ttl_seconds: int = JOB_TTL_SECONDS) -> DataFrame:
     """Jobs not yet expired at ``as_of``, seen from the changes up to then."""
     seen = changes.where(F.col("at") <= as_of)

@@ -51,11 +51,16 @@ def prior_table(spark: SparkSession, prior: Prior = Prior()) -> DataFrame:
     )
 
 
-def split_valid(observations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(usable rows, quarantined rows with the first offending column)."""
-    bad = F.coalesce(
-        *[F.when(~ordinal.is_level(F.col(c)), F.lit(c)) for c in [*LEVELS, "outcome"]]
-    )
+def split_valid(observations: DataFrame, partial: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(usable rows, quarantined rows with the first offending column).
+
+    With ``partial`` the rows are evidence: they need no outcome, and a NULL level is one not observed.
+    """
+    def offends(c: str) -> Column:
+        wrong = ~ordinal.is_level(F.col(c))
+        return wrong & F.col(c).isNotNull() if partial else wrong
+
+    bad = F.coalesce(*[F.when(offends(c), F.lit(c)) for c in ([*LEVELS] if partial else [*LEVELS, "outcome"])])
     marked = observations.withColumn("bad_column", bad)
     return (
         marked.where(F.col("bad_column").isNull()).drop("bad_column"),

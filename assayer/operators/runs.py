@@ -32,6 +32,74 @@ def run_summary(runs: DataFrame, past: DataFrame, key: str = "run_id") -> DataFr
     )
 
 
+#: Fixed value: what a run reports whose model service could not be reached.
+UNAVAILABLE_ERROR = (
+    "Local LLM is unavailable. Start llama-server at the configured LLAMA_CPP_BASE_URL and try again."
+)
+#: A run without a response of its own.
+NO_RESPONSE = "No response"  # fixed value
+
+
+def run_results(
+    runs: DataFrame,
+    past: DataFrame,
+    errors: DataFrame,
+    responses: DataFrame,
+    key: str = "run_id",
+    unavailable_error: str = UNAVAILABLE_ERROR,
+) -> DataFrame:
+    """(run, outcome, response, steps_executed, confidence, error) of every run.
+
+    ``past`` has ``pos`` and ``confidence`` per step, ``errors`` has ``pos``, ``error_class`` and
+    ``message``, ``responses`` has ``text``. The last event of a run decides:
+
+    * a step, or none at all: outcome ``ok`` with the response, the number of steps and the last
+      step's confidence (1 without steps). An error that a later step got over leaves no trace;
+    * an error that says the service was unreachable: ``unavailable``, an empty response,
+      no steps, confidence 0 and the fixed error text;
+    * any other error: ``raised``. It gives no result, so all but the error's text is NULL.
+
+    Of a step and an error at one position the error is the later. Both logs meet in one hash aggregate
+    that combines before the shuffle, so a run of any length is folded in parallel.
+    """
+    message = F.concat_ws(": ", "error_class", "message")
+    failed = errors.select(
+        key,
+        "pos",
+        is_unavailable(F.col("error_class"), F.col("message")).alias("_unavailable"),
+        message.alias("_error"),
+    )
+    events = (
+        past.select(key, "pos", "confidence", F.lit(0).alias("_late"))
+        .unionByName(failed.withColumn("_late", F.lit(1)), allowMissingColumns=True)
+        .unionByName(runs.select(key), allowMissingColumns=True)
+    )
+    step = F.col("_late") == 0
+    last = F.struct("pos", "_late", "_unavailable", "_error")
+    folded = events.groupBy(key).agg(
+        F.count_if(step).alias("_steps"),
+        F.coalesce(F.max_by("confidence", F.when(step, F.col("pos"))), F.lit(1.0)).alias("_confidence"),
+        F.max(F.when(F.col("pos").isNotNull(), last)).alias("_last"),
+    )
+    ended = F.coalesce(F.col("_last._late") == 1, F.lit(False))
+    outcome = F.when(~ended, "ok").when(F.col("_last._unavailable"), "unavailable").otherwise("raised")
+    told = folded.withColumn("outcome", outcome).join(responses.select(key, F.col("text").alias("_text")), key, "left")
+
+    def by_outcome(ok: Column, unavailable: Column, raised: Column) -> Column:
+        known = F.when(F.col("outcome") == "ok", ok)
+        return known.when(F.col("outcome") == "unavailable", unavailable).otherwise(raised)
+
+    nothing = F.lit(None)
+    return told.select(
+        key,
+        "outcome",
+        by_outcome(F.coalesce("_text", F.lit(NO_RESPONSE)), F.lit(""), nothing).alias("response"),
+        by_outcome(F.col("_steps"), F.lit(0).cast("long"), nothing).alias("steps_executed"),
+        by_outcome(F.col("_confidence"), F.lit(0.0), nothing).alias("confidence"),
+        by_outcome(nothing, F.lit(unavailable_error), F.col("_last._error")).cast("string").alias("error"),
+    )
+
+
 def route(response: Column, n_pending: Column) -> Column:
     """'END' once there is a response, 'executor' while steps remain, else 'END'."""
     return (

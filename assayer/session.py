@@ -46,6 +46,17 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever file system the path names."""
+    system, folder = _file_system(spark, path)
+    return system.exists(folder)
+
+
 def settled(df: DataFrame, label: str) -> DataFrame:
     """Write a result to the shared folder and read it back.
 
@@ -100,9 +111,8 @@ def release(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "settled_at", None)
         if path:
-            jvm = df.sparkSession._jvm
-            folder = jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+            system, folder = _file_system(df.sparkSession, path)
+            system.delete(folder, True)
             df.settled_at = None
 
 

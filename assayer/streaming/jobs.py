@@ -10,24 +10,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.functions.times import duration_ms
 from assayer.operators import jobs, metrics
 from assayer.operators.posterior import conjugate_counts, resolve
-from assayer.operators.metrics import span_name
 from assayer.schema import JOB_TTL_SECONDS
 
 
 def running_counts(observations: DataFrame) -> DataFrame:
     """Conjugate counts so far; complete or update mode, at most 625 states.
 
-    Addition commutes, so late rows need no watermark.
+    Addition commutes, so late rows need no watermark. A row out of range must not end the stream: it
+    isn't counted here, and :func:`assayer.streaming.sinks.valid_and_quarantined` keeps it.
     """
-    return conjugate_counts(observations)
+    return conjugate_counts(observations, strict=False)
 
 
 def score_evidence(evidence: DataFrame, table: DataFrame) -> DataFrame:
-    """Resolve each arriving evidence row against a static posterior."""
-    return resolve(evidence, table)
+    """Resolve each arriving evidence row against a static posterior.
+
+    A row with a level out of range meets no resolution, so its state is NULL; the stream goes on.
+    """
+    return resolve(evidence, table, strict=False)
 
 
 def windowed_conflict_rate(
@@ -41,22 +43,15 @@ def windowed_conflict_rate(
     return metrics.conflict_rate(resolved.withWatermark("ts", lateness), width, slide, low_confidence)
 
 
-def windowed_latency(
-    spans: DataFrame, width: str = "1 day", lateness: str = "1 hour", fraction: float = 0.95
-) -> DataFrame:
-    """Approximate latency quantile per window: a stream keeps sketches, not values.
+def windowed_latency(spans: DataFrame, width: str = "1 day", lateness: str = "1 hour") -> DataFrame:
+    """(window_start, bucket, n): a histogram per window in place of the values.
 
     Update mode reports open windows too, append mode only those that are closed.
+    :func:`assayer.operators.metrics.histogram_quantile` reads any quantile from it.
     """
-    return (
-        spans.withWatermark("ended", lateness)
-        .groupBy(F.window("ended", width))
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.percentile_approx("duration_ms", fraction, 10_000).alias("latency_ms"),
-        )
-        .select(F.col("window.start").alias("window_start"), "n", "latency_ms")
-    )
+    window = F.window("ended", width)
+    counted = metrics.log_histogram(spans.withWatermark("ended", lateness), "duration_ms", [window])
+    return counted.select(F.col("window.start").alias("window_start"), "bucket", "n")
 
 
 def windowed_evidence(evidence: DataFrame, width: str = "1 day", lateness: str = "1 hour") -> DataFrame:
@@ -69,45 +64,6 @@ def windowed_evidence(evidence: DataFrame, width: str = "1 day", lateness: str =
     )
 
 
-def span_pairs(
-    starts: DataFrame, ends: DataFrame, max_duration: str = "1 hour", lateness: str = "1 hour"
-) -> DataFrame:
-    """Join start and end events; both sides' state is dropped after ``max_duration``.
-
-    The end event may carry any time up to ``max_duration`` after its start. Longer spans are
-    left out; :func:`running_spans` has no longest duration.
-    """
-    a = starts.where(F.col("event").endswith(".start")).select(
-        "trace_id", span_name().alias("name"), F.col("ts").alias("started")
-    ).withWatermark("started", lateness)
-    b = ends.where(F.col("event").endswith(".end")).select(
-        F.col("trace_id").alias("_trace"), span_name().alias("_name"), F.col("ts").alias("ended")
-    ).withWatermark("ended", lateness)
-    match = (
-        (F.col("trace_id") == F.col("_trace"))
-        & (F.col("name") == F.col("_name"))
-        & (F.col("ended") >= F.col("started"))
-        & (F.col("ended") <= F.col("started") + F.expr(f"interval {max_duration}"))
-    )
-    return a.join(b, match).select(
-        "trace_id", "name", "started", "ended",
-        duration_ms(F.col("started"), F.col("ended")).alias("duration_ms"),
-    )
-
-
-def running_spans(events: DataFrame) -> DataFrame:
-    """Paired spans of any length as in the batch job; update or complete mode.
-
-    One small state per span, open ones included: a start waits for its end however long.
-    """
-    return metrics.span_durations(events)
-
-
-def running_job_state(changes: DataFrame) -> DataFrame:
-    """Current job rows; update or complete mode, one small state per job."""
-    return jobs.finish(changes.groupBy("job_id").agg(*jobs.fold_parts()))
-
-
 def expired_lives(
     changes: DataFrame, lateness: str = "1 hour", ttl_seconds: int = JOB_TTL_SECONDS
 ) -> DataFrame:
