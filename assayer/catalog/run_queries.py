@@ -297,6 +297,18 @@ def latency_p95(spark, sf_dir):
     return metrics.latency_quantile(spans, ["name"]).select("name", r6("latency_ms"))
 
 
+@query(
+    """SELECT user_id, CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS day_s,
+      round(quantile_cont(value, 0.95), 6) AS latency_ms FROM events GROUP BY 1, 2"""
+)
+def latency_p95_by_user_day(spark, sf_dir):
+    """As many groups as users have days: nearly one for each event."""
+    rows = fx.table(spark, sf_dir, "events").select(
+        "user_id", F.unix_seconds(F.date_trunc("day", utc_instant(F.col("ts")))).alias("day_s"), F.col("value").alias("duration_ms")
+    )
+    return metrics.latency_quantile(rows, ["user_id", "day_s"]).select("user_id", "day_s", r6("latency_ms"))
+
+
 @query(
     q.with_parts(*_KEYWORDS)
     + """SELECT CAST(epoch(date_trunc('day', x.ts)) AS BIGINT) AS window_s, CAST(count(*) AS BIGINT) AS n,

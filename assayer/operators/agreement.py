@@ -7,7 +7,7 @@ number per sample, ``u_i . S``, carries both results.
 
 Ordinary questions: rows are shuffled once, by question; the per-token sums, the
 per-sample sums and the per-question results then all run inside the partition.
-Heavy questions (see :mod:`assayer.operators.skew`): the tokens are spread over
+Heavy questions, by samples or by bytes (see :mod:`assayer.operators.skew`): the tokens are spread over
 (question, token), pre-aggregated, and joined back with a salt.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions import ordinal, text
-from assayer.operators.skew import MIN_HEAVY_ROWS, join_lookup, split_heavy
+from assayer.operators.skew import MIN_HEAVY_ROWS, MIN_HEAVY_WEIGHT, join_lookup, split_heavy
 
 STEP = ["run_id", "step_idx"]
 
@@ -167,6 +167,8 @@ def vector_agreement(
     keys: list[str] = STEP,
     idx: str = "sample_idx",
     min_heavy_rows: int = MIN_HEAVY_ROWS,
+    weight: Column | None = None,
+    min_heavy_weight: float = MIN_HEAVY_WEIGHT,
 ) -> DataFrame:
     """One row per question: size, consistency, answerability, dispersion, medoid.
 
@@ -174,8 +176,9 @@ def vector_agreement(
     ``length``, ``usable``, ``form`` and ``answer``; any similarity that is the cosine
     of sparse vectors fits.  It is applied after the shuffle, so that the raw rows
     travel and not the larger vectors.  ``idx`` is a number unique within the question.
+    ``weight`` is a sample's size in bytes, so that a few huge answers make a question heavy too.
     """
-    ordinary, heavy = split_heavy(samples, keys, min_heavy_rows)
+    ordinary, heavy = split_heavy(samples, keys, min_heavy_rows, weight, min_heavy_weight)
     together = vectorise(ordinary.repartition(*keys))
     found = _per_question(_ordinary_scores(together, keys, idx), keys, idx).unionByName(
         _per_question(_heavy_scores(vectorise(heavy), keys, idx, min_heavy_rows), keys, idx)
@@ -204,9 +207,11 @@ def step_agreement(
     keys: list[str] = STEP,
     idx: str = "sample_idx",
     min_heavy_rows: int = MIN_HEAVY_ROWS,
+    min_heavy_bytes: float = MIN_HEAVY_WEIGHT,
 ) -> DataFrame:
     """:func:`vector_agreement` of answer texts, plus the three evidence levels."""
-    return with_evidence(vector_agreement(samples, text_vectors, keys, idx, min_heavy_rows))
+    size = F.octet_length("answer")
+    return with_evidence(vector_agreement(samples, text_vectors, keys, idx, min_heavy_rows, size, min_heavy_bytes))
 
 
 def with_evidence(agreement: DataFrame) -> DataFrame:

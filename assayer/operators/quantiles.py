@@ -10,20 +10,23 @@ pass looks inside that bin only:
 3. by value, with few enough left.
 
 A double has 2^52 values per power of two, so step 2 ends after three rounds at
-most.  Every pass is a map-side combined count with a small result.  A global
-sort is never needed, and the answer is exact, ties included.  Passes run when
-the function is called, as in any iterative fit.
+most.  Every pass is a map-side combined count.  A global sort is never needed, and the
+answer is exact, ties included.  Passes run when the function is called, as in any iterative
+fit.  The values are written once, and what each pass finds is a table: there may be as many
+groups and ranks as there are rows.
 """
 
 from __future__ import annotations
 
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayer.session import release, scoped, settled
+
 PARTS = 65_536
 EXACT_ROWS = 1_000_000
-MAX_TARGETS = 100_000
+#: Up to so many bins are broadcast; more are joined by their group.
+BROADCAST_BINS = 100_000
 
 
 def _octave(x: Column) -> Column:
@@ -50,24 +53,16 @@ def _narrow(histogram: DataFrame, bin_col: str, *keep: str) -> DataFrame:
     )
 
 
-def _settle(found: DataFrame) -> tuple[DataFrame, bool]:
-    """Run a pass: its result as a local table, and whether a bin is still too full.
-
-    The result is one bin per group and wanted rank, so it must be small.
-    """
-    rows = found.limit(MAX_TARGETS + 1).toArrow()
-    if rows.num_rows > MAX_TARGETS:
-        raise ValueError("too many groups for exact quantiles; use percentile_approx")
-    crowded = False
-    if "low" in rows.column_names:
-        full = pc.and_(pc.greater(rows["n"], EXACT_ROWS), pc.less(rows["low"], rows["high"]))
-        crowded = bool(pc.any(full).as_py())
-    return found.sparkSession.createDataFrame(rows, found.schema), crowded
+def _crowded(found: DataFrame) -> bool:
+    """Whether a bin is still too full to be settled by value."""
+    return not found.where((F.col("n") > EXACT_ROWS) & (F.col("low") < F.col("high"))).isEmpty()
 
 
 def _inside(values: DataFrame, found: DataFrame) -> DataFrame:
     """Rows in the bins still of interest."""
-    bins = F.broadcast(found.drop("n").withColumnRenamed("group", "_group"))
+    bins = found.drop("n").withColumnRenamed("group", "_group")
+    if found.limit(BROADCAST_BINS + 1).count() <= BROADCAST_BINS:
+        bins = F.broadcast(bins)
     match = (
         F.col("group").eqNullSafe(F.col("_group"))
         & (F.col("x") >= F.col("low"))
@@ -80,35 +75,36 @@ def order_statistics(df: DataFrame, column: str, slots: Column, by: list[str]) -
     """(by, slot, v): the values at the wanted 0-based ranks, per group.
 
     ``slots`` is an array of structs with a ``rank``, written in terms of the
-    group size ``size``.  Groups and ranks must be few (this is checked).  NULL and
-    NaN are left out.
+    group size ``size``.  NULL and NaN are left out.
     """
     group = F.struct(*by).alias("group") if by else F.lit(0).alias("group")
     values = df.select(group, F.col(column).alias("v"), F.col(column).cast("double").alias("x")).where(
         F.col("x").isNotNull() & ~F.isnan("x")
     )
     counted = [F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high")]
-
-    octaves = values.withColumn("part", _octave(F.col("x"))).groupBy("group", "part").agg(*counted)
-    wanted = (
-        octaves.withColumn("size", F.sum("n").over(Window.partitionBy("group")))
-        .withColumn("slot", F.explode(slots))
-        .withColumn("rank", F.col("slot.rank"))
-    )
-    found, crowded = _settle(_narrow(wanted, "part", "low", "high"))
-    while crowded:
-        part = _part(F.col("x"), F.col("low"), F.col("high"))
-        parts = (
-            _inside(values, found)
-            .withColumn("part", part)
-            .groupBy("group", "slot", "rank", "part")
-            .agg(*counted)
+    with scoped() as keep:
+        values = settled(values, "values")
+        octaves = values.withColumn("part", _octave(F.col("x"))).groupBy("group", "part").agg(*counted)
+        wanted = (
+            octaves.withColumn("size", F.sum("n").over(Window.partitionBy("group")))
+            .withColumn("slot", F.explode(slots))
+            .withColumn("rank", F.col("slot.rank"))
         )
-        found, crowded = _settle(_narrow(parts, "part", "low", "high"))
-    distinct = (
-        _inside(values, found).groupBy("group", "slot", "rank", "v").agg(F.count(F.lit(1)).alias("n"))
-    )
-    result, _ = _settle(_narrow(distinct, "v", "v"))
+        found = settled(_narrow(wanted, "part", "low", "high"), "bins")
+        while _crowded(found):
+            part = _part(F.col("x"), F.col("low"), F.col("high"))
+            parts = (
+                _inside(values, found)
+                .withColumn("part", part)
+                .groupBy("group", "slot", "rank", "part")
+                .agg(*counted)
+            )
+            before, found = found, settled(_narrow(parts, "part", "low", "high"), "bins")
+            release(before)
+        distinct = (
+            _inside(values, found).groupBy("group", "slot", "rank", "v").agg(F.count(F.lit(1)).alias("n"))
+        )
+        result = keep(settled(_narrow(distinct, "v", "v"), "order-statistics"))
     return result.select(*[F.col(f"group.{c}") for c in by], "slot", "v")
 
 

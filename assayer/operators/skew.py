@@ -1,48 +1,62 @@
 """Heavy keys: finding them, and joining past them.
 
 With P shuffle partitions, a key is *heavy* when it holds more than one part in 4P
-of all rows.  By that definition there are fewer than 4P of them, whatever the
-data, so a list of heavy keys is always safe to broadcast; every other key fits
-comfortably into one task.
+of all rows, or of their weight where the rows differ in size.  By that definition there are
+fewer than 8P of them, whatever the data, so a list of heavy keys is always safe to
+broadcast; every other key fits comfortably into one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.session import shuffle_partitions
 
 MIN_HEAVY_ROWS = 100_000
+#: Weights are bytes.
+MIN_HEAVY_WEIGHT = 64 << 20
 
 
-def key_counts(df: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, rows): reads the key columns only and combines before the shuffle."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+def key_counts(df: DataFrame, keys: list[str], weight: Column | None = None) -> DataFrame:
+    """(keys, rows, weight): reads the key columns and the weight only and combines before the shuffle."""
+    total = F.sum(weight.cast("double")) if weight is not None else F.lit(0.0)
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), total.alias("weight"))
 
 
-def heavy_keys(counts: DataFrame, keys: list[str], min_rows: int = MIN_HEAVY_ROWS) -> DataFrame:
+def heavy_keys(
+    counts: DataFrame, keys: list[str], min_rows: int = MIN_HEAVY_ROWS, min_weight: float = MIN_HEAVY_WEIGHT
+) -> DataFrame:
     """(keys, fan) of the keys that would overload one task.
 
-    ``fan`` is the number of tasks a key is worth.  Over all heavy keys the fans
-    add up to less than 8P.  The total is taken from the same counts, so their
+    ``fan`` is the number of tasks a key is worth, by its rows or by its weight.  Over all heavy
+    keys the fans add up to less than 16P.  The totals are taken from the same counts, so their
     exchange is shared.
     """
     limit = 4 * shuffle_partitions(counts.sparkSession)
-    share = F.col("rows") * limit / counts.agg(F.sum("rows").alias("total")).scalar()
-    return counts.where(F.col("rows") >= min_rows).withColumn("share", share).where(
-        F.col("share") > 1
-    ).select(*keys, F.ceil("share").cast("int").alias("fan"))
+
+    def share(column: str, least: float) -> Column:
+        total = counts.agg(F.sum(column).alias("total")).scalar()
+        return F.when(F.col(column) >= least, F.try_divide(F.col(column) * limit, total))
+
+    shares = [share("rows", min_rows)]
+    shares += [share("weight", min_weight)] if "weight" in counts.columns else []
+    known = counts.withColumn("share", F.greatest(*shares, F.lit(0.0)))
+    return known.where(F.col("share") > 1).select(*keys, F.ceil("share").cast("int").alias("fan"))
 
 
 def split_heavy(
-    df: DataFrame, keys: list[str], min_rows: int = MIN_HEAVY_ROWS
+    df: DataFrame,
+    keys: list[str],
+    min_rows: int = MIN_HEAVY_ROWS,
+    weight: Column | None = None,
+    min_weight: float = MIN_HEAVY_WEIGHT,
 ) -> tuple[DataFrame, DataFrame]:
     """(rows of ordinary keys, rows of heavy keys).
 
     Without heavy keys AQE sees the empty broadcast and drops the second part.
     """
-    heavy = F.broadcast(heavy_keys(key_counts(df, keys), keys, min_rows).select(*keys))
+    heavy = F.broadcast(heavy_keys(key_counts(df, keys, weight), keys, min_rows, min_weight).select(*keys))
     return df.join(heavy, keys, "left_anti"), df.join(heavy, keys, "left_semi")
 
 
