@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +34,11 @@ from assayer.session import release, settled, shuffle_partitions
 
 WINDOW = 50
 GRAM = 16
+#: Within a gram's stretches a longer one tells apart what can't be equal.
+LONG_GRAM = 32
 #: Bytes of text whose least grams meet in one bucket, and stretches in one index.
 BUCKET_BYTES = 1 << 27
-SHARD_STRETCHES = 1 << 15
+SHARD_STRETCHES = 1 << 17
 #: A gram with more different stretches than this is settled window by window.
 MOST_STRETCHES = 1 << 12
 #: Windows of a stretch; a longer row of windows with one least gram is cut.
@@ -147,13 +150,13 @@ def _shared(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def stretches(data: bytes, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows and least gram of each stretch whose gram is among the shared ones."""
+    """First window, number of windows and least gram of each stretch whose gram is among the shared ones, given in order."""
     grams = least_grams(data)
     if not len(grams):
         return np.zeros(0, int), np.zeros(0, int), grams
     edge = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
     size = np.diff(np.append(edge, len(grams)))
-    mine = np.isin(grams[edge], shared)
+    mine = shared[np.minimum(np.searchsorted(shared, grams[edge]), len(shared) - 1)] == grams[edge] if len(shared) else np.zeros(len(edge), bool)
     edge, size = edge[mine], size[mine]
     pieces = -(-size // LONGEST)
     nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
@@ -163,59 +166,118 @@ def stretches(data: bytes, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _stretch_rows(texts: DataFrame, whole: bool) -> DataFrame:
-    """Stretches of candidate texts: with their bytes and gram, or else with their place."""
+    """Stretches of candidate texts: with their bytes and gram, or else by name with their place."""
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for key, doc, text, lists in zip(frame["key"], frame["doc_id"], frame["text"], frame["grams"], strict=True):
+            found = []
+            for i, (text, lists) in enumerate(zip(frame["text"], frame["grams"], strict=True)):
                 data = _bytes(text)
-                start, count, grams = stretches(data, np.frombuffer(b"".join(lists), np.uint64))
+                start, count, grams = stretches(data, np.sort(np.frombuffer(b"".join(lists), np.uint64)))
                 pieces = [data[s : s + c + WINDOW - 1] for s, c in zip(start.tolist(), count.tolist(), strict=True)]
-                if whole:
-                    yield pd.DataFrame({"gram": grams.view(np.int64), "piece": pieces, "doc_id": doc})
-                else:
-                    names = [hashlib.md5(p).digest() for p in pieces]
-                    yield pd.DataFrame({"name": names, "key": bytes(key), "doc_id": doc, "start": start, "windows": count})
+                found.append((np.full(len(start), i), start, count, grams, pieces))
+            if not found:
+                continue
+            row, start, count, grams = (np.concatenate([f[k] for f in found]) for k in range(4))
+            pieces = [p for f in found for p in f[4]]
+            doc = frame["doc_id"].to_numpy()[row]
+            if whole:
+                yield pd.DataFrame({"gram": grams.view(np.int64), "piece": pieces, "doc_id": doc})
+            else:
+                names = [xxhash.xxh3_128_digest(p) for p in pieces]
+                yield pd.DataFrame({"name": names, "key": frame["key"].to_numpy()[row], "doc_id": doc, "start": start, "windows": count})
 
     columns = texts.select("key", "doc_id", "text", "grams")
     kind = "gram long, piece binary, doc_id long" if whole else "name binary, key binary, doc_id long, start long, windows long"
     return columns.mapInPandas(cut, kind)
 
 
+def _sub_stretches(data: np.ndarray, starts: np.ndarray, windows: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Stretches cut again, by a longer least gram: ``owner, start, count, group`` of each piece.
+
+    Pieces of one group have both grams in common; equal windows still meet.
+    """
+    words = np.ndarray((len(data) - 7,), "<u8", data.tobytes(), strides=(1,)).astype(np.uint64)
+    h = np.zeros(len(data) - LONG_GRAM + 1, np.uint64)
+    for at in range(0, LONG_GRAM, 8):
+        h = (h ^ words[at : at + len(h)]) * _MIX
+        h ^= h >> np.uint64(31)
+    width, done = WINDOW - LONG_GRAM + 1, 1
+    while done < width:
+        step = min(done, width - done)
+        h = np.minimum(h[:-step], h[step:])
+        done += step
+    owner = np.repeat(np.arange(len(starts)), windows)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows) + np.repeat(starts, windows)
+    least = h[place]
+    edge = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (least[1:] != least[:-1])]))
+    count = np.diff(np.append(edge, len(owner)))
+    pair = np.empty(len(edge), [("gram", gram.dtype), ("least", np.uint64)])
+    pair["gram"], pair["least"] = gram[owner[edge]], least[edge]
+    return owner[edge], place[edge], count, np.unique(pair, return_inverse=True)[1]
+
+
 def marked_windows(grams: np.ndarray, pieces: list[bytes], first: np.ndarray, window: int = WINDOW) -> list[np.ndarray]:
     """For each stretch, which of its windows a stretch of the same gram with a smaller id has.
 
-    Halving: at each level the stretches of a gram are cut by the rank of their id into blocks, and blocks
-    into an earlier and a later half; all earlier halves make one index, under a tag each.
+    Stretches are cut by a longer gram, and equal cuts are one, with the smallest id. Then by halving: at each level
+    the cuts of a group are parted by the rank of their id into blocks, and blocks into an earlier and a later
+    half; all earlier halves make one index, under a tag each, and the later halves are matched with it.
     """
-    order = np.lexsort((first, grams))
-    gram, doc = grams[order], first[order]
-    fresh = np.concatenate([[True], gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, bool)
-    group = np.cumsum(fresh) - 1
-    later = ~fresh & np.concatenate([[False], doc[1:] != doc[:-1]]) if len(gram) else fresh
-    rank = np.cumsum(later)
-    rank = rank - rank[np.flatnonzero(fresh)][group] if len(gram) else rank
-    data, lengths = flat([pieces[i] for i in order])
-    ends = np.cumsum(lengths)
+    if not pieces:
+        return []
+    data, lengths = flat(pieces)
+    starts, windows = np.cumsum(lengths) - lengths, lengths - window + 1
+    owner, start, count, group = _sub_stretches(data, starts, windows, grams)
+    doc = first[owner]
+    order = np.lexsort((doc, group))
+    owner, start, count, group, doc = owner[order], start[order], count[order], group[order], doc[order]
+    # groups of one id have nothing to find
+    fresh = np.concatenate([[True], group[1:] != group[:-1]])
+    begin = np.flatnonzero(fresh)
+    ends = np.append(begin[1:], len(group))
+    several = np.repeat(doc[begin] != doc[ends - 1], ends - begin)
+    owner, start, count, group, doc = (v[several] for v in (owner, start, count, group, doc))
     hit = np.zeros(len(data), bool)
-    level = 0
-    while len(rank) and (rank >> level).any():
+    whole = data.tobytes()
+    seen: dict[tuple[int, bytes], int] = {}
+    same = np.array(
+        [seen.setdefault((g, whole[s : s + n + window - 1]), i) for i, (g, s, n) in enumerate(zip(group.tolist(), start.tolist(), count.tolist(), strict=True))],
+        np.int64,
+    )
+    own = np.flatnonzero(same == np.arange(len(same)))
+    _halve(data, start[own], count[own], group[own], doc[own], hit, window)
+    for i in np.flatnonzero(same != np.arange(len(same))).tolist():
+        s, n, j = int(start[i]), int(count[i]), int(same[i])
+        hit[s : s + n] |= True if doc[j] < doc[i] else hit[start[j] : start[j] + n]
+    return [hit[s : s + n] for s, n in zip(starts.tolist(), windows.tolist(), strict=True)]
+
+
+def _halve(
+    data: np.ndarray, start: np.ndarray, count: np.ndarray, group: np.ndarray, doc: np.ndarray, hit: np.ndarray, window: int
+) -> None:
+    """Sets ``hit`` where a window of a cut is in a cut of its group with a smaller id; cuts are in the order of both."""
+    if not len(group):
+        return
+    fresh = np.concatenate([[True], group[1:] != group[:-1]])
+    rank = np.cumsum(~fresh & np.concatenate([[False], doc[1:] != doc[:-1]]))
+    rank -= rank[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+    lengths, level = count + window - 1, 0
+    while (rank >> level).any():
         block, late = rank >> (level + 1), (rank >> level) & 1
         _, tag = np.unique(group * (int(block.max()) + 1) + block, return_inverse=True)
         both = (np.bincount(tag, late == 0) > 0) & (np.bincount(tag, late == 1) > 0)
         known, asked = (np.flatnonzero(both[tag] & (late == side)) for side in (0, 1))
         if len(asked):
-            place = {}
-            for name, who in (("known", known), ("asked", asked)):
+            place = []
+            for who in (known, asked):
                 size = lengths[who]
-                place[name] = np.repeat(ends[who] - np.cumsum(size), size) + np.arange(size.sum())
-            index = RunIndex(data[place["known"]], lengths[known], tag[known])
-            hit[place["asked"]] |= index.reaches(data[place["asked"]], lengths[asked], tag[asked], window)
+                place.append(np.repeat(start[who] - (np.cumsum(size) - size), size) + np.arange(size.sum()))
+            tag = np.unique(tag[np.concatenate([known, asked])], return_inverse=True)[1]
+            index = RunIndex(data[place[0]], lengths[known], tag[: len(known)], window)
+            # cuts of one stretch overlap, so a place may stand here twice
+            hit[place[1][index.reaches(data[place[1]], lengths[asked], tag[len(known) :], window)]] = True
         level += 1
-    out: list[np.ndarray] = [np.zeros(0, bool)] * len(order)
-    for i, end, size in zip(order.tolist(), ends.tolist(), lengths.tolist(), strict=True):
-        out[i] = hit[end - size : end - window + 1]
-    return out
 
 
 def _by_index(pieces: DataFrame, shards: int) -> DataFrame:
@@ -225,7 +287,7 @@ def _by_index(pieces: DataFrame, shards: int) -> DataFrame:
         strings = [bytes(p) for p in frame["piece"]]
         marks = marked_windows(frame["gram"].to_numpy(), strings, frame["first"].to_numpy())
         made = pd.DataFrame({
-            "name": [hashlib.md5(s).digest() for s in strings], "first": frame["first"], "several": frame["last"] > frame["first"],
+            "name": [xxhash.xxh3_128_digest(s) for s in strings], "first": frame["first"], "several": frame["last"] > frame["first"],
             "any": [m.any() for m in marks], "marks": [m.astype(np.uint8).tobytes() for m in marks],
         })
         return made.loc[made["several"] | made["any"], ["name", "first", "marks"]]
@@ -236,7 +298,12 @@ def _by_index(pieces: DataFrame, shards: int) -> DataFrame:
 
 def _by_window(pieces: DataFrame) -> DataFrame:
     """The same for grams with very many stretches: each window finds its smallest id by a grouped minimum."""
-    each = pieces.select(F.md5("piece").alias("name"), "first", "last", "piece", F.explode(F.sequence(F.lit(0), F.length("piece") - WINDOW)).alias("i"))
+    def name(piece: pd.Series) -> pd.Series:
+        return piece.map(lambda p: xxhash.xxh3_128_digest(bytes(p)))
+
+    name.__annotations__ = {"piece": pd.Series, "return": pd.Series}
+    named = pieces.select(F.pandas_udf(name, "binary")("piece").alias("name"), "piece", "first", "last")
+    each = named.select("name", "first", "last", "piece", F.explode(F.sequence(F.lit(0), F.length("piece") - WINDOW)).alias("i"))
     each = each.withColumn("w", F.expr(f"substring(piece, i + 1, {WINDOW})")).drop("piece")
     least = each.groupBy("w").agg(F.min("first").alias("least"))
     met = each.join(least, "w").groupBy("name", "first", "last").agg(
@@ -244,7 +311,7 @@ def _by_window(pieces: DataFrame) -> DataFrame:
     )
     marks = F.array_join(F.transform("all", lambda s: F.when(s["m"], F.lit("01")).otherwise(F.lit("00"))), "")
     found = met.where((F.col("last") > F.col("first")) | F.exists("all", lambda s: s["m"]))
-    return found.select(F.unhex("name").alias("name"), "first", F.unhex(marks).alias("marks"))
+    return found.select("name", "first", F.unhex(marks).alias("marks"))
 
 
 def _covered(starts: np.ndarray, size: int) -> tuple[np.ndarray, int]:

@@ -29,10 +29,19 @@ def _within(lengths: np.ndarray) -> np.ndarray:
     return np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
+def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the keys, and the rank of each among the distinct ones."""
+    order = np.argsort(key)
+    ranked = key[order]
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])])
+    return order, rank
+
+
 class RunIndex:
-    """Index of the strings ``data`` of the given ``lengths`` and ``tags``."""
+    """Index of the strings ``data`` of the given ``lengths`` and ``tags``, for matches up to ``depth``."""
 
-    def __init__(self, data: np.ndarray, lengths: np.ndarray, tags: np.ndarray):
+    def __init__(self, data: np.ndarray, lengths: np.ndarray, tags: np.ndarray, depth: int = 64):
         ends = lengths + 1  # each string and its end mark
         n = int(ends.sum())
         place = _within(ends)
@@ -40,7 +49,7 @@ class RunIndex:
         self.chars = np.full(n, -1, np.int16)
         self.chars[~mark] = data
         codes = np.repeat(tags, ends) * _CODES + self.chars + 1
-        order = self._order(codes, np.repeat(tags, ends), np.repeat(ends, ends) - place, np.repeat(np.arange(len(ends)), ends))
+        order = self._order(codes, np.repeat(tags, ends), np.repeat(ends, ends) - place, depth)
         before = np.where(place[order] == 0, -1, codes[order - 1])
         starts = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]])) if n else np.zeros(0, np.int64)
         sizes = np.diff(np.concatenate([starts, [n]]))
@@ -59,40 +68,47 @@ class RunIndex:
         self.tails = order[starts + sizes - 1][by_symbol]
 
     @staticmethod
-    def _order(codes: np.ndarray, tags: np.ndarray, left: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        """Order of all suffixes by tag, characters, and at equal ends by string: doubling of ranked prefixes.
+    def _order(codes: np.ndarray, tags: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
+        """Order of all suffixes by tag and their first ``depth`` characters: doubling of ranked prefixes.
 
-        ``left`` is the number of symbols up to the end mark, itself included.
+        ``left`` is the number of symbols up to the end mark, itself included. Suffixes that agree so far
+        follow each other in any order: a match is never followed further than that.
         """
-        n, width = len(codes), 4
+        n, width = len(codes), 6
         if not n:
             return np.zeros(0, np.int64)
-        own = codes - tags * _CODES  # 0 is the end mark
-        key = tags.copy()
+        own = np.concatenate([codes - tags * _CODES, np.zeros(width, np.int64)])  # 0 is the end mark
+        key = np.zeros(n, np.int64)
         for k in range(width):
-            there = np.minimum(np.arange(n) + k, n - 1)
-            key = key * 512 + np.where(left > k, own[there], 0)
+            key = key * 512 + np.where(left > k, own[k : n + k], 0)
+        rank = _ranked(key)[1]
         while True:
-            order = np.argsort(key, kind="stable")
-            ranked = key[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])])
-            if rank[order[-1]] == n - 1:
-                return order
-            there = np.minimum(np.arange(n) + width, n - 1)
-            # equal prefixes end together: then the string decides
-            key = rank * (n + 1) + np.where(left > width, rank[there] + 1, owner)
+            beyond = np.where(left > width, rank[np.minimum(np.arange(n) + width, n - 1)] + 1, 0)
+            if width == 6:  # the tag comes first of all
+                rank = _ranked(tags * (n + 1) + rank)[1]
+            order, rank = _ranked(rank * (n + 1) + beyond)
             width *= 2
+            if width >= depth or rank[order[-1]] == n - 1:
+                return order
 
-    def _extension(self, rows: np.ndarray, text: np.ndarray, at: np.ndarray, most: int) -> np.ndarray:
-        """Common length, up to ``most``, of indexed text from ``rows`` and pattern text from ``at``."""
-        steps = np.arange(most)
-        a = self.chars[np.minimum(rows[:, None] + steps, self.n - 1)]
-        same = a == text[at[:, None] + steps]
-        return np.logical_and.accumulate(same, axis=1).sum(axis=1)
+    def _extension(self, rows: np.ndarray, text: np.ndarray, at: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Common length of indexed text from ``rows`` and pattern text from ``at``, up to ``most``, which
+        the present match has: pairs that agree on eight characters go on to the next eight."""
+        common = np.zeros(len(rows), np.int64)
+        going, done = np.flatnonzero(most > 0), 0
+        steps = np.arange(8)
+        while len(going):
+            a = self.chars[np.minimum(rows[going][:, None] + (steps + done), self.n - 1)]
+            same = a == text[at[going][:, None] + np.minimum(steps + done, most[going][:, None])]
+            n = np.where(same.all(axis=1), 8, same.argmin(axis=1))
+            done += 8
+            common[going] += n
+            going = going[(n == 8) & (common[going] < most[going])]
+        return np.minimum(common, most)
 
     def reaches(self, data: np.ndarray, lengths: np.ndarray, tags: np.ndarray, length: int) -> np.ndarray:
-        """For each character of the patterns, whether the match that begins there has ``length`` characters at least."""
+        """For each character of the patterns, whether the match that begins there has ``length`` characters at least,
+        which must not be more than the index's depth."""
         out = np.zeros(len(data), bool)
         if not self.n or not len(data):
             return out
@@ -100,36 +116,38 @@ class RunIndex:
         text = np.full(int((lengths + length).sum()), -2, np.int16)
         base = np.cumsum(lengths + length) - (lengths + length)
         text[np.repeat(base, lengths) + _within(lengths)] = data
-        longest = np.argsort(-lengths, kind="stable")
-        lengths, base, tags = lengths[longest], base[longest], tags[longest]
-        size_before = np.empty(len(longest), np.int64)
-        size_before[longest] = lengths
-        origin = (np.cumsum(size_before) - size_before)[longest]
-        row, match = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-        for step in range(int(lengths[0]) if len(lengths) else 0):
-            active = int(np.searchsorted(-lengths, -step, side="left"))
-            at = base[:active] + lengths[:active] - 1 - step
-            symbol = tags[:active] * _CODES + text[at] + 1
-            run = np.searchsorted(self.starts, row[:active], side="right") - 1
-            same = self.symbols[run] == symbol
+        origin = np.cumsum(lengths) - lengths
+        who = np.flatnonzero(lengths >= length)
+        row, match, last = np.zeros(len(who), np.int64), np.zeros(len(who), np.int64), len(self.sorted_keys) - 1
+        step = 0
+        while len(who):
+            left = lengths[who] - 1 - step
+            at = base[who] + left
+            symbol = tags[who] * _CODES + text[at] + 1
+            run = np.searchsorted(self.starts, row, side="right") - 1
             go = self.where[run]
-            moved, grown = self.target[go] + row[:active] - self.starts[run], match[:active] + 1
-            jump = np.flatnonzero(~same)
+            moved, grown = self.target[go] + row - self.starts[run], match + 1
+            jump = np.flatnonzero(self.symbols[run] != symbol)
             if len(jump):
-                below = np.searchsorted(self.sorted_keys, symbol[jump] * (self.n + 1) + row[jump])
-                above = below - 1
-                has_below = (below < len(self.sorted_keys)) & (self.sorted_symbols[np.minimum(below, len(self.sorted_keys) - 1)] == symbol[jump])
-                has_above = (above >= 0) & (self.sorted_symbols[np.maximum(above, 0)] == symbol[jump])
-                below, above = np.minimum(below, len(self.sorted_keys) - 1), np.maximum(above, 0)
+                wanted = symbol[jump]
+                below = np.searchsorted(self.sorted_keys, wanted * (self.n + 1) + row[jump])
+                above = np.maximum(below - 1, 0)
+                below = np.minimum(below, last)
                 common = np.full((2, len(jump)), -1, np.int64)
-                for side, (has, samples) in enumerate(((has_above, self.tails[above]), (has_below, self.heads[below]))):
-                    if has.any():
-                        common[side, has] = self._extension(samples[has], text, at[jump[has]] + 1, length - 1)
+                for side, (run_there, samples) in enumerate(((above, self.tails), (below, self.heads))):
+                    has = np.flatnonzero(self.sorted_symbols[run_there] == wanted)
+                    if len(has):
+                        common[side, has] = self._extension(samples[run_there[has]], text, at[jump[has]] + 1, np.minimum(match[jump[has]], length - 1))
                 down = common[1] > common[0]
                 moved[jump] = np.where(down, self.target[below], self.target[above] + self.sorted_sizes[above] - 1)
                 grown[jump] = common.max(axis=0) + 1
-                nowhere = grown[jump] == 0
-                moved[jump[nowhere]] = 0
-            row[:active], match[:active] = moved, grown
-            out[origin[:active] + lengths[:active] - 1 - step] = grown >= length
+                moved[jump[grown[jump] == 0]] = 0
+            row, match = moved, grown
+            reached = match >= length
+            out[origin[who[reached]] + left[reached]] = True
+            # a pattern ends where what is left of it is too short for a match
+            alive = (left > 0) & (match + left >= length)
+            if not alive.all():
+                who, row, match = who[alive], row[alive], match[alive]
+            step += 1
         return out
