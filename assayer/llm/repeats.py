@@ -212,9 +212,9 @@ def _sub_stretches(data: np.ndarray, starts: np.ndarray, windows: np.ndarray, gr
     least = h[place]
     edge = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (least[1:] != least[:-1])]))
     count = np.diff(np.append(edge, len(owner)))
-    pair = np.empty(len(edge), [("gram", gram.dtype), ("least", np.uint64)])
-    pair["gram"], pair["least"] = gram[owner[edge]], least[edge]
-    return owner[edge], place[edge], count, np.unique(pair, return_inverse=True)[1]
+    # should two pairs of grams have one hash, they are one group: matches are of bytes all the same
+    both = (gram[owner[edge]].astype(np.uint64) * _MIX) ^ least[edge]
+    return owner[edge], place[edge], count, np.unique(both, return_inverse=True)[1]
 
 
 def marked_windows(grams: np.ndarray, pieces: list[bytes], first: np.ndarray, window: int = WINDOW) -> list[np.ndarray]:
