@@ -8,6 +8,7 @@ algorithm over the whole text; a text's language is the one with most expected w
 
 from __future__ import annotations
 
+import random
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -24,6 +25,12 @@ from assayer.llm.common import in_fold, whole_text
 BUCKETS = 1 << 16
 #: Expected documents per language that the model is fitted on.
 DOCS_PER_LANGUAGE = 150
+#: Texts with more bytes than this teach nothing: it bounds what reaches the driver.
+LONGEST_LEARNT = 1 << 16
+#: In learning, for so many chains of one language one is put together from runs of several, so that
+#: the transitions see languages change; a run has so many words.
+PURE_FOR_MIXED = 4
+RUN = (4, 25)
 #: In learning, texts are chains of at most so many words; every word takes part.
 CHAIN = 100
 #: Words decoded together, and remembered per task.
@@ -160,10 +167,35 @@ class Tagger:
         return out
 
 
+def mixed_chains(pieces: list[tuple[list[str], list[int]]], k: int, seed: int = 5) -> list[tuple[list[str], list[int]]]:
+    """Chains of runs from pieces of different languages, one after the other, with each word's own label."""
+    rng = random.Random(seed)
+    by_language: list[list[list[str]]] = [[] for _ in range(k)]
+    for words, ys in pieces:
+        by_language[ys[0]].append(words)
+    there = [y for y in range(k) if by_language[y]]
+    out = []
+    for _ in range(len(pieces) // PURE_FOR_MIXED if len(there) > 1 else 0):
+        words: list[str] = []
+        labels: list[int] = []
+        y = rng.choice(there)
+        while len(words) < CHAIN:
+            source = rng.choice(by_language[y])
+            n = rng.randint(*RUN)
+            start = rng.randrange(max(1, len(source) - n + 1))
+            run = source[start : start + n]
+            words += run
+            labels += [y] * len(run)
+            y = rng.choice([z for z in there if z != y])
+        out.append((words[:CHAIN], labels[:CHAIN]))
+    return out
+
+
 def fit(texts: list[list[str]], labels: list[int], languages: list[str], steps: int = 40, rate: float = 0.3, ridge: float = 2e-5) -> Tagger:
     """Maximises the likelihood of labelled words by adaptive gradient steps."""
     k = len(languages)
-    pieces = [(w[i : i + CHAIN], y) for w, y in zip(texts, labels, strict=True) for i in range(0, len(w), CHAIN)]
+    pieces = [(w[i : i + CHAIN], [y] * len(w[i : i + CHAIN])) for w, y in zip(texts, labels, strict=True) for i in range(0, len(w), CHAIN)]
+    pieces += mixed_chains(pieces, k)
     pieces.sort(key=lambda c: -len(c[0]))
     tagger = Tagger(languages, np.zeros((BUCKETS, k)), np.zeros((k, k)))
     if not pieces or k < 2:
@@ -171,7 +203,7 @@ def fit(texts: list[list[str]], labels: list[int], languages: list[str], steps:
     lengths = np.array([len(w) for w, _ in pieces])
     vocabulary: dict[str, int] = {}
     word = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for c, _ in pieces for w in c), np.int64, lengths.sum())
-    truth = np.repeat(np.array([y for _, y in pieces]), lengths)
+    truth = np.array([y for _, ys in pieces for y in ys])
     features = [word_features(w) for w in vocabulary]
     flat = np.fromiter(chain.from_iterable(features), np.int64) % BUCKETS
     owner = np.repeat(np.arange(len(features)), [len(f) for f in features])
@@ -180,7 +212,7 @@ def fit(texts: list[list[str]], labels: list[int], languages: list[str], steps:
     last = np.zeros(len(word), bool)
     last[np.cumsum(lengths) - 1] = True
     pairs = np.flatnonzero(~last)
-    gold_pairs = np.diag(np.bincount(truth[pairs], minlength=k)).astype(float)
+    gold_pairs = np.bincount(truth[pairs] * k + truth[pairs + 1], minlength=k * k).reshape(k, k).astype(float)
     total = len(word)
     square_w, square_t = np.zeros_like(tagger.weights), np.zeros((k, k))
     for _ in range(steps):
@@ -217,11 +249,14 @@ def languages(
     """``doc_id, held_out, lang_pred, score`` for every row.
 
     Fitted outside the held-out fold, on a sample by id of about ``DOCS_PER_LANGUAGE``
-    whole texts of each language; NULL languages teach nothing. NULL texts and those
-    without a letter are ``und`` with score 0, and so is all if nothing can be learned.
+    whole texts of each language, none longer than ``LONGEST_LEARNT`` bytes; NULL languages teach
+    nothing. NULL texts and those without a letter are ``und`` with score 0, and so is all if nothing can
+    be learned. Repeated rows are predicted each, and of rows that share an id one teaches. Other
+    columns are ignored; an empty table gives an empty one.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text"), F.col(lang).alias("lang"))
     learning = rows.where(~in_fold("doc_id", folds, fold) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    learning = learning.where(F.octet_length("text") <= LONGEST_LEARNT)
     counts = {r["lang"]: r["n"] for r in learning.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     names = sorted(counts)
     share = F.lit(0.0)

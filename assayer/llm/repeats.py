@@ -8,13 +8,14 @@ repeat, and windows with the same least gram can meet in one place, wherever the
 2. Least grams of each text, distinct and packed by bucket, tell which of them several texts have.
    What a batch of texts sees twice by itself is settled there, so a gram that a third of
    all texts have reaches its bucket once for each batch.
-3. Neighbouring windows with the same least gram are a *stretch* of some 65 bytes. Equal stretches are one
-   before they are shuffled, with the smallest id.
-4. The stretches of a gram, in the order of their ids, are cut in halves, and again; at each level a
-   run-length index (:mod:`assayer.llm.run_index`) of all first halves is asked for the
-   matching statistics of all second halves. A match of ``WINDOW`` bytes is a repeat.
-   A gram with very many different stretches is settled by its windows, joined one by one.
-5. Marked windows go back to the texts that have the stretch; their union is removed.
+3. Neighbouring windows with the same least gram are a *stretch* of some 65 bytes. The stretches of a gram meet
+   in one task, where equal ones are one, with the smallest id.
+4. They are cut again by a longer gram. The cuts of a group, in the order of their ids, are parted in halves, and
+   again; at each level a run-length index (:mod:`assayer.llm.run_index`) of all first halves is asked for
+   the matching statistics of all second halves. A match of ``WINDOW`` bytes is a repeat.
+5. A gram that very many texts have is settled by its windows: its stretches are combined before they move,
+   and each window of the different ones finds its smallest id by a grouped minimum.
+6. Marked windows go back to their texts; their union is removed.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,13 +34,15 @@ from assayer.session import release, settled, shuffle_partitions
 
 WINDOW = 50
 GRAM = 16
+#: Grams of very many texts are broadcast up to so many.
+BROADCAST_GRAMS = 1 << 20
 #: Within a gram's stretches a longer one tells apart what can't be equal.
-LONG_GRAM = 32
-#: Bytes of text whose least grams meet in one bucket, and stretches in one index.
+LONG_GRAM = 48
+#: Bytes of text whose least grams meet in one bucket, and of candidate texts whose stretches meet in one task.
 BUCKET_BYTES = 1 << 27
-SHARD_STRETCHES = 1 << 17
-#: A gram with more different stretches than this is settled window by window.
-MOST_STRETCHES = 1 << 12
+SHARD_BYTES = 1 << 24
+#: A gram that more texts have than this is settled window by window.
+MOST_TEXTS = 1 << 12
 #: Windows of a stretch; a longer row of windows with one least gram is cut.
 LONGEST = 128
 #: Bytes of text that a batch holds when its least grams are compared.
@@ -97,7 +99,8 @@ def _packed_grams(rows: DataFrame, buckets: int) -> DataFrame:
             grams, owner = grams[order], owner[order]
             first = np.concatenate([[True], grams[1:] != grams[:-1]]) if len(grams) else np.zeros(0, bool)
             size = np.diff(np.append(np.flatnonzero(first), len(grams)))
-            several = np.repeat(size > 1, size)
+            holders = np.repeat(size, size)
+            several = holders > 1
             # the first text of a gram that the batch has several times speaks for it in the bucket
             sent = first.copy()
             out = []
@@ -107,14 +110,14 @@ def _packed_grams(rows: DataFrame, buckets: int) -> DataFrame:
                 mine = mine[np.argsort(owner[mine], kind="stable")]
                 texts, counts = np.unique(owner[mine], return_counts=True)
                 keys = b"".join(held[t][0] for t in texts)
-                out.append((int(b), keys, counts.astype(np.int32).tobytes(), grams[mine].tobytes(), np.packbits(several[mine]).tobytes()))
+                out.append((int(b), keys, counts.astype(np.int32).tobytes(), grams[mine].tobytes(), holders[mine].astype(np.int32).tobytes()))
             known = np.flatnonzero(several)
             known = known[np.argsort(owner[known], kind="stable")]
             for t, own in zip(*_split(owner[known], grams[known]), strict=True):
                 out.append((-1 - int(t) % buckets, held[t][0], b"", own.tobytes(), b""))
-            yield pd.DataFrame(out, columns=["bucket", "keys", "counts", "grams", "several"])
+            yield pd.DataFrame(out, columns=["bucket", "keys", "counts", "grams", "holders"])
 
-    return rows.mapInPandas(pack, "bucket int, keys binary, counts binary, grams binary, several binary")
+    return rows.mapInPandas(pack, "bucket int, keys binary, counts binary, grams binary, holders binary")
 
 
 def _split(owner: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -124,7 +127,7 @@ def _split(owner: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[np.n
 
 
 def _shared(frame: pd.DataFrame) -> pd.DataFrame:
-    """``key, grams``: of a bucket the grams that several texts have, by text."""
+    """``key, grams``: of a bucket the grams that several texts have, by text; under no key those of very many texts."""
     direct = frame[frame["bucket"] < 0]
     out = [pd.DataFrame({"key": direct["keys"], "grams": direct["grams"]})]
     frame = frame[frame["bucket"] >= 0]
@@ -134,21 +137,30 @@ def _shared(frame: pd.DataFrame) -> pd.DataFrame:
         names, number = np.unique(keys, return_inverse=True)
         owner = np.repeat(number, counts)
         grams = np.frombuffer(b"".join(frame["grams"]), np.uint64)
-        several = np.concatenate([np.unpackbits(np.frombuffer(s, np.uint8))[: len(g) // 8] for s, g in zip(frame["several"], frame["grams"], strict=True)])
+        holders = np.frombuffer(b"".join(frame["holders"]), np.int32)
         order = np.lexsort((owner, grams))
-        grams, owner, several = grams[order], owner[order], several[order].astype(bool)
+        grams, owner, holders = grams[order], owner[order], holders[order].astype(np.int64)
         first = np.concatenate([[True], grams[1:] != grams[:-1]])
         group = np.cumsum(first) - 1
         start = np.flatnonzero(first)
         last = np.append(start[1:], len(grams)) - 1
-        shared = (owner[start] != owner[last]) | (np.bincount(group, several) > 0)
+        shared = (owner[start] != owner[last]) | (np.maximum.reduceat(holders, start) > 1)
         kept = np.flatnonzero(shared[group])
         kept = kept[np.argsort(owner[kept], kind="stable")]
         texts, lists = _split(owner[kept], grams[kept])
         out.append(pd.DataFrame({"key": [names[t].tobytes() for t in texts], "grams": [own.tobytes() for own in lists]}))
+        # a text that stands in several batches counts in each, which does no harm
+        many = grams[start[np.add.reduceat(holders, start) > MOST_TEXTS]]
+        if len(many):
+            out.append(pd.DataFrame({"key": [None], "grams": [many.tobytes()]}))
     return pd.concat(out)
 
 
+def _unpacked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        yield pd.DataFrame({"gram": np.frombuffer(b"".join(frame["packed"]), np.int64)})
+
+
 def stretches(data: bytes, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First window, number of windows and least gram of each stretch whose gram is among the shared ones, given in order."""
     grams = least_grams(data)
@@ -165,8 +177,8 @@ def stretches(data: bytes, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return start, count, grams[start]
 
 
-def _stretch_rows(texts: DataFrame, whole: bool) -> DataFrame:
-    """Stretches of candidate texts: with their bytes and gram, or else by name with their place."""
+def _stretch_rows(texts: DataFrame) -> DataFrame:
+    """``gram, piece, number, doc_id, start`` of all stretches of candidate texts ``number, doc_id, text, grams``."""
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -175,21 +187,15 @@ def _stretch_rows(texts: DataFrame, whole: bool) -> DataFrame:
                 data = _bytes(text)
                 start, count, grams = stretches(data, np.sort(np.frombuffer(b"".join(lists), np.uint64)))
                 pieces = [data[s : s + c + WINDOW - 1] for s, c in zip(start.tolist(), count.tolist(), strict=True)]
-                found.append((np.full(len(start), i), start, count, grams, pieces))
+                found.append((np.full(len(start), i), start, grams, pieces))
             if not found:
                 continue
-            row, start, count, grams = (np.concatenate([f[k] for f in found]) for k in range(4))
-            pieces = [p for f in found for p in f[4]]
-            doc = frame["doc_id"].to_numpy()[row]
-            if whole:
-                yield pd.DataFrame({"gram": grams.view(np.int64), "piece": pieces, "doc_id": doc})
-            else:
-                names = [xxhash.xxh3_128_digest(p) for p in pieces]
-                yield pd.DataFrame({"name": names, "key": frame["key"].to_numpy()[row], "doc_id": doc, "start": start, "windows": count})
+            row, start, grams = (np.concatenate([f[k] for f in found]) for k in range(3))
+            columns = {c: frame[c].to_numpy()[row] for c in ("number", "doc_id")}
+            yield pd.DataFrame({"gram": grams.view(np.int64), "piece": [p for f in found for p in f[3]], **columns, "start": start})
 
-    columns = texts.select("key", "doc_id", "text", "grams")
-    kind = "gram long, piece binary, doc_id long" if whole else "name binary, key binary, doc_id long, start long, windows long"
-    return columns.mapInPandas(cut, kind)
+    columns = texts.select("number", "doc_id", "text", "grams")
+    return columns.mapInPandas(cut, "gram long, piece binary, number long, doc_id long, start long")
 
 
 def _sub_stretches(data: np.ndarray, starts: np.ndarray, windows: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -224,8 +230,20 @@ def marked_windows(grams: np.ndarray, pieces: list[bytes], first: np.ndarray, wi
     the cuts of a group are parted by the rank of their id into blocks, and blocks into an earlier and a later
     half; all earlier halves make one index, under a tag each, and the later halves are matched with it.
     """
-    if not pieces:
-        return []
+    out = [np.zeros(len(p) - window + 1, bool) for p in pieces]
+    # a gram of one id alone has nothing to find
+    order = np.lexsort((first, grams))
+    edge = np.flatnonzero(np.concatenate([[True], grams[order][1:] != grams[order][:-1]])) if len(order) else order
+    last = np.append(edge[1:], len(order)) - 1
+    asked = np.sort(order[np.repeat(first[order[edge]] != first[order[last]], last - edge + 1)])
+    if not len(asked):
+        return out
+    for i, marks in zip(asked.tolist(), _marked(grams[asked], [pieces[i] for i in asked.tolist()], first[asked], window), strict=True):
+        out[i] = marks
+    return out
+
+
+def _marked(grams: np.ndarray, pieces: list[bytes], first: np.ndarray, window: int) -> list[np.ndarray]:
     data, lengths = flat(pieces)
     starts, windows = np.cumsum(lengths) - lengths, lengths - window + 1
     owner, start, count, group = _sub_stretches(data, starts, windows, grams)
@@ -262,56 +280,73 @@ def _halve(
     fresh = np.concatenate([[True], group[1:] != group[:-1]])
     rank = np.cumsum(~fresh & np.concatenate([[False], doc[1:] != doc[:-1]]))
     rank -= rank[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-    lengths, level = count + window - 1, 0
-    while (rank >> level).any():
-        block, late = rank >> (level + 1), (rank >> level) & 1
-        _, tag = np.unique(group * (int(block.max()) + 1) + block, return_inverse=True)
+    lengths = count + window - 1
+    there = np.arange(len(group))
+    for level in reversed(range(int(rank.max()).bit_length())):
+        # what is marked as a whole is in an earlier cut, and so is all that it could mark
+        total = np.concatenate([[0], np.cumsum(hit)])
+        there = there[total[start[there] + count[there]] - total[start[there]] < count[there]]
+        if not len(there):
+            return
+        block, late = rank[there] >> (level + 1), (rank[there] >> level) & 1
+        _, tag = np.unique(group[there] * (int(block.max()) + 1) + block, return_inverse=True)
         both = (np.bincount(tag, late == 0) > 0) & (np.bincount(tag, late == 1) > 0)
         known, asked = (np.flatnonzero(both[tag] & (late == side)) for side in (0, 1))
         if len(asked):
+            tag = np.unique(tag[np.concatenate([known, asked])], return_inverse=True)[1]
+            known, asked = there[known], there[asked]
             place = []
             for who in (known, asked):
                 size = lengths[who]
                 place.append(np.repeat(start[who] - (np.cumsum(size) - size), size) + np.arange(size.sum()))
-            tag = np.unique(tag[np.concatenate([known, asked])], return_inverse=True)[1]
             index = RunIndex(data[place[0]], lengths[known], tag[: len(known)], window)
             # cuts of one stretch overlap, so a place may stand here twice
             hit[place[1][index.reaches(data[place[1]], lengths[asked], tag[len(known) :], window)]] = True
-        level += 1
 
 
-def _by_index(pieces: DataFrame, shards: int) -> DataFrame:
-    """``name, first, marks``: marks of each stretch for its own smallest id, as bytes of 0 and 1."""
+SPANS = "number long, start long, windows long, marks binary"
+
+
+def _by_index(rows: DataFrame, shards: int) -> DataFrame:
+    """Spans of the marked windows of texts: ``marks`` has a byte of 0 or 1 for each, or is NULL where all are."""
 
     def settle(frame: pd.DataFrame) -> pd.DataFrame:
-        strings = [bytes(p) for p in frame["piece"]]
-        marks = marked_windows(frame["gram"].to_numpy(), strings, frame["first"].to_numpy())
-        made = pd.DataFrame({
-            "name": [xxhash.xxh3_128_digest(s) for s in strings], "first": frame["first"], "several": frame["last"] > frame["first"],
-            "any": [m.any() for m in marks], "marks": [m.astype(np.uint8).tobytes() for m in marks],
+        frame = frame.sort_values(["doc_id", "number", "start"], ignore_index=True)
+        seen: dict[tuple[int, bytes], int] = {}
+        grams, doc = frame["gram"].to_numpy(), frame["doc_id"].to_numpy()
+        which = np.array([seen.setdefault((g, bytes(p)), len(seen)) for g, p in zip(grams.tolist(), frame["piece"], strict=True)], np.int64)
+        first = np.unique(which, return_index=True)[1]
+        strings = [p for _, p in seen]
+        marks = marked_windows(grams[first], strings, doc[first])
+        some = np.array([m.any() for m in marks])
+        later = doc > doc[first][which]
+        told = np.flatnonzero(later | some[which])
+        windows = np.array([len(s) - WINDOW + 1 for s in strings], np.int64)
+        return pd.DataFrame({
+            "number": frame["number"].to_numpy()[told], "start": frame["start"].to_numpy()[told], "windows": windows[which[told]],
+            "marks": [None if all_ else marks[w].astype(np.uint8).tobytes() for all_, w in zip(later[told].tolist(), which[told].tolist(), strict=True)],
         })
-        return made.loc[made["several"] | made["any"], ["name", "first", "marks"]]
-
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(settle, "name binary, first long, marks binary")
 
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(shards)))
+    return dealt.groupBy("shard").applyInPandas(settle, SPANS)
 
-def _by_window(pieces: DataFrame) -> DataFrame:
-    """The same for grams with very many stretches: each window finds its smallest id by a grouped minimum."""
-    def name(piece: pd.Series) -> pd.Series:
-        return piece.map(lambda p: xxhash.xxh3_128_digest(bytes(p)))
 
-    name.__annotations__ = {"piece": pd.Series, "return": pd.Series}
-    named = pieces.select(F.pandas_udf(name, "binary")("piece").alias("name"), "piece", "first", "last")
-    each = named.select("name", "first", "last", "piece", F.explode(F.sequence(F.lit(0), F.length("piece") - WINDOW)).alias("i"))
-    each = each.withColumn("w", F.expr(f"substring(piece, i + 1, {WINDOW})")).drop("piece")
+def _by_window(rows: DataFrame) -> DataFrame:
+    """The same for grams that very many texts have, by SQL functions: no task holds all rows of a gram."""
+    pieces = settled(rows.groupBy("piece").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "pieces")
+    each = pieces.select("piece", "first", "last", F.explode(F.sequence(F.lit(0), F.length("piece") - WINDOW)).alias("i"))
+    each = each.withColumn("w", F.expr(f"substring(piece, i + 1, {WINDOW})"))
     least = each.groupBy("w").agg(F.min("first").alias("least"))
-    met = each.join(least, "w").groupBy("name", "first", "last").agg(
+    met = each.join(least, "w").groupBy("piece", "first", "last").agg(
         F.array_sort(F.collect_list(F.struct("i", (F.col("least") < F.col("first")).alias("m")))).alias("all")
     )
     marks = F.array_join(F.transform("all", lambda s: F.when(s["m"], F.lit("01")).otherwise(F.lit("00"))), "")
-    found = met.where((F.col("last") > F.col("first")) | F.exists("all", lambda s: s["m"]))
-    return found.select("name", "first", F.unhex(marks).alias("marks"))
+    some = F.exists("all", lambda s: s["m"])
+    found = met.where((F.col("last") > F.col("first")) | some).select("piece", "first", F.unhex(marks).alias("marks"), some.alias("some"))
+    later = F.col("doc_id") > F.col("first")
+    told = rows.join(settled(found, "marked-pieces"), "piece").where(later | F.col("some"))
+    windows = (F.length("piece") - (WINDOW - 1)).cast("long").alias("windows")
+    return told.select("number", "start", windows, F.when(~later, F.col("marks")).alias("marks"))
 
 
 def _covered(starts: np.ndarray, size: int) -> tuple[np.ndarray, int]:
@@ -363,15 +398,16 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     found = grams.groupBy("bucket").applyInPandas(_shared, "key binary, grams binary")
     shared = settled(found.groupBy("key").agg(F.collect_list("grams").alias("grams")), "shared-grams")
     info = settled(firsts.join(shared, "key", "left").drop("n"), "texts")
+    many = settled(shared.where("key is null").select(F.explode("grams").alias("packed")).mapInPandas(_unpacked, "gram long"), "many")
     release(firsts, shared)
 
     told = rows.join(info.hint("shuffle_hash"), "key", "left")
     copy = F.col("first") < F.col("doc_id")
-    seeks = (F.col("first") == F.col("doc_id")) & F.col("grams").isNotNull()
+    seeks = F.coalesce((F.col("first") == F.col("doc_id")) & F.col("grams").isNotNull(), F.lit(False))
     told = told.select(
-        "key", "doc_id", "n_bytes",
+        F.monotonically_increasing_id().alias("number"), "doc_id", "n_bytes",
         F.coalesce(copy & (F.col("n_bytes") >= WINDOW), F.lit(False)).alias("copy"),
-        F.when(~F.coalesce(seeks, F.lit(False)), F.sha2("text", 256)).alias("sha"),
+        F.when(~seeks, F.sha2("text", 256)).alias("sha"),
         F.when(seeks, F.col("text")).alias("text"),
         F.when(seeks, F.col("grams")).alias("grams"),
     )
@@ -379,23 +415,16 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     release(info)
     candidates = told.where("text is not null")
 
-    pieces = _stretch_rows(candidates, True).groupBy("gram", "piece").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    pieces = settled(pieces, "stretches")
-    many = settled(pieces.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > MOST_STRETCHES).select("gram"), "many")
-    shards = max(shuffle_partitions(spark), -(-pieces.count() // SHARD_STRETCHES))
-    marks = _by_index(pieces.join(many, "gram", "left_anti"), int(shards))
-    if many.count():
-        marks = marks.unionByName(_by_window(pieces.join(many, "gram")))
-    marks = settled(marks, "marks")
-    release(pieces, many)
-
-    places = _stretch_rows(candidates, False).join(marks, "name")
-    later = F.col("doc_id") > F.col("first")
-    places = places.select("key", "start", "windows", later.alias("later"), F.when(~later, F.col("marks")).alias("marks"))
-    places = places.where(F.col("later") | (F.locate("\x01", F.col("marks").cast("string")) > 0))
-    spans = places.groupBy("key").agg(F.collect_list(F.struct("start", "windows", "marks")).alias("spans"))
+    size = candidates.agg(F.sum("n_bytes")).first()[0] or 0
+    shards = max(shuffle_partitions(spark), -(-size // SHARD_BYTES))
+    n_many = many.count()
+    kept = F.broadcast(many) if n_many <= BROADCAST_GRAMS else many
+    pieces = _stretch_rows(candidates)
+    spans = _by_index(pieces.join(kept, "gram", "left_anti") if n_many else pieces, int(shards))
+    if n_many:
+        spans = spans.unionByName(_by_window(pieces.join(kept, "gram", "left_semi").drop("gram")))
+    spans = spans.groupBy("number").agg(F.collect_list(F.struct("start", "windows", "marks")).alias("spans"))
     spans = settled(spans, "spans")
-    release(marks)
 
     answers = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     nothing, empty = F.lit(0).cast("long"), F.lit(hashlib.sha256(b"").hexdigest())
@@ -406,5 +435,5 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         F.when(F.col("copy"), empty).otherwise(F.col("sha")).alias("kept_sha256"),
         F.when(F.col("copy"), F.lit(b"")).alias("kept"),
     )
-    whole = candidates.join(spans.hint("shuffle_hash"), "key", "left")
+    whole = candidates.join(spans.hint("shuffle_hash"), "number", "left")
     return settled_rows.select(answers).unionByName(_cut_texts(whole))

@@ -58,18 +58,34 @@ RULE_VERSION = "2"
 SPAN = "struct<start:bigint,stop:bigint,kind:string,rank:int>"
 
 
+#: Matches whose places are worked out one after the other; the next ones begin from a sum over these.
+_RUN = 128
+
+
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value worked out once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def spans_of(rule: Rule, rank: int, text: Column) -> Column:
-    """Array of the rule's spans in the text, end exclusive."""
+    """Array of the rule's spans in the text, end exclusive.
+
+    Matches are taken in runs of bounded length, so that the arrays that grow stay short and the time
+    follows the number of matches.
+    """
     pattern = F.lit(rule.pattern)
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
     deciding = F.regexp_extract_all(text, pattern, F.lit(rule.group))
     between = F.transform(F.split(text, rule.pattern, -1), F.length)
     rows = F.arrays_zip(whole.alias("whole"), deciding.alias("deciding"), between.alias("gap"))
-    empty = F.lit(None).cast(f"array<{SPAN}>")
+    none = F.array().cast(f"array<{SPAN}>")
+
+    def length(row: Column) -> Column:
+        return (row["gap"] + F.coalesce(F.length(row["whole"]), F.lit(0))).cast("long")
 
     def step(done: Column, row: Column) -> Column:
         start = done["at"] + row["gap"]
-        stop = start + F.coalesce(F.length(row["whole"]), F.lit(0))
+        stop = done["at"] + length(row)
         span = F.struct(
             start.cast("long").alias("start"), stop.cast("long").alias("stop"), F.lit(rule.kind).alias("kind"), F.lit(rank).alias("rank")
         )
@@ -79,9 +95,31 @@ def spans_of(rule: Rule, rank: int, text: Column) -> Column:
             F.when(found, F.concat(done["spans"], F.array(span))).otherwise(done["spans"]).alias("spans"),
         )
 
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
-    found = F.aggregate(rows, first, step)["spans"]
-    return F.when(text.rlike(rule.pattern), found).otherwise(F.coalesce(empty, F.array().cast(f"array<{SPAN}>")))
+    def by_runs(rows: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / _RUN).cast("int"))
+        zero = F.lit(0).cast("long")
+
+        def run(k: Column) -> Column:
+            return F.slice(rows, k * _RUN + 1, _RUN)
+
+        sums = F.transform(numbers, lambda k: F.aggregate(run(k), zero, lambda total, row: total + length(row)))
+        start = F.array().cast("array<bigint>")
+        begins = F.aggregate(
+            sums,
+            F.struct(zero.alias("at"), start.alias("list")),
+            lambda done, n: F.struct((done["at"] + n).alias("at"), F.concat(done["list"], F.array(done["at"])).alias("list")),
+        )["list"]
+        return _let(
+            begins,
+            lambda begin: F.flatten(
+                F.transform(
+                    numbers,
+                    lambda k: F.aggregate(run(k), F.struct(F.get(begin, k).alias("at"), none.alias("spans")), step)["spans"],
+                )
+            ),
+        )
+
+    return F.when(text.rlike(rule.pattern), _let(rows, by_runs)).otherwise(none)
 
 
 def scan_text(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:

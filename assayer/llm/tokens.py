@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from assayer.llm.common import whole_text
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-#: Characters of a batch, and of a piece of a longer text where a safe boundary allows it.
+#: Bytes of a batch, and characters of a piece of a longer text where a safe boundary allows it.
+BATCH_BYTES = 1 << 18
 BATCH_CHARS = 1 << 18
 LONGEST_RANKED = 1 << 19
 
@@ -46,16 +47,18 @@ def ranked(vocabulary: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def byte_balanced(texts: Iterable[str], most: int = BATCH_CHARS) -> Iterator[list[str]]:
-    """Consecutive texts in lists of at most ``most`` characters, or of one longer text."""
-    batch: list[str] = []
+def byte_balanced(texts: Iterable[str], most: int = BATCH_BYTES) -> Iterator[list[tuple[int, str]]]:
+    """Pieces of all texts with their text's number, in lists of about ``most`` bytes, or of one longer piece."""
+    batch: list[tuple[int, str]] = []
     held = 0
-    for text in texts:
-        if batch and held + len(text) > most:
-            yield batch
-            batch, held = [], 0
-        batch.append(text)
-        held += len(text)
+    for number, text in enumerate(texts):
+        for piece in pieces(text):
+            size = len(piece.encode("utf-8", "surrogatepass"))
+            if batch and held + size > most:
+                yield batch
+                batch, held = [], 0
+            batch.append((number, piece))
+            held += size
     if batch:
         yield batch
 
@@ -92,8 +95,13 @@ class Encoder:
             return self._ids(text)
         return [i for piece in pieces(text) for i in self._ids(piece)]
 
-    def lengths(self, texts: list[str]) -> list[int]:
-        return [sum(len(self._ids(piece)) for piece in pieces(text)) for text in texts]
+    def lengths(self, batch: list[str]) -> list[int]:
+        """Numbers of tokens of a batch of pieces, each of the two libraries called once."""
+        ranked = [self.ranks is not None and len(p) <= LONGEST_RANKED and "<|" not in p for p in batch]
+        plain = iter(self.ranks.encode_ordinary_batch([p for p, r in zip(batch, ranked) if r], num_threads=1) if any(ranked) else ())
+        rest = [p for p, r in zip(batch, ranked) if not r]
+        other = iter(self.library.encode_batch_fast(rest, add_special_tokens=False) if rest else ())
+        return [len(next(plain)) if r else len(next(other).ids) for r in ranked]
 
 
 def count_tokens(text: Column, vocabulary: str = VOCABULARY) -> Column:
@@ -105,8 +113,11 @@ def count_tokens(text: Column, vocabulary: str = VOCABULARY) -> Column:
     def lengths(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = Encoder(vocabulary)
         for texts in series:
-            counts = [n for batch in byte_balanced(texts.fillna("")) for n in encoder.lengths(batch)]
-            yield pd.Series(np.asarray(counts, dtype=np.int64))
+            counts = np.zeros(len(texts), np.int64)
+            for batch in byte_balanced(texts.fillna("")):
+                numbers, parts = zip(*batch, strict=True)
+                np.add.at(counts, list(numbers), encoder.lengths(list(parts)))
+            yield pd.Series(counts)
 
     lengths.__annotations__ = {"series": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(lengths, "long")(text)

@@ -117,7 +117,8 @@ def _sums(rows: DataFrame, width: int, entries: int) -> dict[tuple[int, int], tu
                     np.add.at(total[p], code[:, p], x[:, p])
                     n[p] += np.bincount(code[:, p], minlength=entries)
         part, entry = np.nonzero(n)
-        yield pd.DataFrame({"part": part.astype(np.int32), "entry": entry.astype(np.int32), "n": n[part, entry], "total": list(total[part, entry])})
+        if len(part):
+            yield pd.DataFrame({"part": part.astype(np.int32), "entry": entry.astype(np.int32), "n": n[part, entry], "total": list(total[part, entry])})
 
     made = rows.select("x", "code").mapInPandas(add, "part int, entry int, n long, total array<long>")
     each = [F.sum(F.col("total")[i]).alias(f"t{i}") for i in range(width)]

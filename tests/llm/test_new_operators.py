@@ -141,9 +141,9 @@ def repeating_documents(seed, n=160):
     return docs
 
 
-@pytest.mark.parametrize("seed, most", [(1, repeats.MOST_STRETCHES), (2, 2)])
+@pytest.mark.parametrize("seed, most", [(1, repeats.MOST_TEXTS), (2, 2)])
 def test_repeats_equal_brute_force(spark, monkeypatch, seed, most):
-    monkeypatch.setattr(repeats, "MOST_STRETCHES", most)  # with 2 the heavy grams are settled by window
+    monkeypatch.setattr(repeats, "MOST_TEXTS", most)  # with 2 most grams are settled by window
     monkeypatch.setattr(repeats, "BATCH_BYTES", 4000)
     docs = repeating_documents(seed)
     assert answers(repeats.without_repeats(documents(spark, docs))) == plain_repeats(docs)

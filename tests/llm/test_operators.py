@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -210,11 +211,16 @@ def test_leaks(spark):
     assert decontam.leaks(rows(spark, texts).limit(0), bench).count() == 0
 
 
+def wrong_labels(field, page):
+    gains = [sum(field.weights.get(f, 0.0) for f in main_text.block_features(b)) for b in page]
+    return sum(a != b.label for a, b in zip(field.decode(gains), page, strict=True))
+
+
 def test_main_text(spark):
     field = main_text.trained()
     wrong = total = 0
     for page in main_text.labelled_pages(150, seed=77):
-        wrong += sum(a != b.label for a, b in zip(field.decode(page), page, strict=True))
+        wrong += wrong_labels(field, page)
         total += len(page)
     assert wrong < 0.02 * total
     html = (
@@ -357,3 +363,190 @@ def test_every_text_of_a_repeated_item_is_sought(spark):
     texts = [f"before {one} after", f"{two}", f"{rest} {one}", "nothing of it"]
     got = {(r.doc_id, r.item_id): (r.similarity, r.first_word) for r in decontam.leaks(rows(spark, texts), bench).collect()}
     assert got == {(0, 1): (1.0, 1), (1, 1): (1.0, 0), (2, 1): (1.0, got[2, 1][1]), (2, 2): (1.0, 0)}
+
+
+def test_viterbi_equals_enumeration():
+    rng = random.Random(14)
+    for _ in range(200):
+        gains = [rng.uniform(-3, 3) for _ in range(rng.randint(1, 7))]
+        t = [[rng.uniform(-2, 2) for _ in range(2)] for _ in range(2)]
+        field = main_text.Field({}, tuple(map(tuple, t)))
+
+        def score(labels):
+            return sum(g for g, y in zip(gains, labels) if y) + sum(t[a][b] for a, b in zip(labels, labels[1:]))  # noqa: B023
+
+        best = max(np.ndindex(*[2] * len(gains)), key=score)
+        assert field.decode(gains) == list(best)
+    assert main_text.Field({}, ((0.0, 0.0), (0.0, 0.0))).decode([]) == []
+
+
+HOSTILE = {
+    "unclosed tags": "<a " * 700_000,
+    "unclosed values": '<a "' * 500_000 + ">",
+    "one quote": "<p title=\"x>" + "<b>y</b>" * 200_000,
+    "deep": "<div>a" * 300_000,
+    "deep and marked": "".join(f"<div class='{chr(97 + i % 26) * (1 + i % 40)}'>a" for i in range(60_000)),
+    "ends of nothing": "<div>" * 100_000 + "</p>" * 300_000,
+    "items": "<li><ul>" + "<div>" * 100_000 + "<li>x</li>" * 150_000,
+    "comments": "<!-- " * 400_000,
+    "hidden": "<script>" * 250_000,
+    "less than": "<" * 2_000_000,
+    "declarations": "<!" * 1_000_000,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_a_hostile_page_takes_its_length(name):
+    field = main_text.trained()
+    weights, page = field.whole(), HOSTILE[name]
+    start = time.process_time()
+    main_text.main_text(page, field, weights)
+    assert time.process_time() - start < 2.5 * max(1, len(page) / 2_000_000)
+
+
+def test_layouts_that_were_not_learnt():
+    """Half of the class names teach, pages made of the others are read: elements, links and sentences must do."""
+    halves = [({k: v[i::2] for k, v in main_text._LAYOUTS.items()}, main_text._CONTENT[i::2]) for i in (0, 1)]
+    field = main_text.fit(main_text.labelled_pages(300, 31, *halves[0]))
+    wrong = total = 0
+    for page in main_text.labelled_pages(200, 32, *halves[1]):
+        wrong += wrong_labels(field, page)
+        total += len(page)
+    assert wrong < 0.2 * total
+
+
+def test_gains_are_those_of_the_features():
+    field = main_text.trained()
+    weights = field.whole()
+    page = "<body class=page><div id='menu'><ul><li><a href=x>Home</a><li><i class=hot>New</i></ul></div><article><p>One.<p>Two <b>b</b><div class='ad'>Buy</div></article></body>"
+    slow, fast = main_text.blocks_of(page), main_text.blocks_of(page, weights)
+    assert [b.text for b in slow] == [b.text for b in fast] == ["Home", "New", "One.", "Two b", "Buy"]
+    for a, b in zip(slow, fast, strict=True):
+        assert sum(weights.get(f, 0) for f in a.above) == b.gain
+
+
+def test_rows_of_one_id_and_repeated_rows_leak(spark):
+    rng = random.Random(15)
+    vocabulary = [w + v for w in LETTERS for v in ("a", "e", "o", "u")]
+    item, other = prose(rng, 30, vocabulary), prose(rng, 30, vocabulary)
+    bench = spark.createDataFrame([(1, item), (1, item), (2, other)], "item_id long, text string")
+    leak, clean = f"before {item} after", prose(rng, 60, vocabulary)
+    data = [(1, leak), (1, leak), (2, leak), (2, clean), (3, clean), (3, clean), (4, f"{item} {clean} {item}"), (None, leak)]
+    docs = spark.createDataFrame([(d, t, 0, "x") for d, t in data], "doc_id long, text string, n int, h string").repartition(3)
+    got = {(r.doc_id, r.item_id): (r.similarity, r.first_word) for r in decontam.leaks(docs, bench).collect()}
+    assert got == {(1, 1): (1.0, 1), (2, 1): (1.0, 1), (4, 1): (1.0, 0)}  # of equal windows the first
+
+
+def test_a_very_long_item(spark):
+    words = [f"w{i}" for i in range(200_000)]
+    item = " ".join(words)
+    edited = " ".join(w if i % 90 else "x" for i, w in enumerate(words))
+    bench = spark.createDataFrame([(1, item), (2, "one")], "item_id long, text string")
+    texts = [f"so {item} ends", edited, "one", " ".join(words[:100_000])]
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontam.leaks(rows(spark, texts), bench).collect()}
+    assert set(got) == {(0, 1), (1, 1), (2, 2)} and got[0, 1] == 1.0 and 0.8 < got[1, 1] < 1.0
+
+
+def test_many_spans_in_one_text(spark):
+    text = " ".join(f"token={i:08d}" for i in range(6000)) + " " + "x" * 200
+    found = secret_scan.findings(rows(spark, [text, "a" * 30_000 + " password=abcdef"])).select("path", secret_scan.listed(F.col("spans")).alias("s")).collect()
+    assert {r.path: r.s for r in found} == {0: base_spans(text), 1: base_spans("a" * 30_000 + " password=abcdef")}
+
+
+def test_batches_have_about_equal_bytes():
+    rng = random.Random(16)
+    texts = [*(t or "" for t in ODD), *("é日" * rng.randint(0, 900) + " ab" for _ in range(200)), "word " * 200_000]
+    batches = list(tokens.byte_balanced(texts, 5000))
+    assert ["".join(p for b in batches for k, p in b if k == i) for i in range(len(texts))] == texts
+    assert all(len(b) == 1 or sum(len(p.encode()) for _, p in b) <= 5000 for b in batches)
+
+
+def test_switches_of_language_are_learnt():
+    rng = random.Random(17)
+    other = "der und nicht schung keit ein ver auf heit zu lich ung".split()
+    texts = [language.words_of(prose(rng, rng.randint(5, 60), other if i % 2 else LETTERS)) for i in range(160)]
+    pieces = [(w, [i % 2] * len(w)) for i, w in enumerate(texts)]
+    mixed = language.mixed_chains(pieces, 2)
+    assert len(mixed) == len(pieces) // language.PURE_FOR_MIXED and all(len(w) == len(y) == language.CHAIN for w, y in mixed)
+    assert all(len(set(y)) == 2 for _, y in mixed)
+    model = language.fit(texts, [i % 2 for i in range(160)], ["en", "de"])
+    wrong = total = 0
+    for words, truth in language.mixed_chains(pieces, 2, seed=18):
+        found = model.marginals([words])[0].argmax(axis=1)
+        wrong += (found != np.array(truth)).sum()
+        total += len(words)
+    assert wrong < 0.02 * total
+
+
+def test_discriminant_equals_dense_numpy(spark):
+    rng = np.random.default_rng(19)
+    d = len(quality.FEATURES)
+    x = [rng.normal(size=(n, d)) @ rng.normal(size=(d, d)) * 0.3 + rng.normal(size=d) for n in (120, 80)]
+    data = [(v, k) for k, part in enumerate(x) for v in part.tolist()] + [([0.0] * d, None), ([0.0] * d, 7)]
+    model = quality.fit(spark.createDataFrame(data, "x array<double>, label int").repartition(3))
+    scatters = [np.cov(part.T, bias=True) for part in x]
+    pooled = (120 * scatters[0] + 80 * scatters[1]) / 200
+    asked = rng.normal(size=(50, d))
+    density = []
+    for k, part in enumerate(x):
+        own = (1 - quality.SHRINK_TO_POOLED) * scatters[k] + quality.SHRINK_TO_POOLED * pooled
+        own = (1 - quality.SHRINK_TO_SPHERE) * own + quality.SHRINK_TO_SPHERE * np.diag(np.diag(pooled)) + quality.NOISE * np.eye(d)
+        far = asked - part.mean(axis=0)
+        density.append(np.log((len(part) + 1) / 202) - 0.5 * np.linalg.slogdet(own)[1] - 0.5 * np.einsum("ij,jk,ik->i", far, np.linalg.inv(own), far))
+    want = 1 / (1 + np.exp(density[0] - density[1]))
+    assert np.allclose(model.score(asked), want, atol=1e-6)
+
+
+def test_accepted_rows_are_those_predicted_good(spark):
+    docs, labels, _ = labelled(spark)
+    good = {r.doc_id for r in quality.quality_scores(docs, labels).where("predicted = 1").collect()}
+    kept = quality.accepted(docs.withColumn("x", F.lit(1)).withColumn("score", F.lit(0.0)), labels)
+    assert {r.doc_id for r in kept.collect()} == good and "score" in kept.columns and kept.count() == len(good)
+
+
+def test_positive_unlabelled_risk_equals_a_plain_gradient():
+    """The same descent with dense matrices and numerical derivatives of the risk."""
+    rng = np.random.default_rng(20)
+    dense = np.zeros((60, 6))
+    dense[:20] = rng.random((20, 6)) * [1, 1, 0, 0, 1, 0]
+    dense[20:] = rng.random((40, 6)) * [0, 0, 1, 1, 1, 1]
+    rows_of = [(np.flatnonzero(v).astype(np.int32), v[v > 0].astype(np.float32)) for v in dense]
+    dense = np.array([[dict(zip(at.tolist(), value.tolist())).get(j, 0.0) for j in range(6)] for at, value in rows_of])
+    prior, steps, rate, ridge = 0.3, 40, 0.1, 1e-4
+    model = toxicity.fit(rows_of[:20], rows_of[20:], prior, steps, rate, ridge)
+
+    def parts(w):
+        z = dense @ w[:-1] + w[-1]
+        gain, loss = np.logaddexp(0, -z), np.logaddexp(0, z)
+        return prior * gain[:20].mean(), loss[20:].mean() - prior * loss[:20].mean()
+
+    def slope(f, w):
+        out = np.zeros_like(w)
+        for i in range(len(w)):
+            e = np.zeros_like(w)
+            e[i] = 1e-6
+            out[i] = (f(w + e) - f(w - e)) / 2e-6
+        return out
+
+    w, moment, square = np.r_[np.zeros(6), np.log(prior / (1 - prior))], np.zeros(7), np.zeros(7)
+    for t in range(1, steps + 1):
+        if parts(w)[1] >= 0:
+            g = slope(lambda v: sum(parts(v)), w)
+        else:  # the corrected part is led back above zero
+            g = slope(lambda v: -parts(v)[1], w)
+        g[:-1] += ridge * w[:-1]
+        moment, square = 0.9 * moment + 0.1 * g, 0.99 * square + 0.01 * g**2
+        w = w - rate * (moment / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-6)
+    assert np.allclose(np.r_[model.weights[:6], model.bias], w, atol=1e-3)
+    assert (model.score(rows_of[:20]) > model.score(rows_of[20:]).max()).mean() > 0.9
+
+
+def test_recall_of_the_graph_on_dense_groups(spark):
+    """24 groups of 520 over many shards, and the recall that :func:`audit` measures on ids divisible by 100."""
+    rng = np.random.default_rng(23)
+    base = np.repeat(rng.normal(size=(24, 48)), 520, axis=0)
+    x = base + rng.normal(size=base.shape) * np.where(np.arange(len(base)) % 3 == 0, 0.2, 0.12)[:, None]
+    vectors = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    found = vector_graph.linked_vectors(vectors)
+    n, true = vector_graph.audit(vectors, found).agg(F.sum("n_links"), F.sum("n_true")).first()
+    assert n >= 0.999 * true > 10_000
