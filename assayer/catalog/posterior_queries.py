@@ -10,8 +10,9 @@ from assayer.catalog import sql as q
 from assayer.catalog.registry import query, r6, spread
 from assayer.functions.ordinal import context_index, distribution_map, state_name
 from assayer.operators import posterior
-from assayer.session import settled
 from assayer.schema import LEVELS
+from assayer.session import fresh_dir, settled
+from assayer.sources.sinks import write_resolutions
 
 _POSTERIOR = (q.E, q.PRIOR, q.COUNTS, q.ALPHA)
 
@@ -99,10 +100,61 @@ def resolve_partial(spark, sf_dir):
     return _resolved(spark, sf_dir, fx.partial_evidence(spark, sf_dir))
 
 
-@query()
+@query(
+    q.with_parts(*_POSTERIOR, q.PARTIAL, q.CUBE, q.EXACT_INTERVAL)
+    + _RESOLVED_SQL.replace("round(r.credible_low, 6)", "round(b.low, 4)").replace("round(r.credible_high, 6)", "round(b.high, 4)")
+    + "FROM pe x JOIN resolved r ON " + q.SAME_EVIDENCE + """
+    JOIN exact b ON x.task IS NOT DISTINCT FROM b.task AND x.data IS NOT DISTINCT FROM b.data
+      AND x.tool IS NOT DISTINCT FROM b.tool"""
+)
 def resolve_exact_interval(spark, sf_dir):
-    """Exact Beta quantiles have no SQL form here; tests hold known answers."""
-    return _resolved(spark, sf_dir, fx.partial_evidence(spark, sf_dir), "beta")
+    """Exact Beta quantiles, four decimals; the SQL integrates the density."""
+    found = _resolved(spark, sf_dir, fx.partial_evidence(spark, sf_dir), "beta")
+    return found.withColumns({c: F.round(c, 4) for c in ("credible_low", "credible_high")})
+
+
+@query(
+    q.with_parts(q.E, q.COUNTS)
+    + """, lv AS (SELECT unnest([0, 1, 2, 3, 4]) AS k),
+    full_alpha AS (
+      SELECT t.k AS task, d.k AS data, r.k AS tool, o.k AS outcome, 1.0 + coalesce(c.n, 0) AS a
+      FROM lv t, lv d, lv r, lv o LEFT JOIN counts c ON c.task = t.k AND c.data = d.k AND c.tool = r.k AND c.outcome = o.k)
+    SELECT task * 25 + data * 5 + tool AS ctx, outcome, round(a / sum(a) OVER (PARTITION BY task, data, tool), 6) AS p
+    FROM full_alpha"""
+)
+def flat_prior_cpt(spark, sf_dir):
+    """A prior without a bump: one pseudo-count everywhere."""
+    alpha = posterior.posterior_from(fx.observations(spark, sf_dir), posterior.Prior(strength=0.0))
+    return posterior.cpt_long(alpha).select("ctx", "outcome", r6("p"))
+
+
+@query(
+    q.with_parts(*_POSTERIOR, q.PARTIAL, q.CUBE)
+    + """SELECT x.l_orderkey, x.l_linenumber, r.state, round(r.confidence, 6) AS confidence, round(r.p0, 6) AS p_certain,
+      round(r.credible_low, 6) AS credible_low, round(r.credible_high, 6) AS credible_high,
+      round(r.ess, 6) AS effective_sample_size
+    FROM pe x JOIN resolved r ON """ + q.SAME_EVIDENCE
+)
+def written_resolutions(spark, sf_dir):
+    """Resolutions written to Parquet with their summary records, read back field by field."""
+    resolved = posterior.resolve(
+        fx.partial_evidence(spark, sf_dir).select("l_orderkey", "l_linenumber", *LEVELS),
+        posterior.resolutions(learnt(spark, sf_dir)),
+    )
+    path = fresh_dir(spark, "resolutions")
+    write_resolutions(resolved, path, ["l_orderkey", "l_linenumber"])
+    found = spark.read.parquet(path)
+    interval = F.col("summary.credible_interval")
+    return found.select(
+        "l_orderkey",
+        "l_linenumber",
+        "summary.state",
+        r6(F.col("summary.confidence"), "confidence"),
+        r6(F.element_at("summary.distribution", "CERTAIN"), "p_certain"),
+        r6(F.get(interval, F.lit(0)), "credible_low"),
+        r6(F.get(interval, F.lit(1)), "credible_high"),
+        r6(F.col("summary.effective_sample_size"), "effective_sample_size"),
+    )
 
 
 @query(

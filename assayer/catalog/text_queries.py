@@ -202,3 +202,20 @@ def unparseable(spark, sf_dir):
 def decision_rows(spark, sf_dir):
     found = json_objects.decisions(json_objects.recover_json(fx.run_decisions(spark, sf_dir)))
     return found.select("run_id", "action", "response", F.size("steps").alias("n_steps"))
+
+
+@query(
+    q.with_parts(q.MODEL)
+    + """, held AS (
+      SELECT id, CASE variant WHEN 1 THEN 25 WHEN 2 THEN 13 WHEN 6 THEN 24 ELSE 0 END AS place,
+        CASE variant WHEN 3 THEN '{"from": {"page": 4}, ' WHEN 4 THEN '{"hint": "see {table} 3", ' ELSE '{' END
+          || '"steps": ["' || o_orderstatus || '", "' || o_orderpriority || '"]}' AS given,
+        CASE variant WHEN 3 THEN '{"from":{"page":4},' || tail WHEN 4 THEN '{"hint":"see {table} 3",' || tail
+          ELSE '{' || tail END AS obj, variant
+      FROM m WHERE variant <> 7)
+    SELECT id, place, length(given)::INTEGER AS length, obj FROM held
+    UNION ALL SELECT id, length(given)::INTEGER + 9, 12, '{"later":2}' FROM held WHERE variant = 5"""
+)
+def json_objects_of_text(spark, sf_dir):
+    """Every object of a text and where it stands."""
+    return json_objects.every_object(fx.model_outputs(spark, sf_dir)).select("id", "place", "length", "obj")

@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 import sys
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -56,6 +57,47 @@ def first_decodable(text: str) -> dict | None:
     return None
 
 
+def all_objects(text: str) -> Iterator[tuple[int, int, str]]:
+    """(place, length, JSON text) of every object that is not inside another, from left to right.
+
+    Places and lengths count code points. Where no object begins the next opening brace is
+    tried; what is nested too deep is passed over as a whole.
+    """
+    decode = json.JSONDecoder().raw_decode
+    hopeless: set[int] = set()
+    at = 0
+    while opening := _OPENING.search(text, at):
+        start, at = opening.start(), opening.start() + 1
+        if start in hopeless:
+            continue
+        try:
+            found, stop = decode(text, start)
+        except RecursionError:
+            return
+        except json.JSONDecodeError as failed:
+            hopeless.update(_left_open(text, start, failed.pos))
+            continue
+        except ValueError:  # a number with too many digits
+            continue
+        yield start, stop - start, _plain(found)
+        at = stop
+
+
+def _plain(found: dict) -> str:
+    plain = json.dumps(found, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    # a lone surrogate cannot leave Python as UTF-8
+    return plain.encode("utf-8", "replace").decode("utf-8")
+
+
+class _Objects:
+    def eval(self, text: str):
+        if text is not None and "{" in text:
+            yield from all_objects(text)
+
+
+#: Table function of one text: a row per object with its place, used by a lateral join.
+objects_of = F.udtf(_Objects, returnType="place int, length int, obj string", useArrow=True)
+
 # an object can only begin with a name or end at once
 _OPENING = re.compile(r'\{(?=[ \t\n\r]*+["}])')
 _STRING_OR_BRACE = re.compile(r'"(?:[^"\\]|\\.)*+"|[{}]', re.S)
@@ -78,9 +120,7 @@ def _scan(texts: pd.Series) -> pd.Series:
         found = first_decodable(text)
         if found is None:
             return None
-        plain = json.dumps(found, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
-        # a lone surrogate cannot leave Python as UTF-8
-        return plain.encode("utf-8", "replace").decode("utf-8")
+        return _plain(found)
 
     return texts.map(one, na_action="ignore").astype(object)
 

@@ -25,6 +25,17 @@ def recover_json(outputs: DataFrame, column: str = "text") -> DataFrame:
     ).drop("_options", "_native", "_scanned")
 
 
+def every_object(outputs: DataFrame, column: str = "text") -> DataFrame:
+    """One row per JSON object in a text, with its ``place`` and ``length`` in code points, and ``obj``.
+
+    Objects inside others are part of them. A text without an object has no row; the row's other
+    columns stay. Fences need no care here: an object is found wherever it stands.
+    """
+    asked = outputs.where(F.col(column).contains("{"))
+    found = asked.lateralJoin(json_text.objects_of(F.col(column).outer()))
+    return found.withColumn("obj", json_text.canonical(F.col("obj")))
+
+
 def unparseable(recovered: DataFrame, column: str = "text", width: int = 200) -> DataFrame:
     """Rows without an object, with the start of their text for the report."""
     return recovered.where(F.col("obj").isNull()).withColumn(

@@ -6,10 +6,10 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.operators import grid
@@ -26,6 +26,43 @@ def pca_projector(n_components: int) -> Estimator:
     )
 
 
+def _sign(seed: int, axis: int, place: Column) -> Column:
+    """1 or -1 for an axis and a dimension, by a rule that any engine can follow."""
+    mixed = ((place * 73 + axis * 31 + seed * 17 + 1) * 48_271) % 2_147_483_647
+    mixed = (mixed * 48_271) % 2_147_483_647
+    return F.when(mixed % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
+
+
+class RandomSigns(Estimator):
+    """Random projection onto ``k`` axes of signs, each divided by the root of the dimension.
+
+    Nothing is learnt but the dimension, so any two fits with one seed agree, and the projection
+    needs no table: the signs follow from the seed.
+    """
+
+    def __init__(self, k: int, seed: int = 0, inputCol: str = "raw", outputCol: str = "latent"):  # noqa: N803
+        super().__init__()
+        self.k, self.seed, self.columns = k, seed, (inputCol, outputCol)
+
+    def _fit(self, dataset: DataFrame) -> RandomSignsModel:
+        return RandomSignsModel(self.k, self.seed, self.columns)
+
+
+class RandomSignsModel(Transformer):
+    def __init__(self, k: int, seed: int, columns: tuple[str, str]):
+        super().__init__()
+        self.k, self.seed, self.columns = k, seed, columns
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        values = vector_to_array(F.col(self.columns[0]))
+
+        def axis(number: int) -> Column:
+            signed = F.transform(values, lambda x, i: x * _sign(self.seed, number, i.cast("long")))
+            return F.aggregate(signed, F.lit(0.0), lambda total, x: total + x) / F.sqrt(F.size(values))
+
+        return dataset.withColumn(self.columns[1], array_to_vector(F.array(*[axis(n) for n in range(self.k)])))
+
+
 @dataclass
 class LatentProjection:
     """A fitted projection: the model, axis signs, and bin edges per axis.
@@ -57,6 +94,11 @@ class LatentProjection:
         ]
         return self.project(df, signals).withColumn("bins", F.array(*axes)).drop("z")
 
+    def axes(self) -> list[tuple[int, int, float]]:
+        """(axis, dimension, loading) of a linear projector that has principal components, signs applied."""
+        loadings = self.model.stages[-1].pc.toArray()
+        return [(k, j, float(loadings[j, k] * s)) for k, s in enumerate(self.signs) for j in range(len(loadings))]
+
     def explained_variance(self) -> float | None:
         """Share of variance kept, where the projector reports one."""
         last = self.model.stages[-1]

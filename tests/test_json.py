@@ -114,3 +114,22 @@ def test_too_deep_or_never_closed_texts_give_nothing_fast():
     assert first_decodable('{"a": {"b": 1}, oops {"c": 2}') == {"b": 1}
     assert first_decodable("{x " * 300_000) is None
     assert time.perf_counter() - began < 5
+
+
+def test_every_object_of_a_text(spark):
+    from assayer.functions.json_text import all_objects
+    from assayer.operators.json_objects import every_object
+
+    texts = [
+        None, "", "no object", "{}", '{"a": 1} and {"b": {"c": 2}}', '{bad} {"a": "}{"} {', '[{"x": 1}, {"y": 2}]',
+        'é日\U0001f600 {"k": "é"}', '{"a": {"b": }} {"c": 1}', '{"deep": ' * 3 + "1" + "}" * 3, '{"open": {"in": 1}', "{" * 3000,
+    ]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "id long, text string, n string")
+    got = {}
+    for r in every_object(df).collect():
+        got.setdefault(r.id, []).append((r.place, r.length, r.obj))
+    want = {i: list(all_objects(t)) for i, t in enumerate(texts) if t and list(all_objects(t))}
+    assert {k: sorted(v) for k, v in got.items()} == want
+    assert [o for _, _, o in want[4]] == ['{"a":1}', '{"b":{"c":2}}'] and want[7][0][0] == 4
+    assert [o for _, _, o in want[6]] == ['{"x":1}', '{"y":2}'] and [o for _, _, o in want[10]] == ['{"in":1}']
+    assert 2 not in want and every_object(df.limit(0)).count() == 0

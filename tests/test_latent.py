@@ -93,3 +93,38 @@ def test_grid(spark):
     assert grid.state_reduction(8, 3) == (390_625, 125)
     with pytest.raises(Exception, match="out of range"):
         grid.grid_counts(binned, 3, 2).collect()
+
+
+def test_axes_are_eigenvectors_of_the_covariance(spark):
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(300, 3)) @ rng.normal(size=(3, 7)) + 0.3 * rng.normal(size=(300, 7))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, signals array<double>")
+    projection = latent.fit_projection(df)
+    axes = np.zeros((3, 7))
+    for k, j, v in projection.axes():
+        axes[k, j] = v
+    z = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+    covariance = z.T @ z / (len(z) - 1)
+    for v in axes:
+        value = v @ covariance @ v
+        assert np.abs(covariance @ v - value * v).max() < 1e-6
+        assert v[np.abs(v).argmax()] > 0
+    assert np.allclose(axes @ axes.T, np.eye(3), atol=1e-9)
+
+
+def test_random_signs_follow_from_the_seed(spark):
+    rng = np.random.default_rng(22)
+    x = rng.normal(size=(60, 5))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, signals array<double>")
+
+    def z(seed):
+        model = latent.fit_projection(df, projector=latent.RandomSigns(3, seed=seed))
+        return np.array([r.z for r in model.project(df).orderBy("id").collect()])
+
+    def sign(seed, axis, j):
+        mixed = ((j * 73 + axis * 31 + seed * 17 + 1) * 48_271) % 2_147_483_647
+        return 1.0 if mixed * 48_271 % 2_147_483_647 % 2 == 0 else -1.0
+
+    table = np.array([[sign(4, k, j) for k in range(3)] for j in range(5)])
+    assert np.allclose(z(4), x @ table / np.sqrt(5)) and not np.allclose(z(4), z(5))
+    assert (z(4) == z(4)).all()

@@ -61,7 +61,19 @@ def test_split_reaches_the_scan(spark, tmp_path):
     assert "PushedFilters: [IsNotNull(id), LessThan(id,700)]" in train._jdf.queryExecution().toString()
 
 
-def test_too_many_groups_is_an_error(spark, monkeypatch):
-    monkeypatch.setattr(Q, "MAX_TARGETS", 10)
-    with pytest.raises(ValueError, match="too many groups"):
-        Q.quantiles(spark.range(50).select("id", F.lit(1.0).alias("v")), "v", [0.5], ["id"])
+@pytest.mark.parametrize("bins", [100_000, 10])
+def test_any_number_of_groups(spark, monkeypatch, bins):
+    """With the small limit the bins are joined and not broadcast."""
+    monkeypatch.setattr(Q, "BROADCAST_BINS", bins)
+    df = spark.range(6000).select((F.col("id") % 500).alias("g"), ((F.col("id") * 7919) % 6000).cast("double").alias("v"))
+    got = {r.g: r.value for r in Q.quantiles(df, "v", [0.5], ["g"]).collect()}
+    want = {}
+    for i in range(6000):
+        want.setdefault(i % 500, []).append((i * 7919) % 6000)
+    assert got == {g: float(np.percentile(v, 50)) for g, v in want.items()}
+
+
+def test_no_rows_and_null_groups(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", None)], "g string, v double")
+    assert [tuple(r) for r in Q.quantiles(df, "v", [0.5], ["g"]).collect()] == [(None, 0.5, 2.0)]
+    assert Q.quantiles(df.limit(0), "v", [0.5], ["g"]).count() == 0

@@ -61,3 +61,19 @@ def test_a_heavy_key_is_spread(spark):
     finally:
         for key, value in saved.items():
             spark.conf.set(key, value)
+
+
+def test_a_few_huge_answers_make_a_question_heavy(spark):
+    from assayer.operators.agreement import step_agreement
+    from assayer.operators.skew import split_heavy
+
+    huge = " ".join(f"word{i}" for i in range(4000))
+    rows = [(1, 0, i, f"{huge} {i}") for i in range(6)] + [(k, 0, i, f"short answer {k}") for k in range(2, 60) for i in range(3)]
+    samples = spark.createDataFrame(rows, "run_id long, step_idx long, sample_idx long, answer string").repartition(4)
+    size = F.octet_length("answer")
+    ordinary, heavy = split_heavy(samples, ["run_id"], weight=size, min_weight=1000)
+    assert {r.run_id for r in heavy.collect()} == {1} and ordinary.count() == len(rows) - 6
+    assert split_heavy(samples, ["run_id"], weight=size)[1].count() == 0  # small in all
+    spread = step_agreement(samples, min_heavy_bytes=1000)
+    plain = step_agreement(samples)
+    assert sorted(map(str, spread.collect())) == sorted(map(str, plain.collect()))

@@ -113,3 +113,46 @@ def test_cohort_gap(spark):
     df = spark.createDataFrame([("a", 0.8), ("a", 0.6), ("b", 0.3), ("c", 9.0)], "g string, confidence double")
     r = runs.cohort_gap(df, "g", "a", "b").first()
     assert (r.confidence_a, r.confidence_b, r.gap) == pytest.approx((0.7, 0.3, 0.4))
+
+
+def test_the_last_event_of_a_run_decides(spark):
+    started = spark.createDataFrame([(i,) for i in range(1, 8)], "run_id long")
+    past = spark.createDataFrame([(1, 0, 0.9), (1, 1, 0.4), (2, 0, 0.9), (3, 0, 0.8), (4, 5, 0.7), (6, 0, None)], "run_id long, pos long, confidence double")
+    errors = spark.createDataFrame(
+        [(2, 1, "APIError", "Connection refused"), (3, 0, "ValueError", "no such tool"), (4, 1, "APIError", "connection error"), (7, 0, None, "actively refused")],
+        "run_id long, pos long, error_class string, message string",
+    )
+    texts = spark.createDataFrame([(1, "all of it"), (2, "half of it"), (4, "after a retry"), (5, "")], "run_id long, text string")
+    got = {r.run_id: tuple(r)[1:] for r in runs.run_results(started, past, errors, texts).collect()}
+    gone = ("unavailable", "", 0, 0.0, runs.UNAVAILABLE_ERROR)
+    assert got == {
+        1: ("ok", "all of it", 2, 0.4, None),
+        2: gone,
+        3: ("raised", None, None, None, "ValueError: no such tool"),  # an error at a step's place comes after it
+        4: ("ok", "after a retry", 1, 0.7, None),  # a later step got over it
+        5: ("ok", "", 0, 1.0, None),
+        6: ("ok", runs.NO_RESPONSE, 1, 1.0, None),
+        7: gone,
+    }
+    nothing = runs.run_results(started.limit(0), past.limit(0), errors.limit(0), texts.limit(0))
+    assert nothing.count() == 0
+
+
+def test_step_and_conflict_lines_hold_every_step_once(spark):
+    from assayer.operators import metrics, posterior
+    from assayer.plans.scoring import score_steps
+    from assayer.sources.readers import parse_log
+
+    answers = [(1, 0, i, "fetch", "the total is forty two") for i in range(3)]
+    answers += [(2, 0, i, "guess", t) for i, t in enumerate(("blue whale song", "seven tall ladders", "I am not sure"))]
+    samples = spark.createDataFrame(answers, "run_id long, step_idx long, sample_idx long, task_text string, answer string")
+    table = posterior.resolutions(posterior.prior_table(spark))
+    scored = score_steps(samples, table, keys=["run_id", "step_idx", "task_text"])
+    scored = scored.withColumns({"ts": F.lit("2024-03-01 10:00:00").cast("timestamp"), "trace_id": F.col("run_id").cast("string")})
+    lines = metrics.conflict_events(scored).unionByName(metrics.step_events(scored))
+    events, bad = parse_log(lines)
+    seen = {(r.event, r.fields["task"], r.fields["consistency"]) for r in events.collect()}
+    assert bad.count() == 0 and {(e, t) for e, t, _ in seen} == {("executor.step", "fetch"), ("bayes.conflict_resolved", "guess")}
+    assert ("executor.step", "fetch", "1.0") in seen
+    rates = metrics.log_rates(events).first()
+    assert (rates.n_steps, rates.n_conflicts, rates.conflict_rate) == (2, 1, 0.5)
