@@ -140,7 +140,7 @@ def latent_predict(spark, sf_dir):
 
 @query(
     _LEARNT_SQL
-    + """SELECT len(m) AS raw_dim, CASE len(m) WHEN 64 THEN '""" + str(5**64) + """' END AS naive_raw_states,
+    + """SELECT CAST(len(m) AS INTEGER) AS raw_dim, CASE len(m) WHEN 64 THEN '""" + str(5**64) + """' END AS naive_raw_states,
       round(len(m) * log10(5), 9) AS log10_naive_raw_states, CAST(125 AS BIGINT) AS latent_states,
       round((len(m) - 3) * log10(5), 9) AS log10_compression_ratio,
       round((SELECT sum(value) FROM axis) / list_sum(list_transform(range(1, len(m) + 1), lambda i: m[i][i])), 3) AS explained_variance,

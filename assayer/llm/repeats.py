@@ -40,6 +40,8 @@ BROADCAST_GRAMS = 1 << 20
 LONG_GRAM = 48
 #: Bytes of text whose least grams meet in one bucket, and of candidate texts whose stretches meet in one task.
 BUCKET_BYTES = 1 << 27
+#: A text has a row for each bucket that holds grams of it, so there are no more than the bytes ask for.
+LEAST_BUCKETS = 12
 SHARD_BYTES = 1 << 24
 #: A gram that more texts have than this is settled window by window.
 MOST_TEXTS = 1 << 12
@@ -393,7 +395,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     firsts = settled(seeking.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("n_bytes").alias("n")), "firsts")
     total = firsts.agg(F.sum("n")).first()[0] or 0
-    buckets = max(shuffle_partitions(spark), -(-total // BUCKET_BYTES))
+    buckets = max(LEAST_BUCKETS, -(-total // BUCKET_BYTES))
     grams = _packed_grams(seeking.select("key", "text"), int(buckets))
     found = grams.groupBy("bucket").applyInPandas(_shared, "key binary, grams binary")
     shared = settled(found.groupBy("key").agg(F.collect_list("grams").alias("grams")), "shared-grams")
