@@ -43,8 +43,9 @@ BUCKET_BYTES = 1 << 27
 #: A text has a row for each bucket that holds grams of it, so there are no more than the bytes ask for.
 LEAST_BUCKETS = 12
 SHARD_BYTES = 1 << 24
-#: A gram that more texts have than this is settled window by window.
-MOST_TEXTS = 1 << 12
+#: A gram that more texts have than this is settled window by window; the stretches of one that has fewer are some
+#: megabytes in one task.
+MOST_TEXTS = 1 << 14
 #: Windows of a stretch; a longer row of windows with one least gram is cut.
 LONGEST = 128
 #: Bytes of text that a batch holds when its least grams are compared.
