@@ -33,6 +33,7 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _ITEMS = frozenset("li td th tr dt dd option".split())
 _HOLDERS = ("ul", "ol", "table", "dl", "select")
 _OPENING = re.compile(r"<(/?)([a-z][^\s/>]*+)([^>\"']*+)", re.I)
+_START = re.compile(r"<(?=[a-z/!?])", re.I)
 _CLOSERS = re.compile(r"[>\"']")
 _ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in _HIDDEN}
 _NAMED = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -134,7 +135,7 @@ def blocks_of(page: str, weights: dict[str, int] | None = None) -> list[Block]:
     path, held, linked, in_link = _Path(weights), [], 0, 0
     lone: set[str] = set()
     quotes = True
-    at = look = 0
+    at = 0
 
     def flush() -> None:
         nonlocal linked
@@ -150,7 +151,8 @@ def blocks_of(page: str, weights: dict[str, int] | None = None) -> list[Block]:
             held.clear()
         linked = 0
 
-    while (start := page.find("<", look)) >= 0:
+    while found := _START.search(page, at):
+        start = found.start()
         tag = _OPENING.match(page, start)
         name = ""
         if tag:
@@ -172,17 +174,14 @@ def blocks_of(page: str, weights: dict[str, int] | None = None) -> list[Block]:
         elif page.startswith("<!--", start):
             after = page.find("-->", start + 4)
             after = len(page) if after < 0 else after + 3
-        elif page[start + 1 : start + 2] in ("!", "?", "/"):
+        else:
             after = page.find(">", start + 2) + 1
             if not after:
                 break
-        else:
-            look = start + 1
-            continue
         if start > at:
             held.append(page[at:start])
             linked += start - at if in_link else 0
-        at = look = after
+        at = after
         if not name:
             continue
         if name not in _INLINE:
