@@ -45,7 +45,7 @@ def log_beta(a: Column, b: Column) -> Column:
 
 def _series(x: Column, a: Column, b: Column) -> Column:
     """Sum of ``x^n (a+b)...(a+b+n-1) / ((a+1)...(a+n))``; raises an error unless it has converged."""
-    terms = F.sequence(F.lit(1), F.ceil(60 + 14 * F.sqrt(a + b)).cast("int"))
+    terms = F.sequence(F.lit(1), F.ceil(60 + 24 * F.sqrt(a + b)).cast("int"))
     start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
 
     def add(s: Column, n: Column) -> Column:
@@ -63,8 +63,8 @@ def _series(x: Column, a: Column, b: Column) -> Column:
 
 def beta_cdf(x: Column, a: Column, b: Column) -> Column:
     """Regularised incomplete beta function; ``a`` and ``b`` positive, NULL where any argument is."""
-    # the series converges fast only below the mean; the rest is mirrored
-    below = x * (a + b) <= a
+    # the series converges slowly near 1; that half is mirrored
+    below = x <= 0.5
     arguments = F.struct(
         F.when(below, x).otherwise(1.0 - x).alias("x"), F.when(below, a).otherwise(b).alias("a"), F.when(below, b).otherwise(a).alias("b")
     )

@@ -10,18 +10,13 @@ from __future__ import annotations
 
 import json
 import re
-import sys
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Executors need not have this package installed.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 FENCE = r"(?is)```(?:json)?\s*(.*?)```"
 
 

@@ -24,7 +24,7 @@ DIVERGENT = [
     "Basalt columns crack into hexagons.",
     "A violin of 1716 hangs above her desk.",
 ]
-REFUSALS = ["I don't know.", "I am not sure.", "Unable to.", "I cannot tell you."]
+REFUSALS = ["That I don't know.", "I am not sure.", "Unable to.", "I cannot tell you."]
 
 
 def samples(spark, *questions):
@@ -60,7 +60,7 @@ def test_known_answers(spark, min_heavy):
     want = [
         (0.475273, 0, (0, 2, 4)),
         (0.0, 0, (0, 4, 4)),
-        (0.125, 0, (4, 4, 4)),
+        (0.116202, 1, (4, 4, 4)),
         (0.0, 0, (4, 4, 0)),
         (1.0, 0, (0, 0, 0)),
         (1.0, 0, (0, 0, 0)),

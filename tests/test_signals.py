@@ -13,7 +13,7 @@ KNOWN = {
     "a partial log and accounts that contradict it": ((4, 4, 1), False, 1.0),
     "plain text": ((4, 0, 1), False, 1.0),
     "not found": ((0, 0, 1), False, 1.0),
-    "stale partial missing conflicting data error timeout": ((4, 4, 4), True, 0.427907),
+    "timeout on a partial sync, stale copies in conflict, owner missing": ((4, 4, 4), True, 0.427907),
     "mast_error: the lookout failed to answer": ((4, 4, 4), True, 0.427907),
     "VALIDATE ٣": ((4, 0, 0), False, 1.0),
 }
