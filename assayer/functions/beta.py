@@ -49,10 +49,9 @@ def _series(x: Column, a: Column, b: Column) -> Column:
     start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
 
     def add(s: Column, n: Column) -> Column:
-        return _let(
-            s["term"] * x * (a + b + n - 1) / (a + n),
-            lambda term: F.struct(term.alias("term"), (s["total"] + term).alias("total")),
-        )
+        term = s["term"] * x * (a + b + n - 1) / (a + n)
+        more = F.struct(term.alias("term"), (s["total"] + term).alias("total"))
+        return F.when(s["term"] <= _SMALLEST_TERM * s["total"], s).otherwise(more)
 
     def end(s: Column) -> Column:
         message = F.lit("the series of a Beta distribution has not converged")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from assayer.functions import ordinal
 from assayer.functions.beta import beta_quantile
 from assayer.schema import LEVELS, N_CONTEXTS, N_LEVELS
+from assayer.session import shuffle_partitions
 
 OUTCOMES = range(N_LEVELS)
 
@@ -188,6 +189,8 @@ def resolutions(alpha: DataFrame, interval: str = "normal", mass: float = 0.95)
     if interval == "normal":
         low, high = _normal_interval(F.col("a"), F.col("rest"), mass)
     else:
+        # 216 rows, but each a long computation: every task gets some
+        top = top.repartition(shuffle_partitions(alpha.sparkSession), *LEVELS)
         tail = (1.0 - mass) / 2.0
         low, high = (beta_quantile(p, F.col("a"), F.col("rest")) for p in (tail, 1.0 - tail))
     return top.select(
