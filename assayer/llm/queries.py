@@ -119,5 +119,6 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", shifted))
 
 
+SQL["op2_secret_scan"] = sql.secret_scan()
 SQL["op11_vector_codes"] = sql.vector_codes()
 SQL["op13_hard_negatives"] = sql.HARD_NEGATIVES

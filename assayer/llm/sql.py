@@ -2,6 +2,47 @@
 
 from __future__ import annotations
 
+from assayer.llm.secret_scan import BASE, RULES
+
+
+def secret_scan(rules: tuple = RULES, base: int = len(BASE)) -> str:
+    """Every rule on every text: matches from the pattern, places from the lengths of what stands before them."""
+    found = " UNION ALL ".join(
+        f"""
+        SELECT doc_id, rid, {rank} AS rank, '{rule.kind}' AS kind,
+            regexp_extract_all(t, '{_quoted(rule.pattern)}', 0) AS whole,
+            regexp_extract_all(t, '{_quoted(rule.pattern)}', {rule.group}) AS deciding, {rule.least} AS least,
+            list_transform(string_split_regex(t, '{_quoted(rule.pattern)}'), lambda x: length(x)) AS gaps
+        FROM texts WHERE regexp_matches(t, '{_quoted(rule.pattern)}')"""
+        for rank, rule in enumerate(rules)
+    )
+    counts = ", ".join(
+        f"CAST(count(*) FILTER (kind = '{rule.kind}') AS BIGINT) AS n_{rule.kind}" for rule in rules[:base]
+    )
+    return f"""
+    WITH texts AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS rid FROM documents),
+        found AS ({found}),
+        matches AS (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM found),
+        placed AS (
+            SELECT rid, rank, kind, length(deciding[i]) >= least AS fits, length(whole[i]) AS size,
+                list_sum(gaps[1:i]) + coalesce(list_sum(list_transform(whole[1 : i - 1], lambda x: length(x))), 0) AS start
+            FROM matches),
+        spans AS (
+            SELECT rid, rank, kind, start, concat(kind, ':', start::BIGINT, ':', (start + size)::BIGINT) AS s FROM placed WHERE fits),
+        listed AS (
+            SELECT rid, {counts},
+                coalesce(string_agg(s, ',' ORDER BY start, rank) FILTER (rank < {base}), '') AS base,
+                string_agg(s, ',' ORDER BY start, rank) AS spans
+            FROM spans GROUP BY rid)
+    SELECT doc_id, {", ".join(f"coalesce(n_{rule.kind}, 0) AS n_{rule.kind}" for rule in rules[:base])},
+        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM texts LEFT JOIN listed USING (rid)
+    """
+
+
+def _quoted(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
 
 def vector_codes(rounds: int = 4, entries: int = 256) -> str:
     """Plain Lloyd rounds: every part against every entry, each time."""
