@@ -425,7 +425,8 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     pieces = _stretch_rows(candidates)
     spans = _by_index(pieces.join(kept, "gram", "left_anti") if n_many else pieces, int(shards))
     if n_many:
-        spans = spans.unionByName(_by_window(pieces.join(kept, "gram", "left_semi").drop("gram")))
+        heavy = settled(pieces.join(kept, "gram", "left_semi").drop("gram"), "heavy-stretches")
+        spans = spans.unionByName(_by_window(heavy))
     spans = spans.groupBy("number").agg(F.collect_list(F.struct("start", "windows", "marks")).alias("spans"))
     spans = settled(spans, "spans")
 
