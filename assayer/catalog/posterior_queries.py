@@ -64,7 +64,7 @@ _RESOLVED_SQL = """SELECT x.l_orderkey, x.l_linenumber, x.task, x.data, x.tool,
 """
 
 
-def _report_table(table: DataFrame) -> DataFrame:
+def _report_table(table: DataFrame, digits: int = 6) -> DataFrame:
     """The resolution table in report form: shaped once on its 216 rows, not per row."""
     named = table.withColumn("named", distribution_map(F.col("theta")))
     by_name = [
@@ -73,12 +73,12 @@ def _report_table(table: DataFrame) -> DataFrame:
     ]
     return named.select(
         *LEVELS, "state", "state_index", r6("confidence"), r6("good_probability"), "is_conflict", *by_name,
-        r6("credible_low"), r6("credible_high"), r6("effective_sample_size"),
+        *[F.round(c, digits).alias(c) for c in ("credible_low", "credible_high")], r6("effective_sample_size"),
     )
 
 
-def _resolved(spark, sf_dir, evidence: DataFrame, interval: str = "normal") -> DataFrame:
-    table = _report_table(posterior.resolutions(learnt(spark, sf_dir), interval))
+def _resolved(spark, sf_dir, evidence: DataFrame, interval: str = "normal", digits: int = 6) -> DataFrame:
+    table = _report_table(posterior.resolutions(learnt(spark, sf_dir), interval), digits)
     return posterior.resolve(evidence.select("l_orderkey", "l_linenumber", *LEVELS), table)
 
 
@@ -109,8 +109,7 @@ def resolve_partial(spark, sf_dir):
 )
 def resolve_exact_interval(spark, sf_dir):
     """Exact Beta quantiles, four decimals; the SQL integrates the density."""
-    found = _resolved(spark, sf_dir, fx.partial_evidence(spark, sf_dir), "beta")
-    return found.withColumns({c: F.round(c, 4) for c in ("credible_low", "credible_high")})
+    return _resolved(spark, sf_dir, fx.partial_evidence(spark, sf_dir), "beta", digits=4)
 
 
 @query(
