@@ -39,17 +39,19 @@ BROADCAST_GRAMS = 1 << 20
 #: Within a gram's stretches a longer one tells apart what can't be equal.
 LONG_GRAM = 48
 #: Bytes of text whose least grams meet in one bucket, and of candidate texts whose stretches meet in one task.
-BUCKET_BYTES = 1 << 27
+BUCKET_BYTES = 1 << 25
 #: A text has a row for each bucket that holds grams of it, so there are no more than the bytes ask for.
-LEAST_BUCKETS = 12
-SHARD_BYTES = 1 << 24
+LEAST_BUCKETS = 16
+SHARD_BYTES = 1 << 22
 #: A gram that more texts have than this is settled window by window; the stretches of one that has fewer are some
 #: megabytes in one task.
 MOST_TEXTS = 1 << 14
 #: Windows of a stretch; a longer row of windows with one least gram is cut.
 LONGEST = 128
+#: Bytes that are hashed at a time.
+HASHED = 1 << 20
 #: Bytes of text that a batch holds when its least grams are compared.
-BATCH_BYTES = 1 << 25
+BATCH_BYTES = 1 << 24
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -206,19 +208,25 @@ def _sub_stretches(data: np.ndarray, starts: np.ndarray, windows: np.ndarray, gr
 
     Pieces of one group have both grams in common; equal windows still meet.
     """
-    words = np.ndarray((len(data) - 7,), "<u8", data.tobytes(), strides=(1,)).astype(np.uint64)
-    h = np.zeros(len(data) - LONG_GRAM + 1, np.uint64)
-    for at in range(0, LONG_GRAM, 8):
-        h = (h ^ words[at : at + len(h)]) * _MIX
-        h ^= h >> np.uint64(31)
-    width, done = WINDOW - LONG_GRAM + 1, 1
-    while done < width:
-        step = min(done, width - done)
-        h = np.minimum(h[:-step], h[step:])
-        done += step
+    raw = data.tobytes()
+    n = len(raw) - WINDOW + 1
+    long = np.empty(n, np.uint64)
+    for at in range(0, n, HASHED):  # a slab at a time, as hashes take eight bytes for each
+        slab = raw[at : at + HASHED + WINDOW - 1]
+        words = np.ndarray((len(slab) - 7,), "<u8", slab, strides=(1,)).astype(np.uint64)
+        h = np.zeros(len(slab) - LONG_GRAM + 1, np.uint64)
+        for k in range(0, LONG_GRAM, 8):
+            h = (h ^ words[k : k + len(h)]) * _MIX
+            h ^= h >> np.uint64(31)
+        width, done = WINDOW - LONG_GRAM + 1, 1
+        while done < width:
+            step = min(done, width - done)
+            h = np.minimum(h[:-step], h[step:])
+            done += step
+        long[at : at + HASHED] = h
     owner = np.repeat(np.arange(len(starts)), windows)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows) + np.repeat(starts, windows)
-    least = h[place]
+    least = long[place]
     edge = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (least[1:] != least[:-1])]))
     count = np.diff(np.append(edge, len(owner)))
     # should two pairs of grams have one hash, they are one group: matches are of bytes all the same
