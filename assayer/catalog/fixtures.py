@@ -177,35 +177,41 @@ def job_changes_of(orders: DataFrame) -> DataFrame:
     result = F.concat(F.lit('{"confidence_score": '), score.cast("string"), F.lit("}"))
     no_value = F.lit(None).cast("string")
 
-    def change(when: Column, seq: int, op: str, hours: int, fields: Column) -> Column:
-        return F.when(
-            when,
-            F.struct(
-                F.lit(seq).cast("long").alias("seq"),
-                F.lit(op).alias("op"),
-                fields.alias("changes"),
-                (F.col("at0") + F.expr(f"interval {hours} hours")).alias("at"),
-            ),
-        )
-
     def status(name: str) -> list[Column]:
         return [F.lit("status"), F.lit(name)]
 
     prompt = F.create_map(F.lit("prompt"), F.concat(F.lit("order "), key.cast("string")))
     moved = F.col("o_orderstatus").isin("P", "F")
     done = F.col("o_orderstatus") == "F"
-    changes = F.array(
-        change(key % 17 != 0, 0, "create", 0, prompt),
-        change(moved, 1, "update", 1, F.create_map(*status("running"))),
-        change(done & ~failed, 2, "update", 2, F.create_map(*status("done"), F.lit("result"), result)),
-        change(done & failed, 2, "update", 2, F.create_map(*status("error"), F.lit("error"), F.lit("tool failed"))),
-        change(key % 7 == 0, 3, "update", 30, F.create_map(*status("reopened"), F.lit("result"), no_value)),
-        change(key % 11 == 0, 4, "create", 60, prompt),
-    )
+    changes = [  # when, seq, op, hours, fields
+        (key % 17 != 0, 0, "create", 0, prompt),
+        (moved, 1, "update", 1, F.create_map(*status("running"))),
+        (done & ~failed, 2, "update", 2, F.create_map(*status("done"), F.lit("result"), result)),
+        (done & failed, 2, "update", 2, F.create_map(*status("error"), F.lit("error"), F.lit("tool failed"))),
+        (key % 7 == 0, 3, "update", 30, F.create_map(*status("reopened"), F.lit("result"), no_value)),
+        (key % 11 == 0, 4, "create", 60, prompt),
+    ]
+    whens, seqs, ops, hours, fields = zip(*changes, strict=True)
+
+    def of_way(values: list[Column]) -> Column:
+        found = F
+        for i, value in enumerate(values):
+            found = found.when(F.col("way") == i, value)
+        return found
+
+    # Only the number of a change is exploded: its columns are made after it, for the rows and uses that need them.
+    ways = F.array(*[F.when(when, F.lit(i)) for i, when in enumerate(whens)])
     return (
         orders.withColumn("at0", utc_instant(F.col("o_orderdate")))
-        .select(key.cast("string").alias("job_id"), F.explode(F.array_compact(changes)).alias("c"))
-        .select("job_id", "c.*")
+        .withColumn("way", F.explode(ways))
+        .where(F.col("way").isNotNull())
+        .select(
+            key.cast("string").alias("job_id"),
+            of_way([F.lit(n).cast("long") for n in seqs]).alias("seq"),
+            of_way([F.lit(name) for name in ops]).alias("op"),
+            of_way(list(fields)).alias("changes"),
+            of_way([F.col("at0") + F.expr(f"interval {n} hours") for n in hours]).alias("at"),
+        )
     )
 
 

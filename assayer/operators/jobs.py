@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from assayer.operators.skew import MIN_HEAVY_ROWS, join_lookup
 from assayer.schema import JOB_TTL_SECONDS
+from assayer.session import settled
 
 FIELDS = ("status", "prompt", "result", "error")
 DEFAULTS = {"status": "queued", "prompt": ""}
@@ -85,8 +86,9 @@ def slot_parts(changes: DataFrame, ttl_seconds: int = JOB_TTL_SECONDS) -> DataFr
 
 
 def merged_slots(parts: DataFrame) -> DataFrame:
-    """One row per job and slot."""
-    return parts.groupBy("job_id", "slot").agg(*merge_parts(), F.min("from_us").alias("from_us"), F.max("to_us").alias("to_us"))
+    """One row per job and slot, dealt by job: what looks for lives next finds its rows in place."""
+    by_job = parts.repartition("job_id")
+    return by_job.groupBy("job_id", "slot").agg(*merge_parts(), F.min("from_us").alias("from_us"), F.max("to_us").alias("to_us"))
 
 
 def state_of_slots(slots: DataFrame) -> DataFrame:
@@ -109,17 +111,24 @@ def lives_of_slots(slots: DataFrame, ttl_seconds: int = JOB_TTL_SECONDS) -> Data
     return finish(folded, "life").withColumn("expires_at", _plus_seconds("updated_at", ttl_seconds))
 
 
-def split_ended(slots: DataFrame, as_of: Column, ttl_seconds: int = JOB_TTL_SECONDS) -> tuple[DataFrame, DataFrame]:
-    """(slots of lives that still run at ``as_of``, rows of the lives that have ended).
+def split_ended(parts: DataFrame, as_of: Column, ttl_seconds: int = JOB_TTL_SECONDS) -> tuple[DataFrame, DataFrame]:
+    """(merged slots of lives that still run at ``as_of``, rows of the lives that have ended).
 
     ``as_of`` is a time in microseconds up to which all changes have been seen. A life that has ended can't
-    be continued: a later change begins a new one.
+    be continued: a later change begins a new one. A running life has a change within the last TTL, so
+    its slots are looked for among the parts of jobs that have one, and only those are merged twice. The list
+    of these jobs is :func:`settled`, so that its size is known before the join is planned.
     """
-    ttl = ttl_seconds * 1_000_000
-    of_life = Window.partitionBy("job_id", "life")
-    marked = with_lives(slots, ttl_seconds).withColumn("over", F.max("to_us").over(of_life) + ttl <= as_of)
-    ended = marked.where("over").groupBy("job_id", "life").agg(*merge_parts())
-    return marked.where("not over").drop("over", "life"), finish(ended)
+    begin = as_of - ttl_seconds * 1_000_000
+    lives = with_lives(merged_slots(parts), ttl_seconds).groupBy("job_id", "life")
+    ended = finish(lives.agg(*merge_parts(), F.max("to_us").alias("to_us")).where(F.col("to_us") <= begin))
+
+    running = settled(parts.where(F.col("to_us") > begin).select(F.col("job_id").alias("_running")).distinct(), "running")
+    candidates = parts.join(running, F.col("job_id").eqNullSafe(F.col("_running")), "left_semi")
+    slots = with_lives(merged_slots(candidates), ttl_seconds)
+    with_last = slots.withColumn("_last", F.max("to_us").over(Window.partitionBy("job_id", "life")))
+    still = with_last.where(F.col("_last") > begin).drop("_last", "life")
+    return still, ended
 
 
 def job_lives(changes: DataFrame, ttl_seconds: int = JOB_TTL_SECONDS) -> DataFrame:

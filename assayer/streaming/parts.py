@@ -20,7 +20,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from assayer.operators import jobs, metrics
 from assayer.schema import JOB_TTL_SECONDS
-from assayer.session import exists
+from assayer.session import exists, scoped
 
 
 @dataclass(frozen=True)
@@ -91,7 +91,7 @@ def compact(
     rows: StructType,
     ended: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None,
 ) -> None:
-    """Merge the parts so far; ``ended`` splits them into (living parts, finished rows).
+    """Merge the parts so far; ``ended`` splits them into (merged parts of the living, finished rows).
 
     Finished rows go to ``folder/ended``, one folder for each compaction. A compaction that fails half-way
     is taken up again by the next: it counts from its success mark on.
@@ -102,11 +102,14 @@ def compact(
     last = batches.agg(F.max("batch")).first()[0]
     if last is None or last <= _merged_upto(spark, folder):
         return
-    merged = fold.merge(parts(spark, folder, fold, rows))
-    if ended:
-        merged, finished = ended(merged)
-        finished.write.mode("overwrite").parquet(f"{folder}/ended/upto={last}")
-    merged.write.mode("overwrite").parquet(f"{folder}/merged/upto={last}")
+    found = parts(spark, folder, fold, rows)
+    with scoped():  # nothing reads after the writes what ``ended`` has settled for them
+        if ended:
+            merged, finished = ended(found)
+            finished.write.mode("overwrite").parquet(f"{folder}/ended/upto={last}")
+        else:
+            merged = fold.merge(found)
+        merged.write.mode("overwrite").parquet(f"{folder}/merged/upto={last}")
 
 
 def ended_rows(spark: SparkSession, folder: str, shape: StructType) -> DataFrame:

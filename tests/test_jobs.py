@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from assayer.catalog import fixtures as fx
 from assayer.operators import jobs
 from assayer.schema import JOB_CHANGE
 
@@ -99,3 +100,50 @@ def test_lifecycle(spark):
     assert state[0].updated_at >= state[0].created_at
     out = jobs.job_outcomes(jobs.job_state(frame(spark, rows))).first()
     assert (out.status, out.n, out.mean_confidence) == ("done", 1, 0.9)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_what_is_used_of_a_change_is_made(spark):
+    changes = fx.job_changes(spark, "/root/testdata/sf0.001")
+    assert "lambda" not in plan_of(changes)  # compiled, not evaluated value by value
+    times = plan_of(changes.agg(F.max("at")))
+    assert "map(" not in times and "concat(" not in times
+
+
+def test_merged_slots_are_dealt_once(spark):
+    slots = jobs.slot_parts(frame(spark, history(5))).localCheckpoint()
+    ended = jobs.split_ended(slots, F.lit(0))[1]
+    for df in (jobs.lives_of_slots(jobs.merged_slots(slots)), ended):
+        assert plan_of(df).count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("days", [0, 2, 5, 40])
+def test_parts_of_several_batches_are_split_by_life(spark, days):
+    """Several parts per job and slot, a job without id, lives of many slots and changes past the time."""
+    long_life = [("long", i, "create" if i == 0 else "update", {"status": f"s{i}"}, i * (DAY - 1)) for i in range(6)]
+    no_id = [(None, 0, "create", {}, 5 * DAY), (None, 1, "update", {"status": "x"}, 5 * DAY + 9)]
+    changes = [frame(spark, part) for part in (history(6)[::2], history(6)[1::2], long_life, no_id)]
+    every = changes[0].unionByName(changes[1]).unionByName(changes[2]).unionByName(changes[3])
+    parts = jobs.slot_parts(changes[0])
+    for batch in changes[1:]:
+        parts = parts.unionByName(jobs.slot_parts(batch))
+    lives = jobs.with_lives(jobs.slot_parts(every)).collect()
+    as_of = int((T0 + timedelta(days=days) - datetime(1970, 1, 1)).total_seconds()) * 1_000_000
+    last = {}
+    for r in lives:
+        last[r.job_id, r.life] = max(r.to_us, last.get((r.job_id, r.life), r.to_us))
+    over = {key for key, us in last.items() if us + DAY * 1_000_000 <= as_of}
+    living, ended = jobs.split_ended(parts, F.lit(as_of))
+    assert living.columns == parts.columns
+    assert sorted(map(str, living.collect())) == sorted(
+        str(r) for r in jobs.slot_parts(every).collect()
+        if any(x.slot == r.slot and x.job_id == r.job_id and (x.job_id, x.life) not in over for x in lives)
+    )
+    want = jobs.lives_of_slots(jobs.slot_parts(every)).collect()
+    assert sorted(map(str, ended.collect())) == sorted(
+        str(r) for r in jobs.lives_of_slots(jobs.slot_parts(every)).drop("life", "expires_at").collect()
+        if any(w.job_id == r.job_id and w.created_at == r.created_at and (w.job_id, w.life) in over for w in want)
+    )
