@@ -202,6 +202,42 @@ def test_negatives_equal_brute_force(spark, monkeypatch, seed, block):
     assert sorted(tuple(r) for r in found.collect()) == plain_negatives(whole, 20)
 
 
+@pytest.mark.parametrize("scale", [1, 200])
+def test_negatives_in_small_pieces(spark, monkeypatch, scale):
+    """A leaf over several shelves, many questions a shelf, sparse and dense scores, single and double precision."""
+    for name, value in {"BLOCK": 16, "ANCHORS": 3, "SHELF_BYTES": 1200, "SENT_BYTES": 100, "BLOCK_BYTES": 300, "FEW": 4}.items():
+        monkeypatch.setattr(distance_tree, name, value)
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(400, 6)), 1).astype(np.float32)
+    x[100:220] = x[7]
+    x[220:300:4] = 0
+    x *= scale
+    labels = rng.integers(0, 3, 400)
+    rows = [(i, list(map(float, v)), int(k)) for i, v, k in zip(range(400), x, labels, strict=True)]
+    found = distance_tree.hard_negatives(vectors_of(spark, rows), every=10)
+    whole = [(i, np.floor(256 * x[i].astype(float)), int(labels[i])) for i in range(400)]
+    assert sorted(tuple(r) for r in found.collect()) == plain_negatives(whole, 10)
+
+
+def test_an_anchor_is_sent_once_to_a_shelf(spark):
+    """And not once to each leaf: a group of anchors times all leaves did not fit an executor's memory."""
+    x = np.random.default_rng(5).normal(size=(600, 6)).round(1)  # nothing can be eliminated
+    tree, form = distance_tree.Tree(np.floor(256 * x), 60), distance_tree.Form(6, 256 * abs(x).max())
+    rows = spark.createDataFrame([(i, i % 3, [float(np.floor(256 * v)) for v in x[i]]) for i in range(600)], "vec_id long, label long, x array<double>")
+    at_leaf = distance_tree.placed(rows, tree, form)
+    counts = np.bincount([r.leaf for r in at_leaf.select("leaf").collect()], minlength=tree.leaves)
+    shelves = distance_tree.Shelves(counts, 2048, 150)
+    leaves = distance_tree.blocks(at_leaf, shelves)
+    ranges = distance_tree.measured(leaves, tree, form)
+    ends = [F.array(F.lit(v)).alias(c) for c, v in (("low", float("-inf")), ("high", float("inf")))]
+    questions = distance_tree.asked(at_leaf.where("vec_id % 10 = 0").select("*", *ends), tree, ranges, shelves, form, 1)
+    sent = questions.agg(F.sum(F.length("ids") / 8), F.sum(F.length("data"))).first()
+    assert shelves.n < 8 and tree.leaves >= 60
+    assert tuple(sent) == (60 * shelves.n, 60 * shelves.n * form.row_bytes)
+    pieces = list(distance_tree.in_pieces(((k, bytes(30)) for k in range(10)), 100))
+    assert [len(p) for p in pieces] == [4, 4, 2]
+
+
 def test_negatives_of_small_tables(spark):
     few = [(0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [0.9, 0.1], 2), (3, [-1.0, 0.0], 2), (100, [1.0], 3)]
     got = [tuple(r) for r in distance_tree.hard_negatives(vectors_of(spark, few)).collect()]
